@@ -145,11 +145,11 @@ WITH docs AS (
          regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w
   FROM documents),
 tpl(tid, label, base, tw, keys) AS (VALUES {rows}),
-pos AS (SELECT rid, w, unnest(range(-16, len(w)::BIGINT)) AS s FROM docs),
+pos AS (SELECT rid, w, unnest(w) AS x, unnest(range(0, len(w)::BIGINT)) AS i FROM docs),
 hit AS (
   SELECT rid, label, base, s,
          len(list_filter(range(1, len(tw) + 1), lambda k: s + k >= 1 AND s + k <= len(w) AND w[greatest(s + k, 1)] = tw[k]))::DOUBLE / len(tw) AS share
-  FROM pos, tpl
+  FROM (SELECT *, i - keys[1][1] AS s FROM pos JOIN tpl ON x = tw[keys[1][1] + 1])
   WHERE len(list_filter(keys, lambda k: s + k[1] < 0 OR s + k[1] + k[2] > len(w)
         OR w[greatest(s + k[1] + 1, 1):s + k[1] + k[2]] <> tw[k[1] + 1:k[1] + k[2]])) = 0),
 agg AS (
