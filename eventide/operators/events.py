@@ -69,29 +69,30 @@ def event_mask(df: DataFrame, conditions) -> Column:
 
 
 def cooldown(signals: DataFrame, sessions: int) -> DataFrame:
-    """(ticker, pos): the first signal, and each one more than ``sessions`` after the last kept.
+    """The first signal of a ticker, and each one more than ``sessions`` after the last kept.
 
-    Keeping depends on what was kept before, so the sorted positions of a
-    ticker are folded. Signals more than ``sessions`` after the one before them
-    are always kept whatever came before: they cut a ticker into chains that
-    fold apart, so no task holds more than a chain.
+    Keeping depends on what was kept before, so the sorted signals of a ticker
+    are folded. Signals more than ``sessions`` after the one before them are
+    always kept whatever came before: they cut a ticker into chains that fold
+    apart, so no task holds more than a chain. Rows travel whole, and nothing
+    is joined back. Needs (ticker, pos), and keeps all columns.
     """
     by = W.partitionBy("ticker").orderBy("pos")
     gap = F.col("pos") - F.lag("pos").over(by)
-    chained = signals.select("ticker", "pos").withColumn("__new", F.coalesce(gap > sessions, F.lit(True)).cast("int"))
+    chained = signals.withColumn("__new", F.coalesce(gap > sessions, F.lit(True)).cast("int"))
     chained = chained.withColumn("__chain", F.sum("__new").over(by.rowsBetween(W.unboundedPreceding, 0)))
-    folded = chained.groupBy("ticker", "__chain").agg(F.sort_array(F.collect_list("pos")).alias("p"))
-    keep = F.aggregate("p", F.array().cast("array<int>"), lambda kept, x: F.when((F.size(kept) == 0) | (x - F.try_element_at(kept, F.lit(-1)) > sessions), F.concat(kept, F.array(x))).otherwise(kept))
-    return folded.select("ticker", F.explode(keep).alias("pos"))
+    rest = [c for c in signals.columns if c not in ("ticker", "pos")]
+    folded = chained.groupBy("ticker", "__chain").agg(F.sort_array(F.collect_list(F.struct("pos", *rest))).alias("p"))
+    keep = F.aggregate("p", F.slice("p", 1, 0), lambda kept, x: F.when((F.size(kept) == 0) | (x["pos"] - F.try_element_at(kept, F.lit(-1))["pos"] > sessions), F.concat(kept, F.array(x))).otherwise(kept))
+    return folded.select("ticker", F.explode(keep).alias("k")).select("ticker", "k.*").select(*signals.columns)
 
 
 def detect(df: DataFrame, conditions, sessions: int = 10, min_events: int = 1) -> DataFrame:
     """Rows of ``df`` that are events; tickers with fewer than ``min_events`` have none."""
-    signals = df.where(event_mask(df, conditions))
-    kept = cooldown(signals, sessions)
+    kept = cooldown(df.where(event_mask(df, conditions)), sessions)
     if min_events > 1:
         kept = kept.withColumn("__n", F.count("*").over(W.partitionBy("ticker"))).where(F.col("__n") >= min_events).drop("__n")
-    return signals.join(kept, ["ticker", "pos"])
+    return kept
 
 
 def overlap(df: DataFrame, conditions, sessions: int = 10) -> DataFrame:

@@ -84,7 +84,7 @@ def canon(spark: SparkSession, d: str) -> DataFrame:
 
 def near(spark: SparkSession, d: str) -> DataFrame:
     f = base(spark, d)
-    kept = events.cooldown(f.where(events.event_mask(f, RULES)), 20).withColumn("__event", F.lit(True))
+    kept = events.cooldown(f.where(events.event_mask(f, RULES)).select("ticker", "pos"), 20).withColumn("__event", F.lit(True))
     return baselines.control_returns(baselines.mark_neighbours(f.join(kept, ["ticker", "pos"], "left"), F.col("__event").isNotNull()))
 
 
