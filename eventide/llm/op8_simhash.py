@@ -35,6 +35,8 @@ from .work import materialize
 
 #: A variant shared by more distinct fingerprints than this takes the second wildcard.
 CROWD = 64
+#: Shared variants are broadcast up to this many rows of 16 bytes, and joined by shuffle beyond.
+BROADCAST_ROWS = 1_000_000
 
 
 def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
@@ -107,9 +109,10 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     """(a, b) rows that hold every component of fingerprints at two bits or fewer."""
     keyed = _variants(fps)
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    shared = materialize(keyed.join(sizes, "key"), "shared")
+    small = sizes.count() <= BROADCAST_ROWS
+    shared = materialize(keyed.join(F.broadcast(sizes) if small else sizes, "key"), "shared")
     few = shared.where(F.col("n") <= crowd).select("key", "fp")
-    pairs = few.select("key", F.col("fp").alias("a")).join(few.select("key", F.col("fp").alias("b")), "key").where("a < b").where(_distance("a", "b") <= 2).select("a", "b").distinct()
+    pairs = few.select("key", F.col("fp").alias("a")).join(few.select(F.col("key").alias("k"), F.col("fp").alias("b")), (F.col("key") == F.col("k")) & (F.col("a") < F.col("b")) & (_distance("a", "b") <= 2)).select("a", "b").distinct()
     many = shared.where(F.col("n") > crowd)
     one = F.array(*[F.struct(F.lit(i).alias("i"), F.col("other").bitwiseAND(F.lit(0xFFFFFFFF ^ (1 << i))).alias("rest")) for i in range(32)])
     both = many.select("fp", "key", F.explode(one).alias("w")).select("fp", F.concat_ws(":", F.col("key"), "w.i", "w.rest").alias("k"))
