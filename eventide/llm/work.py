@@ -12,6 +12,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _TABLES: list[str] = []
+#: Where the folder is kept if spark.checkpoint.dir, which a session cannot change, is unset.
+_OWN = "eventide.work.dir"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,14 +22,14 @@ def shared_dir(spark: SparkSession) -> str:
     Where it is unset, a local session gets a temporary folder and a cluster
     gets a folder in the warehouse, which its executors share.
     """
-    for conf in (spark.conf, spark.sparkContext.getConf()):
-        if found := conf.get("spark.checkpoint.dir", None):
-            return found
-    if spark.sparkContext.master.startswith("local") and not spark.sparkContext.master.startswith("local-cluster"):
+    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(_OWN, None):
+        return found
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
         made = tempfile.mkdtemp(prefix="eventide-")
     else:
         made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/eventide_work"
-    spark.conf.set("spark.checkpoint.dir", made)
+    spark.conf.set(_OWN, made)
     return made
 
 
