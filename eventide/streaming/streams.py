@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -59,8 +60,6 @@ def each_batch(stream: DataFrame, fold: Callable[[DataFrame, int], None], checkp
 
 def replay_daily_bars(spark: SparkSession, path: str) -> DataFrame:
     """The recorded ticks replayed as a stream; the last days stay open behind the watermark."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="eventide-stream-")
-    import uuid
-
+    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="eventide-stream-")
     at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
     return drain(daily_bars(tick_stream(spark, path)), f"{at}/bars", f"{at}/checkpoint")
