@@ -120,3 +120,8 @@ def add_rate_returns(fx: DataFrame, rate: str = "ccl") -> DataFrame:
     """``ccl_return_1d`` and ``ccl_return_5d`` of an exchange-rate series."""
     w = W.partitionBy(F.lit(0)).orderBy("session")
     return fx.withColumns({f"ccl_return_{n}d": ratio(F.col(rate), F.lag(rate, n).over(w)) - 1 for n in (1, 5)})
+
+
+def with_series(df: DataFrame, series: DataFrame, columns: list[str]) -> DataFrame:
+    """Features that are the same for all instruments of a session, such as rates."""
+    return df.join(series.select("session", *columns), "session", "left")

@@ -33,3 +33,9 @@ def net(gross: Column, roundtrip_: Column) -> Column:
 
 def break_even(gross: Column, baseline: Column) -> Column:
     return F.greatest(F.lit(0.0), gross - baseline)
+
+
+def summarise(costs: dict = COSTS, market: str = "argentina") -> dict[str, float]:
+    """A market's costs in percent, rounded for reports."""
+    c = costs.get(market, costs["argentina"])
+    return {"commission_pct": round(c[0] * 100, 4), "fees_pct": round(c[1] * 100, 4), "slippage_pct": round(c[2] * 100, 4), "per_side_pct": round(per_side(costs, market) * 100, 2), "roundtrip_pct": round(roundtrip(costs, market) * 100, 2)}

@@ -341,6 +341,36 @@ def test_experiment(spark, sf, tmp_path):
     assert less.enriched.where("matched_baseline_status = 'INSUFFICIENT' and incremental_edge_net is not null").count() == 0
 
 
+def test_report_files(spark, sf, tmp_path):
+    from eventide.plans import report
+
+    e = Experiment("demo", [events.Rule("return_60d", ">", 0.1)], 20, (5,), 5)
+    study = run(spark, e, market.bars(spark, sf), market.benchmark(spark, sf), F.lit("usa"))
+    report.write(e, study, ("RESEARCH", "because"), str(tmp_path / "out"), {"event": "x"})
+    text = (tmp_path / "out" / "summary.md").read_text()
+    assert text.startswith("# demo") and "| 5 | " in text and (tmp_path / "out" / "metadata.json").exists()
+    assert spark.read.option("header", True).csv(str(tmp_path / "out" / "canonical_trades")).count() == study.enriched.count()
+    (tmp_path / "a.yaml").write_text("id: a\nconditions: []\n")
+    assert [c["id"] for c in report.catalogue(str(tmp_path))] == ["a"] and report.number(None) == "—"
+
+
+def test_futures_and_paper_runs(spark, sf):
+    from eventide.plans import futures, paper
+
+    ticks = market.ticks(spark, sf)
+    days = [r[0] for r in ticks.select(F.to_date("ts")).distinct().orderBy(F.to_date("ts")).limit(3).collect()]
+    signals = spark.createDataFrame([("A", d) for d in days] + [("A", date(1999, 1, 1))], "ticker string, session date")
+    t, s = futures.run(signals, ticks, "click", (1, 3))
+    assert 0 < t.count() <= 6 and s.where("n > 0").count() == s.count() > 0
+    f = ft.add_positions(bars(spark, [1.0, 2.0, 3.0])).withColumn("x", F.col("close"))
+    none = spark.createDataFrame([], "ticker string, signal_type string, signal_date date, entry_date date, entry_price double, quantity long, position_usd double")
+    new, old = paper.day(none, f, {"up": [events.Rule("x", ">", 1.5)], "no": [events.Rule("nope", ">", 1.5)]}, F.lit(DAY + timedelta(days=3)), 5, 100.0, 10, 0.01)
+    assert [(r["ticker"], r["signal_type"], r["quantity"]) for r in new.collect()] == [("A", "up", 50)] and old.count() == 0
+    assert costs.summarise()["roundtrip_pct"] == 1.96
+    rates = spark.createDataFrame([(DAY, 1.0), (DAY + timedelta(days=1), 1.1)], "session date, ccl double")
+    assert [x if x is None else round(x, 9) for x in column(ft.with_series(f, ft.add_rate_returns(rates), ["ccl_return_1d"]), "ccl_return_1d")] == [None, 0.1, None]
+
+
 def test_stream_matches_batch(spark, sf):
     from eventide.streaming.streams import replay_daily_bars
 
