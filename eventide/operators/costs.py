@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Commission, fees, slippage per side, least round trip; by market.
-COSTS = {"argentina": (0.0070, 0.0008, 0.0020, 0.0), "futures": (0.0015, 0.0003, 0.0005, 0.0), "usa": (0.0010, 0.0001, 0.0010, 0.0)}
+COSTS = {"argentina": (0.0070, 0.0008, 0.0020, 0.015), "futures": (0.0015, 0.0003, 0.0005, 0.003), "usa": (0.0010, 0.0001, 0.0010, 0.0)}
 
 
 def per_side(costs: dict = COSTS, market: str = "argentina") -> float:

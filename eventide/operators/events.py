@@ -14,9 +14,15 @@ OPERATORS = {">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operat
 
 #: The range that each feature's threshold may lie in.
 FEATURE_RANGES = {
-    "rsi_14": (0.0, 100.0), "atr_percentile_60d": (0.0, 1.0), "volume_ratio_20d": (0.0, 100.0), "return_3d": (-1.0, 10.0),
-    "return_60d": (-1.0, 10.0), "distance_to_high_60d": (-1.0, 0.0), "bb_pct_b": (-10.0, 10.0), "close_above_sma_200": (0.0, 1.0),
-}
+    "atr_percentile_60d": (0.0, 1.0),
+    "distance_to_high_60d": (-1.0, 0.0),
+    "return_3d": (-1.0, 10.0),
+    "return_60d": (-1.0, 10.0),
+    "return_3d_zscore": (-10.0, 10.0),
+    "volume_ratio_20d": (0.0, 100.0),
+    "close_above_sma_200": (0.0, 1.0),
+    "close_breaks_high_20d": (0.0, 1.0),
+}
 
 
 @dataclass(frozen=True)

@@ -89,7 +89,7 @@ def test_rule_forms(spark):
     assert n([{"feature": "nope", "operator": ">", "value": 2}]) == 0 and n([{"operator": ">"}]) == 0 and n("junk") == 0
     with pytest.raises(ValueError):
         events.compile_rule(events.Rule("x", "~", 1))
-    assert events.range_errors([{"feature": "rsi_14", "operator": "<", "value": 130}]) and not events.range_errors([{"feature": "rsi_14", "operator": "<", "value": 30}, {"feature": "other", "operator": "<", "value": 1e9}])
+    assert events.range_errors([{"feature": "atr_percentile_60d", "operator": "<", "value": 1.3}]) and not events.range_errors([{"feature": "atr_percentile_60d", "operator": "<", "value": 0.3}, {"feature": "other", "operator": "<", "value": 1e9}])
 
 
 def greedy(pos, k):
