@@ -37,6 +37,8 @@ from .work import materialize
 CROWD = 64
 #: Shared variants are broadcast up to this many rows of 16 bytes, and joined by shuffle beyond.
 BROADCAST_ROWS = 1_000_000
+#: Distinct fingerprints that one task expands.
+TASK_ROWS = 50_000
 
 
 def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
@@ -128,6 +130,8 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
 def classes(rows: DataFrame) -> DataFrame:
     """(fp, root) for each distinct fingerprint; equal roots are one component."""
     fps = materialize(rows.select("fp").distinct(), "distinct")
+    # A small table of 64 variants a row: dealt out by rows, as its bytes would make few tasks.
+    fps = fps.repartition(1 + fps.count() // TASK_ROWS, "fp")
     labels = materialize(connected_components(links(fps), "a", "b"), "labels")
     return fps.join(labels.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
