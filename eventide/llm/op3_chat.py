@@ -43,7 +43,9 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
 
 def format_chats(conversations: DataFrame, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Maximal conversations, rendered: conv_id, n_turns, n_copies, rendered."""
-    turns = conversations.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text")).distinct()
+    turns = conversations.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.coalesce(role_col, F.lit("")).alias("role"), F.coalesce(text_col, F.lit("")).alias("text"))
+    # One shuffle of the texts serves the distinct and the windows.
+    turns = turns.repartition("conv_id").distinct()
     hashed = materialize(prefix_hashes(turns), "turns")
     inner = hashed.where("at < n").select("h1", "h2").distinct()
     whole = hashed.where("at = n").groupBy("h1", "h2").agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_copies"))
