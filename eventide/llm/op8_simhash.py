@@ -17,10 +17,16 @@ Words of a null text are none: fingerprint zero, linked like any other. A text
 of one or two words is one shingle. Repeated rows each give a row.
 ``component_id`` is the smallest id reachable; null ids count as no id, and a
 component of null ids only has a null id.
+
+``simhash_filter`` can ask for a Jaccard similarity of word shingles instead.
+At 0.8 fingerprints differ in about 10 bits, which no selective variant
+reaches, so candidates share a min-wise band or a component of fingerprints,
+and each link is verified on the shingles themselves.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
@@ -31,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .texts import map_texts
-from .work import materialize
+from .work import discard, materialize
 
 #: A variant shared by more distinct fingerprints than this takes the second wildcard.
 CROWD = 64
@@ -39,10 +45,13 @@ CROWD = 64
 BROADCAST_ROWS = 1_000_000
 #: Distinct fingerprints that one task expands.
 TASK_ROWS = 50_000
+#: Min-wise keys: texts at Jaccard similarity 0.8 share one of the bands with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9996.
+BANDS, ROWS = 20, 5
+_FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
-    """The 64-bit SimHash of each text, over XXH64 (seed 42) of word shingles."""
+def _shingles(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 (seed 42) of the word shingles of all texts, and how many each text has."""
     hashes: list[int] = []
     sizes = []
     xx = xxhash.xxh64_intdigest
@@ -58,7 +67,12 @@ def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
         starts = [0, *accumulate([len(w) + 1 for w in words])]
         hashes += [xx(joined[a : b - 1], 42) for a, b in zip(starts, starts[width:])]
         sizes.append(n - width + 1)
-    return _majority(np.array(hashes, dtype=np.uint64), np.array(sizes, dtype=np.int64))
+    return np.array(hashes, dtype=np.uint64), np.array(sizes, dtype=np.int64)
+
+
+def fingerprints(texts: list[bytes], width: int = 3) -> np.ndarray:
+    """The 64-bit SimHash of each text."""
+    return _majority(*_shingles(texts, width))
 
 
 def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -85,8 +99,8 @@ def _majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return out
 
 
-def _fingerprinted(docs: DataFrame, keep: dict[str, Column], text_col: str) -> DataFrame:
-    return map_texts(docs, keep, text_col, "fp long", lambda texts: {"fp": pa.array(fingerprints(texts).view(np.int64))})
+def _fingerprinted(docs: DataFrame, keep: dict[str, Column], text_col: str, width: int = 3) -> DataFrame:
+    return map_texts(docs, keep, text_col, "fp long", lambda texts: {"fp": pa.array(fingerprints(texts, width).view(np.int64))})
 
 
 def _segments() -> Column:
@@ -146,12 +160,124 @@ def simhash_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     return rows.join(table, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def simhash_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group: the smallest id, then the smallest text hash."""
+def _distinct(hashes: np.ndarray, sizes: np.ndarray) -> list[np.ndarray]:
+    return [np.unique(hashes[e - n : e]) for e, n in zip(np.cumsum(sizes).tolist(), sizes.tolist())]
+
+
+def _sketches(texts: list[bytes], width: int) -> dict[str, pa.Array]:
+    """Each text's fingerprint, hash and number of its distinct shingles, and the min-wise keys of its bands."""
+    hashes, sizes = _shingles(texts, width)
+    ends = np.cumsum(sizes)
+    grams = _distinct(hashes, sizes)
+    full = np.flatnonzero(sizes)
+    keys = np.zeros((len(full), BANDS), dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+    for k, factor in enumerate(_FACTORS if len(full) else []):
+        mixed = (keys[:, k // ROWS] ^ np.minimum.reduceat(hashes * factor, (ends - sizes)[full])) * np.uint64(0x9E3779B97F4A7C15)
+        keys[:, k // ROWS] = mixed ^ (mixed >> np.uint64(29))
+    bands: list[np.ndarray] = [keys[:0].reshape(-1).view(np.int64)] * len(texts)
+    for i, row in zip(full.tolist(), keys.view(np.int64)):
+        bands[i] = row
+    return {
+        "fp": pa.array(_majority(hashes, sizes).view(np.int64)), "whole": pa.array(np.array([xxhash.xxh64_intdigest(g.tobytes(), 42) for g in grams], dtype=np.uint64).view(np.int64)),
+        "size": pa.array(np.array([len(g) for g in grams], dtype=np.int64)), "bands": pa.array(bands, pa.list_(pa.int64())),
+    }
+
+
+def _grams(pairs: DataFrame, sets: DataFrame, docs: DataFrame, text_col: str, width: int) -> DataFrame:
+    """(whole, grams): the distinct shingles of the sets that ``pairs`` names, from the text of one row each."""
+    named = pairs.select(F.explode(F.array("a", "b")).alias("whole")).distinct()
+    heads = materialize(sets.join(named, "whole", "left_semi").select("whole", "best.id", "best.mark"), "heads")
+    small = heads.count() <= BROADCAST_ROWS
+    texts = docs.join(F.broadcast(heads) if small else heads, docs["__id"].eqNullSafe(heads["id"]) & (docs["__mark"] == heads["mark"]))
+    grams = map_texts(texts, {"whole": F.col("whole")}, text_col, "grams binary", lambda own: {"grams": pa.array([g.tobytes() for g in _distinct(*_shingles(own, width))], pa.binary())})
+    return materialize(grams.dropDuplicates(["whole"]), "grams")
+
+
+def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """The (a, b) of ``pairs`` whose shingles' Jaccard similarity is ``similarity`` at least."""
+    first, second = (grams.select(F.col("whole").alias(x), F.col("grams").alias(f"{x}_grams")) for x in "ab")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column("a_grams"), batch.column("b_grams")):
+                x, y = (np.frombuffer(v.as_buffer(), dtype=np.uint64) for v in (x, y))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    found = materialize(pairs.join(second, "b").join(first, "a").select("a", "b", "a_grams", "b_grams").mapInArrow(run, "a long, b long"), "found")
+    discard(grams)
+    return found
+
+
+def jaccard_links(sets: DataFrame, grams: Callable[[DataFrame], DataFrame], similarity: float, crowd: int = CROWD) -> DataFrame:
+    """(a, b) rows that hold the components of distinct sets (whole, size, keys) at ``similarity``.
+
+    Sets that share a key are candidates, and every link is verified. First
+    each set is held against one of each of its keys, drawn by hash; then, for
+    keys whose sets are not yet in one component, every pair that is still
+    apart. Keys of more than ``crowd`` sets are held against a second one
+    instead of pairs.
+    """
+    keyed = sets.select("whole", "size", F.explode("keys").alias("key"))
+    sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    small = sizes.count() <= BROADCAST_ROWS
+    shared = materialize(keyed.join(F.broadcast(sizes) if small else sizes, "key"), "shared")
+
+    def stars(rows: DataFrame, salt: int, *also: str) -> DataFrame:
+        centre = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "whole", F.lit(salt)).alias("h"), "whole", "size", *also)).alias("c"))
+        apart = F.col("whole") != F.col("c.whole")
+        for x in also:
+            apart &= F.col(x) != F.col(f"c.{x}")
+        return pairs(rows.join(centre, "key").where(apart), F.col("whole"), F.col("size"), F.col("c.whole"), F.col("c.size"))
+
+    def pairs(rows: DataFrame, a: Column, m: Column, b: Column, n: Column) -> DataFrame:
+        return rows.where(F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
+
+    tried = materialize(stars(shared, 0), "tried")
+    found = _verified(tried, grams(tried), similarity)
+    labels = materialize(connected_components(found, "a", "b"), "labels")
+    named = shared.join(labels.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("component", "whole")).drop("component")
+    named = materialize(named, "named")
+    split = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+    left = materialize(named.join(split, "key"), "left")
+    few = left.where(F.col("n") <= crowd)
+    other = few.select("key", F.col("whole").alias("w"), F.col("size").alias("s"), F.col("root").alias("r"))
+    rest = pairs(few.join(other, "key").where("whole < w and root <> r"), F.col("whole"), F.col("size"), F.col("w"), F.col("s"))
+    rest = rest.unionByName(stars(left.where(F.col("n") > crowd), 1, "root")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = materialize(rest, "rest")
+    return found.unionByName(_verified(rest, grams(rest), similarity))
+
+
+def _alike(rows: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:
+    """(root, best) for each component of the rows' sets of shingles."""
+    sets = rows.groupBy("whole").agg(F.min("size").alias("size"), F.min("fp").alias("fp"), F.min("bands").alias("bands"), F.min(_order()).alias("best")).join(classes(rows), "fp")
+    sets = materialize(sets.select("whole", "size", "best", F.concat("bands", F.array(F.xxhash64(F.lit("fp"), "root"))).alias("keys")), "sets")
+    links = jaccard_links(sets, lambda pairs: _grams(pairs, sets, docs, text_col, width), similarity)
+    labels = materialize(connected_components(links, "a", "b"), "labels")
+    return sets.select("whole", "best").join(labels.withColumnRenamed("node", "whole"), "whole", "left").select(F.coalesce("component", "whole").alias("root"), "best")
+
+
+def _order() -> Column:
+    return F.struct(F.col("id").isNull().alias("none"), "id", "mark")
+
+
+def simhash_filter(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one row of each group: the smallest id, then the smallest text hash.
+
+    Groups are op8's components, or with ``similarity`` the components of texts
+    whose shingles of ``width`` words have that Jaccard similarity at least.
+    """
     mark = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-    rows = materialize(_fingerprinted(docs, {"id": F.col(id_col), "mark": mark}, text_col), "fingerprints")
-    order = F.struct(F.col("id").isNull().alias("none"), "id", "mark")
-    best = rows.groupBy("fp").agg(F.min(order).alias("best")).join(classes(rows), "fp").groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.mark").alias("__mark"))
+    head = {"id": F.col(id_col), "mark": mark}
+    if similarity is None:
+        rows = materialize(_fingerprinted(docs, head, text_col, width), "fingerprints")
+        best = rows.groupBy("fp").agg(F.min(_order()).alias("best")).join(classes(rows), "fp")
+    else:
+        rows = materialize(map_texts(docs, head, text_col, "fp long, whole long, size long, bands array<long>", lambda texts: _sketches(texts, width), chunk_bytes=2 << 20), "fingerprints")
+        best = _alike(rows, docs.select(F.col(id_col).alias("__id"), mark.alias("__mark"), text_col), text_col, width, similarity)
+    best = best.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.id").alias("__id"), F.col("best.mark").alias("__mark"))
     many = rows.groupBy(F.col("id").alias("__i"), F.col("mark").alias("__m")).agg(F.count("*").alias("__n")).where("__n > 1")
     best = best.join(many, F.col("__id").eqNullSafe(F.col("__i")) & (F.col("__mark") == F.col("__m")), "left")
     best = materialize(best.select("__id", "__mark", F.coalesce("__n", F.lit(1)).alias("__n")), "kept")
