@@ -17,6 +17,13 @@ edited copy is found by a stretch between its edits. ``repetitions`` follows fro
 target recall: a window that differs by ``window_edits`` edits keeps a key with
 probability ``p``, and ``1 - (1 - p) ** (repetitions * windows)`` must reach it.
 
+Windows alone lose copies near the full edit budget, so seeds are a second
+source of candidates: exact grams of an item at any character of the text. As
+many of them must lie on neighbouring diagonals as the target share of copies
+keeps when all allowed edits fall at random places (``seed_rule``). Before the
+dynamic programme, a candidate must hold as many of the item's trigrams as the
+allowed edits leave in any case, which loses nothing.
+
 Items of fewer than five words are left out. Null texts are empty. Repeated
 rows each give a row. Items are searched in blocks of ``block_chars``
 characters, so what a task holds is bounded however large the benchmark is.
@@ -25,6 +32,7 @@ characters, so what a task holds is bounded however large the benchmark is.
 from __future__ import annotations
 
 import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +95,36 @@ def repetitions_for(recall: float, samples: int, window: int, edits: int, window
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 1 - 1e-9)) / windows))
 
 
+#: Gram sizes for seeds, and the least number of seeds that a size must promise to be used.
+SEED_GRAMS, SEEDS_LEAST = (8, 7, 6, 5, 4), 4
+
+
+@lru_cache(maxsize=4096)
+def seed_rule(size: int, edits: int, recall: float, trials: int = 1000) -> tuple[int, int]:
+    """(gram size, seeds): what ``recall`` of copies of ``size`` characters keep at least after ``edits`` random edits."""
+    rng = np.random.default_rng(size)
+    at = np.sort(np.argsort(rng.random((trials, size)), axis=1)[:, :edits], axis=1)
+    ends = np.concatenate([np.full((trials, 1), -1), at, np.full((trials, 1), size)], axis=1)
+    runs = np.diff(ends, axis=1) - 1
+    for gram in SEED_GRAMS:
+        seeds = int(np.quantile(np.maximum(0, runs - gram + 1).sum(axis=1), 1 - recall, method="lower"))
+        if seeds >= SEEDS_LEAST:
+            return gram, seeds
+    return gram, max(1, seeds)
+
+
+def _rolling(buffer: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros(max(0, len(buffer) - size + 1), dtype=np.uint64)
+    for k in range(size):
+        out = out * np.uint64(0x100000001B3) + buffer[k : k + len(out)]
+    return out
+
+
+def _trigrams(text: bytes) -> np.ndarray:
+    x = np.frombuffer(text, dtype=np.uint8).astype(np.int32)
+    return x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+
+
 class CgkIndex:
     """Keys of item windows by window class, and what it takes to look texts up."""
 
@@ -107,6 +145,7 @@ class CgkIndex:
         self.sampled = [{c: np.sort(rng.choice(np.arange(c // 2, self.STEPS * c), min(samples, c), replace=False)) for c in self.CLASSES} for _ in range(self.repetitions)]
         if not self.items:
             return
+        self._seed(recall)
         buffer, cuts = _flatten([t for _, t in self.items])
         starts = _word_starts(buffer)
         item = np.searchsorted(cuts, starts, side="right") - 1
@@ -136,6 +175,68 @@ class CgkIndex:
                     own[k] = (keys[order], item[here][order], offset[here][order])
             self.tables.append(own)
 
+    def _seed(self, recall: float) -> None:
+        """Sorted grams of the items by gram size, each with a filter, its items and offsets."""
+        size = np.array([len(t) for _, t in self.items])
+        self.most = ((1 - self.similarity) * size + 1e-9).astype(np.int64)
+        # Rules are for lengths in small steps, as fewer characters promise fewer seeds; half of what may be lost is lost here.
+        grid = [max(4, math.floor(1.03 ** math.floor(math.log(n) / math.log(1.03) + 1e-9))) for n in size.tolist()]
+        rules = np.array([seed_rule(n, math.ceil((1 - self.similarity) * n - 1e-9), 1 - (1 - recall) / 2) for n in grid])
+        self.needed = rules[:, 1]
+        self.held = np.zeros(1 << 24, dtype=bool)
+        self.trigrams = [_trigrams(t) for _, t in self.items]
+        self.seeds = []
+        for gram in sorted(set(rules[:, 0].tolist())):
+            own = np.flatnonzero((rules[:, 0] == gram) & (size >= gram))
+            if not len(own):
+                continue
+            keys = np.concatenate([_rolling(np.frombuffer(self.items[i][1], dtype=np.uint8), gram) for i in own])
+            n = size[own] - gram + 1
+            order = np.argsort(keys, kind="stable")
+            item, offset = np.repeat(own, n)[order], (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[order]
+            bits = max(16, (16 * len(keys)).bit_length())
+            known = np.zeros(1 << bits, dtype=bool)
+            known[(_mix(keys) >> np.uint64(64 - bits)).astype(np.int64)] = True
+            distinct, first, n = np.unique(keys[order], return_index=True, return_counts=True)
+            self.seeds.append((gram, distinct, first, n, item, offset, bits, known))
+
+    def _seeded(self, buffer: np.ndarray) -> np.ndarray:
+        """(item's place, a place in the text, item) of candidates by seeds, as columns."""
+        out = [np.empty((3, 0), dtype=np.int64)]
+        for gram, keys, first, counts, items, offsets, bits, known in self.seeds:
+            found = []
+            for a in range(0, len(buffer), 1 << 16):
+                mine = _rolling(buffer[a : a + (1 << 16) + gram - 1], gram)
+                hit = np.flatnonzero(known[(_mix(mine) >> np.uint64(64 - bits)).astype(np.int64)])
+                place = np.minimum(np.searchsorted(keys, mine[hit]), len(keys) - 1)
+                same = keys[place] == mine[hit]
+                hit, low, n = hit[same], first[place[same]], counts[place[same]]
+                entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                found.append(np.stack([np.repeat(hit + a, n), offsets[entry], items[entry]]))
+            at, offset, item = np.concatenate(found, axis=1)
+            width = np.maximum(8, self.most[item])
+            # A copy's seeds are on diagonals at most ``width`` apart, so they are in one strip or in two neighbours.
+            strip = (at - offset + _PAD * 16) // width
+            key = item << 32 | strip
+            order = np.lexsort((offset, key))
+            key, offset, at = key[order], offset[order], at[order]
+            new = np.ones(len(key), dtype=bool)
+            new[1:] = (key[1:] != key[:-1]) | (offset[1:] != offset[:-1])
+            strips, n = np.unique(key[new], return_counts=True)
+            after = np.flatnonzero(np.diff(strips) == 1)
+            both, ahead = n.copy(), n.copy()
+            both[after] += n[after + 1]
+            ahead[after + 1] += n[after]
+            good = np.maximum(both, ahead) >= self.needed[strips >> 32]
+            keep = np.isin(key, strips[good])
+            key, at = key[keep], at[keep]
+            item = key >> 32
+            width = np.maximum(8, self.most[item])
+            begin = (key & 0xFFFFFFFF) * width - _PAD * 16
+            for place in (begin, begin + width):
+                out.append(np.stack([place, at, item]))
+        return np.concatenate(out, axis=1)
+
     def _slot(self, grams: np.ndarray) -> np.ndarray:
         return (_mix(grams) >> np.uint64(64 - self.filter_bits)).astype(np.int64)
 
@@ -178,8 +279,10 @@ class CgkIndex:
                 n = (high - low)[hit]
                 entry = np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
                 spots.append(np.stack([np.repeat(own[hit], n) - offset[entry], np.repeat(own[hit], n), item[entry]]))
+        spots.append(self._seeded(buffer[: int(cuts[-1]) + 1]))
         at, own, item = np.concatenate(spots, axis=1)
         doc = np.searchsorted(cuts, own, side="right") - 1
+        at, doc, item = np.unique(np.stack([at, doc, item]), axis=1) if len(at) else (at, doc, item)
         # One check for all candidates of an item whose places are within its slack of each other.
         order = np.lexsort((at, item, doc))
         at, doc, item = at[order], doc[order], item[order]
@@ -201,17 +304,25 @@ class CgkIndex:
                 spans[-1][1] = max(b, spans[-1][1])
             else:
                 spans.append([a, b])
+        least, own = len(item) - 2 - 3 * most, self.trigrams[i]
         for a, b in spans:
-            distance, stop = fitting_distance(item, buffer[a:b].tobytes())
+            text = _trigrams(buffer[a:b].tobytes())
+            self.held[text] = True
+            left = np.count_nonzero(self.held[own])
+            self.held[text] = False
+            if left < least:
+                continue
+            distance, stop = fitting_distance(item, buffer[a:b].tobytes(), most)
             if distance <= most and (best is None or distance < best[0]):
                 best = (distance, max(0, a + stop - len(item) - begin))
         return best
 
 
-def fitting_distance(pattern: bytes, text: bytes) -> tuple[int, int]:
+def fitting_distance(pattern: bytes, text: bytes, most: int | None = None) -> tuple[int, int]:
     """Least edit distance of ``pattern`` to a substring of ``text``, and the first end of one.
 
-    Myers' bit-parallel dynamic programme, exact for any lengths.
+    Myers' bit-parallel dynamic programme, exact for any lengths. A distance
+    over ``most`` may come out larger: it ends once the rest cannot reach ``most``.
     """
     m = len(pattern)
     if not m:
@@ -221,7 +332,7 @@ def fitting_distance(pattern: bytes, text: bytes) -> tuple[int, int]:
     for i, c in enumerate(pattern):
         equal[c] = equal.get(c, 0) | 1 << i
     up, down, score = ones, 0, m
-    best, stop = m, 0
+    best, stop, last = m, 0, len(text) + (m if most is None else most)
     for j, c in enumerate(text, 1):
         eq = equal.get(c, 0)
         xv = eq | down
@@ -234,6 +345,8 @@ def fitting_distance(pattern: bytes, text: bytes) -> tuple[int, int]:
         down = ph & xv
         if score < best:
             best, stop = score, j
+        elif score + j > last and best > last - len(text):
+            break
     return best, stop
 
 

@@ -67,3 +67,28 @@ def test_crowded_keys(spark, monkeypatch, crowd):
     monkeypatch.setattr(op8_simhash.jaccard_links, "__defaults__", (crowd,))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert kept(df, spark) == survivors(rows) == [(False, 0), (False, 1000)]
+
+
+def test_copies_at_the_full_edit_budget(sf):
+    """Items with a fifth of their characters edited, in the midst of other text."""
+    import pyarrow.parquet as pq
+
+    from eventide.llm import op4_decontam
+
+    rnd = random.Random(9)
+    items = [(r["item_id"], op4_decontam.normalise(r["text"].encode())) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()]
+    body = [op4_decontam.normalise((r["text"] or "").encode())[:500] for r in pq.read_table(f"{sf}/documents.parquet").to_pylist()]
+    texts, want = [], []
+    for j, (i, t) in enumerate(items * 2):
+        out = [t[k : k + 1] for k in range(len(t))]
+        for k in rnd.sample(range(len(out)), len(out) // 5):
+            out[k] = rnd.choice([b"", b"q", out[k] + b"z"])
+        copy = op4_decontam.normalise(b"".join(out))
+        if op4_decontam.fitting_distance(t, copy)[0] <= int(0.2 * len(t) + 1e-9):
+            texts.append(body[j % len(body)] + b" " + copy + b" " + body[-1 - j % len(body)])
+            want.append((i, t))
+    got = op4_decontam.CgkIndex(items).search(texts)
+    for (i, t), text, hits in zip(want, texts, got):
+        near = {h[0]: h[1] for h in hits}
+        assert i not in near or near[i] == op4_decontam.fitting_distance(t, text)[0]
+    assert len(want) > len(items) and sum(i in [h[0] for h in hits] for (i, _), hits in zip(want, got)) >= 0.99 * len(want)
