@@ -460,12 +460,18 @@ _EVIDENCE = "ev AS (SELECT horizon, count(*)::BIGINT AS n_total, avg(net_return_
 
 @query("decision_table", f"{s.STUDY},\n{_EVIDENCE}", "SELECT horizon, n_total, mean, median, CASE WHEN n_total < 40 OR mean <= 0 OR coalesce(validation_median <= 0, false) OR coalesce(validation_n < 10, false) OR coalesce(holdout_median <= 0, false) OR coalesce(holdout_n < 10, false) THEN 'REJECTED' WHEN n_total >= 60 AND median > 0 AND best_trade_pct <= 20 AND mean >= 1.5 * cost_pct THEN 'CANDIDATE' ELSE 'RESEARCH' END AS verdict FROM ev")
 def _(spark, d):
+    return decision.decide_all(evidence(canon(spark, d), per_event(spark, d))).select("horizon", "n_total", "mean", "median", "verdict")
+
+
+def evidence(t: DataFrame, controls: DataFrame) -> DataFrame:
+    """What the gates ask for, per horizon: metrics of trades, the share of events with controls, the bootstrap interval."""
     x, part = F.col("net_return_pct"), F.col("temporal_split")
     aggs = [F.count("*").alias("n_total"), F.avg(x).alias("mean"), F.median(x).alias("median"), (100 * F.max(x) / F.nullif(F.sum(x), F.lit(0.0))).alias("best_trade_pct"), F.avg("transaction_cost_pct").alias("cost_pct")]
     for p in ("validation", "holdout"):
         aggs += [F.median(F.when(part == p, x)).alias(f"{p}_median"), F.count_if(part == p).alias(f"{p}_n")]
-    e = canon(spark, d).groupBy("horizon").agg(*aggs).withColumns({"coverage_pct": F.lit(100.0), "ci_lower": F.lit(1.0), "ci_upper": F.lit(2.0)})
-    return decision.decide_all(e).select("horizon", "n_total", "mean", "median", "verdict")
+    cover = controls.groupBy("horizon").agg((100 * F.avg((F.col("status") != "INSUFFICIENT").cast("double"))).alias("coverage_pct"))
+    boot = robustness.bootstrap(t, ["horizon"]).select("horizon", "ci_lower", "ci_upper")
+    return t.groupBy("horizon").agg(*aggs).join(cover, "horizon", "left").join(boot, "horizon", "left")
 
 
 # --- ticks and ledger ------------------------------------------------------------------------
