@@ -452,7 +452,7 @@ def _(spark, d):
 
 @query("bootstrap_numpy")
 def _(spark, d):
-    return robustness.bootstrap(canon(spark, d), ["horizon"], n=2000)
+    return robustness.bootstrap(canon(spark, d), ["horizon"])
 
 
 _EVIDENCE = "ev AS (SELECT horizon, count(*)::BIGINT AS n_total, avg(net_return_pct) AS mean, median(net_return_pct) AS median, median(net_return_pct) FILTER (temporal_split = 'validation') AS validation_median, count(*) FILTER (temporal_split = 'validation')::BIGINT AS validation_n, median(net_return_pct) FILTER (temporal_split = 'holdout') AS holdout_median, count(*) FILTER (temporal_split = 'holdout')::BIGINT AS holdout_n, 100 * max(net_return_pct) / nullif(sum(net_return_pct), 0) AS best_trade_pct, avg(transaction_cost_pct) AS cost_pct FROM canon GROUP BY horizon)"

@@ -27,3 +27,8 @@ def test_decision_table_has_the_evidence_of_all_gates(spark):
     assert {h: r["verdict"] for h, r in got.items()} == {1: "RESEARCH", 3: "RESEARCH", 5: "CANDIDATE"}
     as_before = e.withColumns({"coverage_pct": F.lit(100.0), "ci_lower": F.lit(1.0), "ci_upper": F.lit(2.0)})
     assert {r["verdict"] for r in decision.decide_all(as_before).collect()} == {"CANDIDATE"}
+
+
+def test_bootstrap_numpy_takes_the_default_resamples(spark, sf):
+    rows = register.QUERIES["bootstrap_numpy"](spark, sf).collect()
+    assert rows and {r["n_iterations"] for r in rows} == {10_000}
