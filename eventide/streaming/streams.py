@@ -52,14 +52,21 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def each_batch(stream: DataFrame, fold: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+def each_batch(stream: DataFrame, fold: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
     """Hands every micro-batch to ``fold``, such as a ledger's merge of positions."""
-    q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
 
 
 def replay_daily_bars(spark: SparkSession, path: str) -> DataFrame:
-    """The recorded ticks replayed as a stream; the last days stay open behind the watermark."""
+    """The recorded ticks replayed as a stream; each batch writes all bars so far, so the last one has every day."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="eventide-stream-")
     at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    return drain(daily_bars(tick_stream(spark, path)), f"{at}/bars", f"{at}/checkpoint")
+    bars, done = daily_bars(tick_stream(spark, path)), []
+
+    def fold(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{at}/bars/{batch}")
+        done.append(batch)
+
+    each_batch(bars, fold, f"{at}/checkpoint", "complete")
+    return spark.read.schema(bars.schema).parquet(f"{at}/bars/{max(done)}") if done else spark.createDataFrame([], bars.schema)

@@ -32,3 +32,10 @@ def test_decision_table_has_the_evidence_of_all_gates(spark):
 def test_bootstrap_numpy_takes_the_default_resamples(spark, sf):
     rows = register.QUERIES["bootstrap_numpy"](spark, sf).collect()
     assert rows and {r["n_iterations"] for r in rows} == {10_000}
+
+
+def test_stream_daily_bars_has_every_day(spark, sf):
+    days = lambda name: {(r["symbol"], r["day"]): r["n_ticks"] for r in register.QUERIES[name](spark, sf).collect()}
+    stream, batch = days("stream_daily_bars"), days("ticks_to_daily")
+    print("bars", len(stream), len(batch))
+    assert stream.keys() == {*batch}
