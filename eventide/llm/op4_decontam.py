@@ -3,30 +3,32 @@
 Texts and items are normalised to lower-case words of letters and digits with
 single spaces. The CGK random walk copies a string, and repeats each character
 or not by a random bit of (step, character), so strings at a small edit
-distance get embeddings at a small Hamming distance. A repetition samples
-positions of the walk over an item-sized window and hashes them to a key;
-windows of a text and of an item with an equal key are candidates. Verification
-is exact: the smallest edit distance of the item to any part of the text around
-the candidate, by a bit-parallel dynamic programme, must be at most
-``1 - similarity`` of the item's length.
-
-Windows begin at words, where an item's word begins with the same eight
-characters. Each word in an item's first half begins a window of about what is
-left of the item, and each word begins short windows too, so that a heavily
-edited copy is found by a stretch between its edits. ``repetitions`` follows from the
-target recall: a window that differs by ``window_edits`` edits keeps a key with
-probability ``p``, and ``1 - (1 - p) ** (repetitions * windows)`` must reach it.
-
-Windows alone lose copies near the full edit budget, so seeds are a second
-source of candidates: exact grams of an item at any character of the text. As
-many of them must lie on neighbouring diagonals as the target share of copies
-keeps when all allowed edits fall at random places (``seed_rule``). Before the
-dynamic programme, a candidate must hold as many of the item's trigrams as the
-allowed edits leave in any case, which loses nothing.
-
-Items of fewer than five words are left out. Null texts are empty. Repeated
-rows each give a row. Items are searched in blocks of ``block_chars``
-characters, so what a task holds is bounded however large the benchmark is.
+distance get embeddings at a small Hamming distance: after an edit two walks
+fall into step again. A repetition samples positions of the walk and hashes
+them to a key.
+
+Windows of ``STEPS`` steps begin at every character of the texts and of the
+items, so no word or gram has to be whole, and scripts without spaces are
+searched like others. An item-sized stretch of a text is a candidate if enough
+of its windows have the key of an item's window on neighbouring diagonals.
+How many is measured: ``survival`` edits strings of an item's length by the full
+budget at random places, by three quarters of it evenly spaced, and at word
+starts, and counts the cells of the string in which keys are left. Repetitions
+rise, and then samples fall, until the share ``recall`` of such copies keeps
+``LEAST`` cells; so many as that share keeps must be found.
+
+Verification is exact: the smallest edit distance of the item to any part of
+the text around the candidate, by a bit-parallel dynamic programme, must be at
+most ``1 - similarity`` of the item's length.
+
+Items of fewer than ``MIN_WORDS`` words are found where exactly their words stand;
+items without words are in no text. Items may be repeated; each gives its rows.
+An item without an id gives rows with a null id; null texts are empty, an empty
+or null item text is in no text. Repeated rows each give a row, other columns
+are ignored; without items or texts there are no rows. Ids may have any type.
+Items are searched in blocks of ``block_chars`` characters, each written before
+the next is read, so that driver and tasks hold one block at a time however
+large the benchmark is.
 """
 
 from __future__ import annotations
@@ -40,16 +42,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .texts import map_texts
+from .work import materialize
 
 _TABLE = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
 SIMILARITY, TARGET_RECALL, MIN_WORDS = 0.8, 0.99, 5
-_SEED = 8
+#: Steps of a window's walk, the most positions that a key samples, characters of a cell, and the least cells that a copy must keep.
+STEPS, SAMPLES, CELL, LEAST = 24, 10, 4, 5
+#: (samples, repetitions) to choose from, the most selective first; a key of fewer samples is a prefix of the whole key.
+PLANS = ((10, 2), (10, 3), (10, 4), (9, 4), (8, 4), (7, 4), (6, 4), (5, 4), (5, 12), (4, 24))
 _PAD = 1 << 12
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return x ^ (x >> np.uint64(29))
+_SLICE = 1 << 15
 
 
 def normalise(text: bytes) -> bytes:
@@ -70,252 +72,344 @@ def _flatten(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([clean[keep], np.zeros(_PAD, dtype=np.uint8)]), moved[cuts]
 
 
-def _grams(buffer: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place, as a number."""
-    out = np.zeros(len(at), dtype=np.uint64)
-    for k in range(_SEED):
-        out |= buffer[at + k].astype(np.uint64) << np.uint64(8 * k)
-    return out
-
-
-def _word_starts(buffer: np.ndarray) -> np.ndarray:
-    inside = buffer > 32
-    starts = inside.copy()
-    starts[1:] &= ~inside[:-1]
-    return np.flatnonzero(starts)
+class CgkWalk:
+    """One repetition: a random walk and the positions that its keys sample."""
 
-
-def repetitions_for(recall: float, samples: int, window: int, edits: int, windows: int) -> int:
-    """CGK: ``edits`` edits move the walks apart for about ``edits`` short excursions.
-
-    An excursion differs in about ``3 * edits`` of the walk's positions, so a
-    key of ``samples`` positions survives with the probability below.
+    def __init__(self, seed: int) -> None:
+        rng = np.random.default_rng(seed)
+        symbols = np.arange(256)
+        # Six bits tell symbols apart (letters, digits and the space for certain); bit 6 + j of a symbol says whether its walk goes on at step j.
+        code = np.where(symbols >= 128, 37 + symbols % 26, np.where(symbols >= 97, symbols - 97, np.where(symbols >= 48, symbols - 48 + 26, np.where(symbols == 32, 36, 63)))) & 63
+        self.table = code | rng.integers(0, 1 << STEPS, 256) << 6
+        # One sample in each of SAMPLES equal parts of the walk.
+        edges = np.linspace(0, STEPS, SAMPLES + 1).astype(int)
+        self.sampled = {int(rng.integers(a, b)) for a, b in zip(edges, edges[1:])}
+
+    def keys(self, buffer: np.ndarray) -> np.ndarray:
+        """Key of the window from every character but the last ``STEPS``."""
+        total = max(0, len(buffer) - STEPS)
+        out = np.zeros(total, dtype=np.int64)
+        at, symbol, bit = (np.empty(min(total, _SLICE), dtype=np.int64) for _ in range(3))
+        for a in range(0, total, _SLICE):
+            n = min(_SLICE, total - a)
+            own = self.table.take(buffer[a : a + n + STEPS])
+            x, w, b, key = at[:n], symbol[:n], bit[:n], out[a : a + n]
+            x[:] = np.arange(n)
+            for j in range(max(self.sampled) + 1):
+                own.take(x, out=w, mode="clip")
+                if j in self.sampled:
+                    np.bitwise_and(w, 63, out=b)
+                    np.left_shift(key, 6, out=key)
+                    np.bitwise_or(key, b, out=key)
+                np.right_shift(w, 6 + j, out=b)
+                np.bitwise_and(b, 1, out=b)
+                np.add(x, b, out=x)
+        return out
+
+
+@lru_cache(maxsize=64)
+def _walk(seed: int) -> CgkWalk:
+    return CgkWalk(seed)
+
+
+def _edited(texts: np.ndarray, edits: int, how: str, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Copies of the rows, edited within ``edits`` edits each, end to end behind zeros, and each symbol's place in ``texts``.
+
+    ``random``: all edits at random places; ``even``: three quarters of them, evenly
+    spaced; ``words``: another symbol at each word's start, for words of 1 to 7 symbols.
     """
-    p = (1 - min(0.9, 3 * edits * edits / (3 * window))) ** samples
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - min(p, 1 - 1e-9)) / windows))
-
-
-#: Gram sizes for seeds, and the least number of seeds that a size must promise to be used.
-SEED_GRAMS, SEEDS_LEAST = (8, 7, 6, 5, 4), 4
+    trials, size = texts.shape
+    if how == "random":
+        at = np.argsort(rng.random((trials, size)), axis=1)[:, :edits]
+    elif how == "even":
+        few = 3 * edits // 4
+        at = np.broadcast_to(((np.arange(few) + 0.5) * size / max(few, 1)).astype(int), (trials, few))
+    else:
+        at = np.cumsum(rng.integers(2, 9, (trials, edits)), axis=1) % size
+    kind = np.zeros((trials, size), dtype=np.int64)
+    rows = np.arange(trials)[:, None]
+    kind[rows, at] = rng.integers(1, 4, at.shape) if how != "words" else 1
+    # Kinds: 0 stays, 1 another symbol, 2 dropped, 3 another symbol behind it; column 0 is the zero before each copy.
+    kind = np.concatenate([np.zeros((trials, 1), dtype=np.int64), kind], axis=1)
+    source = np.concatenate([np.zeros((trials, 1), dtype=np.uint8), texts], axis=1).ravel()
+    n = np.array([1, 1, 0, 2])[kind.ravel()]
+    place = np.repeat(np.arange(len(source)), n)
+    second = np.zeros(len(place), dtype=bool)
+    second[1:] = place[1:] == place[:-1]
+    out = source[place]
+    new = second | (kind.ravel()[place] == 1)
+    out[new] = rng.integers(97, 123, new.sum())
+    return out, place
 
 
 @lru_cache(maxsize=4096)
-def seed_rule(size: int, edits: int, recall: float, trials: int = 1000) -> tuple[int, int]:
-    """(gram size, seeds): what ``recall`` of copies of ``size`` characters keep at least after ``edits`` random edits."""
+def survival(size: int, edits: int, recall: float, seed: int, repetitions: int, trials: int = 200) -> dict[tuple[int, int], int]:
+    """Cells that the share ``recall`` of copies of ``size`` characters keeps at least, by those (samples, repetitions) of ``PLANS`` of at most ``repetitions``.
+
+    The least of three kinds of edits counts. A cell is ``CELL`` characters of the
+    item; it is kept if a window that begins in it has its key in the copy.
+    """
     rng = np.random.default_rng(size)
-    at = np.sort(np.argsort(rng.random((trials, size)), axis=1)[:, :edits], axis=1)
-    ends = np.concatenate([np.full((trials, 1), -1), at, np.full((trials, 1), size)], axis=1)
-    runs = np.diff(ends, axis=1) - 1
-    for gram in SEED_GRAMS:
-        seeds = int(np.quantile(np.maximum(0, runs - gram + 1).sum(axis=1), 1 - recall, method="lower"))
-        if seeds >= SEEDS_LEAST:
-            return gram, seeds
-    return gram, max(1, seeds)
-
-
-def _rolling(buffer: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros(max(0, len(buffer) - size + 1), dtype=np.uint64)
-    for k in range(size):
-        out = out * np.uint64(0x100000001B3) + buffer[k : k + len(out)]
+    texts = rng.integers(97, 123, (trials, size), dtype=np.uint8)
+    pad = np.zeros(STEPS, dtype=np.uint8)
+    flat = np.concatenate([np.concatenate([np.zeros((trials, 1), dtype=np.uint8), texts], axis=1).ravel(), pad])
+    made = [_edited(texts, edits, how, rng) for how in ("random", "even", "words")]
+    kept = {s: np.zeros((len(made), trials, (size - 1) // CELL + 1), dtype=bool) for s, _ in PLANS}
+    out = {}
+    for r in range(repetitions):
+        walk = _walk(seed + r)
+        own = walk.keys(flat)
+        for k, (copy, place) in enumerate(made):
+            # Of each window of a copy, the same window of its source: on the diagonal of its first symbol.
+            apart = np.where(copy > 0, walk.keys(np.concatenate([copy, pad])) ^ own[place], -1)
+            for s, known in kept.items():
+                hit = place[apart >> 6 * (SAMPLES - s) == 0]
+                known[k, hit // (size + 1), (hit % (size + 1) - 1) // CELL] = True
+        for s, n in PLANS:
+            if n == r + 1:
+                out[s, n] = int(min(np.quantile(x, 1 - recall, method="lower") for x in kept[s].sum(axis=2)))
     return out
 
 
-def _trigrams(text: bytes) -> np.ndarray:
-    x = np.frombuffer(text, dtype=np.uint8).astype(np.int32)
-    return x[:-2] << 16 | x[1:-1] << 8 | x[2:]
+def plan_for(size: int, edits: int, recall: float, seed: int) -> tuple[int, int, int]:
+    """(samples, repetitions, cells): the first of ``PLANS`` that promises ``LEAST`` cells, and how many it promises."""
+    for repetitions in (max(n for _, n in PLANS[:5]), PLANS[-1][1]):
+        cells = survival(size, edits, recall, seed, repetitions)
+        for found in PLANS:
+            if cells.get(found, 0) >= LEAST:
+                return *found, cells[found]
+    return *found, max(1, cells[found])
 
 
 class CgkIndex:
-    """Keys of item windows by window class, and what it takes to look texts up."""
-
-    #: Window sizes in characters; an item's words begin windows of the largest that fits what is left of it.
-    CLASSES = (8, 16, 32, 64, 128, 256)
-    #: Windows that every word of an item begins: at many edits, some stretch of this size has none.
-    SHORT = (32,)
-    STEPS = 2
+    """Keys of the items' windows by repetition, and what it takes to look texts up."""
 
-    def __init__(self, items: list[tuple[int, bytes]], samples: int = 14, recall: float = TARGET_RECALL, edits: int = 2, similarity: float = SIMILARITY, seed: int = 7) -> None:
-        self.similarity = similarity
+    def __init__(self, items: list[tuple], recall: float = TARGET_RECALL, similarity: float = SIMILARITY, seed: int = 7) -> None:
+        self.similarity, self.seed = similarity, seed
         clean = [(i, normalise(t)) for i, t in items]
         self.items = [(i, t) for i, t in clean if t.count(b" ") >= MIN_WORDS - 1]
-        self.repetitions = repetitions_for(recall, samples, self.SHORT[0], edits, 4)
-        rng = np.random.default_rng(seed)
-        most = self.STEPS * self.CLASSES[-1]
-        self.walks = [rng.integers(0, 2, (most, 256), dtype=np.uint8) for _ in range(self.repetitions)]
-        self.sampled = [{c: np.sort(rng.choice(np.arange(c // 2, self.STEPS * c), min(samples, c), replace=False)) for c in self.CLASSES} for _ in range(self.repetitions)]
+        self.short: dict[int, dict[tuple, list]] = {}
+        for i, t in clean:
+            words = tuple(t.split())
+            if 0 < len(words) < MIN_WORDS:
+                self.short.setdefault(len(words), {}).setdefault(words, []).append(i)
+        self.tables: list[tuple] = []
         if not self.items:
             return
-        self._seed(recall)
-        buffer, cuts = _flatten([t for _, t in self.items])
-        starts = _word_starts(buffer)
-        item = np.searchsorted(cuts, starts, side="right") - 1
-        offset = starts - cuts[item] - 1
-        size = np.array([len(t) for _, t in self.items])[item]
-        left = size - offset
-        largest = np.searchsorted(np.array(self.CLASSES), left, side="right") - 1
-        picked = [(np.flatnonzero((offset <= size // 2) & (largest == k) | (left >= c) & (c in self.SHORT)), k) for k, c in enumerate(self.CLASSES)]
-        fits = np.concatenate([np.full(len(x), k) for x, k in picked])
-        which = np.concatenate([x for x, _ in picked])
-        starts, item, offset = starts[which], item[which], offset[which]
-        grams = _grams(buffer, starts)
-        self.filter_bits = max(16, (32 * len(grams)).bit_length())
-        self.filter = np.zeros(1 << self.filter_bits, dtype=bool)
-        self.filter[self._slot(grams)] = True
-        self.grams, first = np.unique(grams, return_inverse=True)
-        self.gram_class = np.zeros(len(self.grams), dtype=np.uint8)
-        np.bitwise_or.at(self.gram_class, first, (1 << fits).astype(np.uint8))
-        self.tables = []
-        for r in range(self.repetitions):
-            own = {}
-            for k, c in enumerate(self.CLASSES):
-                here = np.flatnonzero(fits == k)
-                if len(here):
-                    keys = self._embed(buffer, starts[here], r, [k])[k]
-                    order = np.argsort(keys, kind="stable")
-                    own[k] = (keys[order], item[here][order], offset[here][order])
-            self.tables.append(own)
-
-    def _seed(self, recall: float) -> None:
-        """Sorted grams of the items by gram size, each with a filter, its items and offsets."""
-        size = np.array([len(t) for _, t in self.items])
-        self.most = ((1 - self.similarity) * size + 1e-9).astype(np.int64)
-        # Rules are for lengths in small steps, as fewer characters promise fewer seeds; half of what may be lost is lost here.
-        grid = [max(4, math.floor(1.03 ** math.floor(math.log(n) / math.log(1.03) + 1e-9))) for n in size.tolist()]
-        rules = np.array([seed_rule(n, math.ceil((1 - self.similarity) * n - 1e-9), 1 - (1 - recall) / 2) for n in grid])
-        self.needed = rules[:, 1]
-        self.held = np.zeros(1 << 24, dtype=bool)
-        self.trigrams = [_trigrams(t) for _, t in self.items]
-        self.seeds = []
-        for gram in sorted(set(rules[:, 0].tolist())):
-            own = np.flatnonzero((rules[:, 0] == gram) & (size >= gram))
-            if not len(own):
-                continue
-            keys = np.concatenate([_rolling(np.frombuffer(self.items[i][1], dtype=np.uint8), gram) for i in own])
-            n = size[own] - gram + 1
-            order = np.argsort(keys, kind="stable")
-            item, offset = np.repeat(own, n)[order], (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))[order]
-            bits = max(16, (16 * len(keys)).bit_length())
-            known = np.zeros(1 << bits, dtype=bool)
-            known[(_mix(keys) >> np.uint64(64 - bits)).astype(np.int64)] = True
-            distinct, first, n = np.unique(keys[order], return_index=True, return_counts=True)
-            self.seeds.append((gram, distinct, first, n, item, offset, bits, known))
-
-    def _seeded(self, buffer: np.ndarray) -> np.ndarray:
-        """(item's place, a place in the text, item) of candidates by seeds, as columns."""
-        out = [np.empty((3, 0), dtype=np.int64)]
-        for gram, keys, first, counts, items, offsets, bits, known in self.seeds:
-            found = []
-            for a in range(0, len(buffer), 1 << 16):
-                mine = _rolling(buffer[a : a + (1 << 16) + gram - 1], gram)
-                hit = np.flatnonzero(known[(_mix(mine) >> np.uint64(64 - bits)).astype(np.int64)])
-                place = np.minimum(np.searchsorted(keys, mine[hit]), len(keys) - 1)
-                same = keys[place] == mine[hit]
-                hit, low, n = hit[same], first[place[same]], counts[place[same]]
-                entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                found.append(np.stack([np.repeat(hit + a, n), offsets[entry], items[entry]]))
-            at, offset, item = np.concatenate(found, axis=1)
-            width = np.maximum(8, self.most[item])
-            # A copy's seeds are on diagonals at most ``width`` apart, so they are in one strip or in two neighbours.
-            strip = (at - offset + _PAD * 16) // width
-            key = item << 32 | strip
-            order = np.lexsort((offset, key))
-            key, offset, at = key[order], offset[order], at[order]
-            new = np.ones(len(key), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]) | (offset[1:] != offset[:-1])
-            strips, n = np.unique(key[new], return_counts=True)
-            after = np.flatnonzero(np.diff(strips) == 1)
-            both, ahead = n.copy(), n.copy()
-            both[after] += n[after + 1]
-            ahead[after + 1] += n[after]
-            good = np.maximum(both, ahead) >= self.needed[strips >> 32]
-            keep = np.isin(key, strips[good])
-            key, at = key[keep], at[keep]
-            item = key >> 32
-            width = np.maximum(8, self.most[item])
-            begin = (key & 0xFFFFFFFF) * width - _PAD * 16
-            for place in (begin, begin + width):
-                out.append(np.stack([place, at, item]))
-        return np.concatenate(out, axis=1)
-
-    def _slot(self, grams: np.ndarray) -> np.ndarray:
-        return (_mix(grams) >> np.uint64(64 - self.filter_bits)).astype(np.int64)
-
-    def _embed(self, buffer: np.ndarray, starts: np.ndarray, r: int, kinds: list[int]) -> dict[int, np.ndarray]:
-        """Keys of the windows from ``starts``, one array for each class of ``kinds``."""
-        walk, sampled = self.walks[r], {k: set(self.sampled[r][self.CLASSES[k]].tolist()) for k in kinds}
-        last = max(max(s) for s in sampled.values())
-        keys = {k: np.full(len(starts), k + 1, dtype=np.uint64) for k in kinds}
-        for a in range(0, len(starts), 1 << 15):
-            at = starts[a : a + (1 << 15)].astype(np.int64)
-            own = {k: v[a : a + (1 << 15)] for k, v in keys.items()}
-            for j in range(last + 1):
-                symbol = buffer[at]
-                for k in kinds:
-                    if j in sampled[k]:
-                        own[k][:] = _mix(own[k] + symbol + np.uint64(1))
-                at += walk[j][symbol]
-        return keys
-
-    def search(self, texts: list[bytes]) -> list[list[tuple[int, int, int]]]:
+        self.size = size = np.array([len(t) for _, t in self.items])
+        self.most = ((1 - similarity) * size + 1e-9).astype(np.int64)
+        # Rules are for lengths in small steps down; half of what may be lost is lost here.
+        grid = [max(4, math.floor(1.1 ** math.floor(math.log(n) / math.log(1.1) + 1e-9))) for n in size.tolist()]
+        plans = [plan_for(n, math.ceil((1 - similarity) * n - 1e-9), 1 - (1 - recall) / 2, seed) for n in grid]
+        self.needed = np.array([cells for _, _, cells in plans])
+        # Strips of 2 ** width diagonals, at least as many as an item's edits; numbers start at the smallest diagonal.
+        self.width = np.maximum(3, np.ceil(np.log2(np.maximum(1, self.most)))).astype(np.int32)
+        self.shift = np.int32(size.max())
+        self.salt = (np.arange(len(size)) * 0x9E3779B1 & 0x3FFFFFFF).astype(np.int32)
+        for r in range(max(n for _, n, _ in plans)):
+            for s in sorted({x for x, n, _ in plans if n > r}):
+                own = np.array([i for i, (x, n, _) in enumerate(plans) if x == s and n > r])
+                self.tables.append((r, s, *self._table(own, r, s)))
+
+    def _table(self, own: np.ndarray, r: int, samples: int) -> tuple:
+        """Sorted keys of the windows of the items ``own``, where each key's run begins, its size, the windows' items and places, and a filter."""
+        buffer = np.frombuffer(b"\0".join(self.items[i][1] for i in own) + bytes(STEPS + 1), dtype=np.uint8)
+        n = self.size[own] + 1
+        item, offset = np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        keys = _walk(self.seed + r).keys(buffer) >> 6 * (SAMPLES - samples)
+        order = np.argsort(keys, kind="stable")
+        order = order[offset[order] < self.size[item[order]]]
+        distinct, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
+        bits = max(16, (16 * len(distinct)).bit_length())
+        known = np.zeros(1 << bits, dtype=bool)
+        known[self._slot(distinct, bits)] = True
+        return distinct, first, counts, item[order].astype(np.int32), offset[order].astype(np.int32), bits, known
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+    def _candidates(self, buffer: np.ndarray) -> np.ndarray:
+        """(item's place, a place in the text, item) of candidates, as columns.
+
+        A copy's keys are on diagonals at most its edits apart, so they are in
+        one strip of diagonals or in two neighbours.
+        """
+        found, walked = [np.empty((3, 0), dtype=np.int32)], -1
+        for r, samples, keys, first, runs, items, offsets, bits, known in self.tables:
+            if r != walked:
+                whole, walked = _walk(self.seed + r).keys(buffer), r
+            mine = whole >> 6 * (SAMPLES - samples)
+            hit = np.flatnonzero(known.take(self._slot(mine, bits)))
+            hit = hit[buffer[hit] > 0]
+            own = mine[hit]
+            place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
+            same = keys[place] == own
+            hit, low, n = hit[same], first[place[same]], runs[place[same]]
+            entry = (np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())).astype(np.int32)
+            found.append(np.stack([np.repeat(hit.astype(np.int32), n), offsets.take(entry), items.take(entry)]))
+        at, offset, item = np.concatenate(found, axis=1)
+        strip = at - offset + self.shift >> self.width.take(item)
+        # Strips are counted in bins first, neighbours in neighbouring bins: strips that share a bin only add to a count.
+        bins = 1 << max(10, (len(at) * 4).bit_length())
+        slot = strip + self.salt.take(item) & bins - 1
+        counts = np.bincount(slot, minlength=bins + 1)
+        near = counts.take(slot) + np.maximum(counts.take(slot + 1), counts.take(slot - 1, mode="wrap"))
+        # The first and the last bin are neighbours as well.
+        enough = (near >= self.needed.take(item)) | (slot == 0) | (slot == bins - 1)
+        at, offset, item, strip = (x[enough].astype(np.int64) for x in (at, offset, item, strip))
+        key, cell = item << 32 | strip, offset // CELL
+        order = np.lexsort((cell, key))
+        key, cell, at = key[order], cell[order], at[order]
+        new = np.ones(len(key), dtype=bool)
+        new[1:] = (key[1:] != key[:-1]) | (cell[1:] != cell[:-1])
+        key, at = key[new], at[new]
+        enough = self._crowded(key)
+        key, at = key[enough], at[enough]
+        item = key >> 32
+        begin = ((key & 0xFFFFFFFF) << self.width[item]) - self.shift
+        return np.concatenate([np.stack([begin, at, item]), np.stack([begin + (1 << self.width[item]), at, item])], axis=1)
+
+    def _crowded(self, key: np.ndarray) -> np.ndarray:
+        """Whether each key's strip and a neighbour hold as many hits as the item needs."""
+        strips, inverse, n = np.unique(key, return_inverse=True, return_counts=True)
+        after = np.flatnonzero(np.diff(strips) == 1)
+        most = n.copy()
+        both = n[after] + n[after + 1]
+        most[after] = both
+        most[after + 1] = np.maximum(most[after + 1], both)
+        return (most >= self.needed[strips >> 32])[inverse]
+
+    def _whole(self, text: bytes) -> list[tuple]:
+        """Items of few words, where exactly their words stand first."""
+        words, out = text.split(), []
+        starts = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]) if words else []
+        for n, known in self.short.items():
+            seen: set = set()
+            for k, run in enumerate(zip(*[words[j:] for j in range(n)])):
+                if run in known and run not in seen:
+                    seen.add(run)
+                    out += [(i, 0, int(starts[k])) for i in known[run]]
+        return out
+
+    def search(self, texts: list[bytes]) -> list[list[tuple]]:
         """(item id, edit distance, first character in the normalised text) per text, by item."""
-        found: list[list[tuple[int, int, int]]] = [[] for _ in texts]
+        found: list[list[tuple]] = [[] for _ in texts]
+        buffer, cuts = _flatten(texts)
+        if self.short:
+            for d in range(len(texts)):
+                found[d] += self._whole(buffer[cuts[d] + 1 : cuts[d + 1]].tobytes())
         if not self.items:
             return found
-        buffer, cuts = _flatten(texts)
-        starts = _word_starts(buffer)
-        grams = _grams(buffer, starts)
-        near = self.filter[self._slot(grams)]
-        starts, grams = starts[near], grams[near]
-        place = np.minimum(np.searchsorted(self.grams, grams), len(self.grams) - 1)
-        same = self.grams[place] == grams
-        starts, kinds = starts[same], self.gram_class[place[same]]
-        spots = []
-        for r in range(self.repetitions):
-            for k, (keys, item, offset) in self.tables[r].items():
-                own = starts[(kinds >> k) & 1 == 1]
-                mine = self._embed(buffer, own, r, [k])[k] if len(own) else np.empty(0, dtype=np.uint64)
-                low, high = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                hit = np.flatnonzero(high > low)
-                n = (high - low)[hit]
-                entry = np.repeat(low[hit] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                spots.append(np.stack([np.repeat(own[hit], n) - offset[entry], np.repeat(own[hit], n), item[entry]]))
-        spots.append(self._seeded(buffer[: int(cuts[-1]) + 1]))
-        at, own, item = np.concatenate(spots, axis=1)
+        at, own, item = self._candidates(buffer[: int(cuts[-1]) + 1 + STEPS])
+        if not len(at):
+            return [_ordered(x) for x in found]
         doc = np.searchsorted(cuts, own, side="right") - 1
-        at, doc, item = np.unique(np.stack([at, doc, item]), axis=1) if len(at) else (at, doc, item)
-        # One check for all candidates of an item whose places are within its slack of each other.
-        order = np.lexsort((at, item, doc))
-        at, doc, item = at[order], doc[order], item[order]
-        first = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])])) if len(at) else np.empty(0, dtype=np.int64)
-        for a, b in zip(first.tolist(), [*first[1:].tolist(), len(at)]):
-            d, i = int(doc[a]), int(item[a])
-            if best := self._verify(buffer, int(cuts[d]) + 1, int(cuts[d + 1]), i, at[a:b].tolist()):
-                found[d].append((self.items[i][0], *best))
-        return [sorted(x) for x in found]
-
-    def _verify(self, buffer: np.ndarray, begin: int, end: int, i: int, at: list[int]) -> tuple[int, int] | None:
-        item = self.items[i][1]
-        most = int((1 - self.similarity) * len(item) + 1e-9)
-        best = None
-        spans: list[list[int]] = []
-        for p in sorted(set(at)):
-            a, b = max(begin, p - most), min(end, p + len(item) + 2 * most)
-            if spans and a <= spans[-1][1]:
-                spans[-1][1] = max(b, spans[-1][1])
-            else:
-                spans.append([a, b])
-        least, own = len(item) - 2 - 3 * most, self.trigrams[i]
-        for a, b in spans:
-            text = _trigrams(buffer[a:b].tobytes())
-            self.held[text] = True
-            left = np.count_nonzero(self.held[own])
-            self.held[text] = False
-            if left < least:
+        most = self.most[item]
+        begin = np.maximum(cuts[doc] + 1, at - most)
+        end = np.minimum(cuts[doc + 1], at + self.size[item] + 2 * most)
+        begin, end, doc, item = _merged(begin, end, doc, item)
+        distance, stop = self._distances(buffer, begin, end, item)
+        first: dict[tuple[int, int], tuple[int, int]] = {}
+        for k in np.flatnonzero(distance <= self.most[item]).tolist():
+            d, i = int(doc[k]), int(item[k])
+            start = max(0, int(begin[k] + stop[k] - self.size[i] - cuts[d] - 1))
+            first[d, i] = min(first.get((d, i), (1 << 60, 0)), (int(distance[k]), start))
+        for (d, i), best in first.items():
+            found[d].append((self.items[i][0], *best))
+        return [_ordered(x) for x in found]
+
+    def _distances(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """``fitting_distance`` of each span's item; up to ``LANES`` spans of items of as many words at once."""
+        distance, stop = np.zeros(len(item), dtype=np.int64), np.zeros(len(item), dtype=np.int64)
+        words = -(-self.size[item] // 64)
+        for w in np.unique(words).tolist():
+            own = np.flatnonzero(words == w)
+            if w > MOST_WORDS:
+                for k in own.tolist():
+                    distance[k], stop[k] = fitting_distance(self.items[item[k]][1], buffer[begin[k] : end[k]].tobytes(), int(self.most[item[k]]))
                 continue
-            distance, stop = fitting_distance(item, buffer[a:b].tobytes(), most)
-            if distance <= most and (best is None or distance < best[0]):
-                best = (distance, max(0, a + stop - len(item) - begin))
-        return best
+            own = own[np.argsort(end[own] - begin[own], kind="stable")]
+            for a in range(0, len(own), LANES):
+                lanes = own[a : a + LANES]
+                distance[lanes], stop[lanes] = fitting_distances([t for _, t in self.items], item[lanes], buffer, begin[lanes], end[lanes])
+        return distance, stop
+
+
+def _ordered(hits: list[tuple]) -> list[tuple]:
+    return sorted(hits, key=lambda h: (str(h[0]), h[1:]))
+
+
+def _merged(begin: np.ndarray, end: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple:
+    """Spans of the same text and item that overlap, as one."""
+    order = np.lexsort((begin, item, doc))
+    begin, end, doc, item = begin[order], end[order], doc[order], item[order]
+    fresh = np.ones(len(begin), dtype=bool)
+    fresh[1:] = (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
+    # Ends so far within a text and item: spans of one item have nearly one length, so ends rise with begins.
+    reach = np.maximum.accumulate(np.cumsum(fresh) * (1 << 40) + end) & ((1 << 40) - 1)
+    fresh[1:] |= begin[1:] > reach[:-1]
+    at = np.flatnonzero(fresh)
+    return begin[at], np.maximum.reduceat(end, at), doc[at], item[at]
+
+
+#: Spans that are checked at once, and the most words of 64 characters of an item that is checked so.
+LANES, MOST_WORDS = 8192, 16
+
+
+def fitting_distances(patterns: list[bytes], which: np.ndarray, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``fitting_distance`` of ``patterns[which]`` to the spans of ``buffer``; all patterns have as many words of 64 bits."""
+    used, lane = np.unique(which, return_inverse=True)
+    words = -(-len(patterns[used[0]]) // 64)
+    # A pattern's rows: where each of its symbols stands, after a row for all others.
+    row_of = np.zeros((len(used), 256), dtype=np.int64)
+    masks = []
+    base = 0
+    for k, i in enumerate(used.tolist()):
+        x = np.frombuffer(patterns[i], dtype=np.uint8)
+        symbols = np.unique(x)
+        own = np.zeros((len(symbols) + 1, words * 64), dtype=np.uint8)
+        own[1:, : len(x)] = symbols[:, None] == x[None, :]
+        masks.append(np.packbits(own, axis=1, bitorder="little").view(np.uint64))
+        row_of[k] = base
+        row_of[k, symbols] = base + 1 + np.arange(len(symbols))
+        base += len(symbols) + 1
+    mask = np.ascontiguousarray(np.concatenate(masks).T)
+    size = np.array([len(patterns[i]) for i in used.tolist()], dtype=np.int64)[lane]
+    n, columns = len(which), int((end - begin).max()) if len(which) else 0
+    up = np.full((words, n), np.uint64(0xFFFFFFFFFFFFFFFF))
+    down = np.zeros((words, n), dtype=np.uint64)
+    top = ((size - 1) % 64).astype(np.uint64)
+    one, high = np.uint64(1), np.uint64(63)
+    score, best, stop = size.copy(), size.copy(), np.zeros(n, dtype=np.int64)
+    for j in range(columns):
+        at = begin + j
+        # Behind its span a lane reads a symbol of no pattern, which never lowers its score.
+        rows = row_of[lane, np.where(at < end, buffer[np.minimum(at, len(buffer) - 1)], 0)]
+        plus = minus = None
+        for w in range(words):
+            eq, pv, mv = mask[w].take(rows), up[w], down[w]
+            xv = eq | mv
+            if minus is not None:
+                eq = eq | minus
+            xh = (((eq & pv) + pv) ^ pv) | eq
+            ph = mv | ~(xh | pv)
+            mh = pv & xh
+            shift = top if w == words - 1 else high
+            out_plus, out_minus = (ph >> shift) & one, (mh >> shift) & one
+            ph, mh = ph << one, mh << one
+            if minus is not None:
+                ph |= plus
+                mh |= minus
+            up[w] = mh | ~(xv | ph)
+            down[w] = ph & xv
+            plus, minus = out_plus, out_minus
+        score += plus.view(np.int64)
+        score -= minus.view(np.int64)
+        better = score < best
+        best[better] = score[better]
+        stop[better] = j + 1
+    return best, stop
 
 
 def fitting_distance(pattern: bytes, text: bytes, most: int | None = None) -> tuple[int, int]:
@@ -353,47 +447,50 @@ def fitting_distance(pattern: bytes, text: bytes, most: int | None = None) -> tu
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = TARGET_RECALL, block_chars: int = 4 << 20) -> DataFrame:
     """(id, item_id, distance, start) for each benchmark item that a row's text holds."""
     out = None
-    for items in _blocks(benchmark, item_id, item_text, block_chars):
+    kind = benchmark.schema[item_id].dataType
+    for items, last in _blocks(benchmark, item_id, item_text, block_chars):
         hits = _hits(docs, {id_col: F.col(id_col)}, text_col, items, similarity, recall)
-        rows = hits.where(F.size("hits") > 0).select(id_col, F.explode("hits").alias("hit")).select(id_col, F.col("hit.item_id").alias(item_id), "hit.distance", "hit.start")
+        rows = hits.where(F.size("hits") > 0).select(id_col, F.explode("hits").alias("hit"))
+        rows = rows.select(id_col, F.col("hit.item_id").cast(kind).alias(item_id), "hit.distance", "hit.start")
+        rows = rows if last and out is None else materialize(rows, "hits")
         out = rows if out is None else out.unionByName(rows)
     return out
 
 
 def _hits(docs: DataFrame, keep: dict, text_col: str, items: list, similarity: float, recall: float) -> DataFrame:
     holder: list[CgkIndex] = []
-    kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int64()), ("start", pa.int64())]))
+    kind = pa.list_(pa.struct([("item_id", pa.string()), ("distance", pa.int64()), ("start", pa.int64())]))
 
     def run(texts: list[bytes]) -> dict:
         if not holder:
             holder.append(CgkIndex(items, recall=recall, similarity=similarity))
         return {"hits": pa.array([[{"item_id": i, "distance": d, "start": s} for i, d, s in x] for x in holder[0].search(texts)], kind)}
 
-    return map_texts(docs, keep, text_col, "hits array<struct<item_id:long,distance:long,start:long>>", run, chunk_bytes=4 << 20)
+    return map_texts(docs, keep, text_col, "hits array<struct<item_id:string,distance:long,start:long>>", run, chunk_bytes=2 << 20)
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int):
-    """Lists of (id, text) of at most about ``block_chars`` characters; one empty list for no items."""
-    items = benchmark.where(F.col(item_id).isNotNull() & F.col(item_text).isNotNull()).select(F.col(item_id).cast("long"), F.col(item_text).cast("binary"))
-    block, size, any_ = [], 0, False
+    """(list of (id as text, text) of at most about ``block_chars`` characters, whether it is the last); one empty list for no items."""
+    items = benchmark.where(F.col(item_text).isNotNull()).select(F.col(item_id).cast("string"), F.col(item_text).cast("binary"))
+    block, size = [], 0
     for i, text in items.toLocalIterator():
+        if size >= block_chars:
+            yield block, False
+            block, size = [], 0
         block.append((i, bytes(text)))
         size += len(text)
-        if size >= block_chars:
-            yield block
-            block, size, any_ = [], 0, True
-    if block or not any_:
-        yield block
+    yield block, True
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = TARGET_RECALL) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = TARGET_RECALL, block_chars: int = 4 << 20) -> DataFrame:
     """The rows of ``docs`` that hold no benchmark item, with their own columns."""
     out = docs
     names = [f"__c{i}" for i in range(len(docs.columns))]
-    for items in _blocks(benchmark, item_id, item_text, 4 << 20):
+    for items, last in _blocks(benchmark, item_id, item_text, block_chars):
         keep = {n: F.col(f"`{c}`") for n, c in zip(names, out.columns)}
         clean = _hits(out, keep, text_col, items, similarity, recall).where(F.size("hits") == 0)
         out = clean.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+        out = out if last else materialize(out, "clean")
     return out
 
 
