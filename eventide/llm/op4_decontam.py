@@ -47,7 +47,7 @@ from .work import materialize
 _TABLE = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
 SIMILARITY, TARGET_RECALL, MIN_WORDS = 0.8, 0.99, 5
 #: Steps of a window's walk, the most positions that a key samples, characters of a cell, and the least cells that a copy must keep.
-STEPS, SAMPLES, CELL, LEAST = 24, 10, 4, 5
+STEPS, SAMPLES, CELL, LEAST = 24, 10, 4, 4
 #: (samples, repetitions) to choose from, the most selective first; a key of fewer samples is a prefix of the whole key.
 PLANS = ((10, 2), (10, 3), (10, 4), (9, 4), (8, 4), (7, 4), (6, 4), (5, 4), (5, 12), (4, 24))
 _PAD = 1 << 12
@@ -147,30 +147,43 @@ def survival(size: int, edits: int, recall: float, seed: int, repetitions: int,
     """Cells that the share ``recall`` of copies of ``size`` characters keeps at least, by those (samples, repetitions) of ``PLANS`` of at most ``repetitions``.
 
     The least of three kinds of edits counts. A cell is ``CELL`` characters of the
-    item; it is kept if a window that begins in it has its key in the copy.
+    item; it is kept if a window that begins in it has its key in the copy, within
+    two neighbouring strips of diagonals.
     """
     rng = np.random.default_rng(size)
     texts = rng.integers(97, 123, (trials, size), dtype=np.uint8)
     pad = np.zeros(STEPS, dtype=np.uint8)
     flat = np.concatenate([np.concatenate([np.zeros((trials, 1), dtype=np.uint8), texts], axis=1).ravel(), pad])
-    made = [_edited(texts, edits, how, rng) for how in ("random", "even", "words")]
-    kept = {s: np.zeros((len(made), trials, (size - 1) // CELL + 1), dtype=bool) for s, _ in PLANS}
+    made, width, phase = [], strip_width(edits), rng.random(trials)
+    for how in ("random", "even", "words"):
+        copy, place = _edited(texts, edits, how, rng)
+        trial, offset = np.divmod(place, size + 1)
+        strip = (np.arange(len(copy)) - np.flatnonzero(copy == 0)[trial] - offset + edits) / width + phase[trial]
+        made.append((np.concatenate([copy, pad]), place, trial, strip.astype(np.int64), np.maximum(0, offset - 1) // CELL))
+    strips = 2 + int(2 * edits / width + 1)
+    kept = {s: np.zeros((len(made), trials, strips, (size - 1) // CELL + 1), dtype=bool) for s, _ in PLANS}
     out = {}
     for r in range(repetitions):
         walk = _walk(seed + r)
         own = walk.keys(flat)
-        for k, (copy, place) in enumerate(made):
+        for k, (copy, place, trial, strip, cell) in enumerate(made):
             # Of each window of a copy, the same window of its source: on the diagonal of its first symbol.
-            apart = np.where(copy > 0, walk.keys(np.concatenate([copy, pad])) ^ own[place], -1)
+            apart = np.where(copy[: len(place)] > 0, walk.keys(copy) ^ own[place], -1)
             for s, known in kept.items():
-                hit = place[apart >> 6 * (SAMPLES - s) == 0]
-                known[k, hit // (size + 1), (hit % (size + 1) - 1) // CELL] = True
+                hit = apart >> 6 * (SAMPLES - s) == 0
+                known[k, trial[hit], strip[hit], cell[hit]] = True
         for s, n in PLANS:
             if n == r + 1:
-                out[s, n] = int(min(np.quantile(x, 1 - recall, method="lower") for x in kept[s].sum(axis=2)))
+                pairs = (kept[s][:, :, :-1] | kept[s][:, :, 1:]).sum(axis=3).max(axis=2)
+                out[s, n] = int(min(np.quantile(x, 1 - recall, method="lower") for x in pairs))
     return out
 
 
+def strip_width(edits: int) -> float:
+    """Diagonals of a strip: half of the edits, as insertions and deletions seldom all pull one way."""
+    return max(4.0, edits / 2)
+
+
 def plan_for(size: int, edits: int, recall: float, seed: int) -> tuple[int, int, int]:
     """(samples, repetitions, cells): the first of ``PLANS`` that promises ``LEAST`` cells, and how many it promises."""
     for repetitions in (max(n for _, n in PLANS[:5]), PLANS[-1][1]):
@@ -202,8 +215,8 @@ class CgkIndex:
         grid = [max(4, math.floor(1.1 ** math.floor(math.log(n) / math.log(1.1) + 1e-9))) for n in size.tolist()]
         plans = [plan_for(n, math.ceil((1 - similarity) * n - 1e-9), 1 - (1 - recall) / 2, seed) for n in grid]
         self.needed = np.array([cells for _, _, cells in plans])
-        # Strips of 2 ** width diagonals, at least as many as an item's edits; numbers start at the smallest diagonal.
-        self.width = np.maximum(3, np.ceil(np.log2(np.maximum(1, self.most)))).astype(np.int32)
+        self.width = np.array([strip_width(k) for k in self.most.tolist()])
+        self.scale = 1 / self.width
         self.shift = np.int32(size.max())
         self.salt = (np.arange(len(size)) * 0x9E3779B1 & 0x3FFFFFFF).astype(np.int32)
         for r in range(max(n for _, n, _ in plans)):
@@ -232,8 +245,7 @@ class CgkIndex:
     def _candidates(self, buffer: np.ndarray) -> np.ndarray:
         """(item's place, a place in the text, item) of candidates, as columns.
 
-        A copy's keys are on diagonals at most its edits apart, so they are in
-        one strip of diagonals or in two neighbours.
+        A copy's keys are looked for in each strip of diagonals and its neighbour.
         """
         found, walked = [np.empty((3, 0), dtype=np.int32)], -1
         for r, samples, keys, first, runs, items, offsets, bits, known in self.tables:
@@ -249,7 +261,7 @@ class CgkIndex:
             entry = (np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())).astype(np.int32)
             found.append(np.stack([np.repeat(hit.astype(np.int32), n), offsets.take(entry), items.take(entry)]))
         at, offset, item = np.concatenate(found, axis=1)
-        strip = at - offset + self.shift >> self.width.take(item)
+        strip = ((at - offset + self.shift) * self.scale.take(item)).astype(np.int32)
         # Strips are counted in bins first, neighbours in neighbouring bins: strips that share a bin only add to a count.
         bins = 1 << max(10, (len(at) * 4).bit_length())
         slot = strip + self.salt.take(item) & bins - 1
@@ -267,8 +279,8 @@ class CgkIndex:
         enough = self._crowded(key)
         key, at = key[enough], at[enough]
         item = key >> 32
-        begin = ((key & 0xFFFFFFFF) << self.width[item]) - self.shift
-        return np.concatenate([np.stack([begin, at, item]), np.stack([begin + (1 << self.width[item]), at, item])], axis=1)
+        begin = ((key & 0xFFFFFFFF) * self.width[item]).astype(np.int64) - 1 - self.shift
+        return np.stack([begin, at, item])
 
     def _crowded(self, key: np.ndarray) -> np.ndarray:
         """Whether each key's strip and a neighbour hold as many hits as the item needs."""
@@ -307,7 +319,7 @@ class CgkIndex:
         doc = np.searchsorted(cuts, own, side="right") - 1
         most = self.most[item]
         begin = np.maximum(cuts[doc] + 1, at - most)
-        end = np.minimum(cuts[doc + 1], at + self.size[item] + 2 * most)
+        end = np.minimum(cuts[doc + 1], at + self.size[item] + 2 * most + np.ceil(self.width[item]).astype(np.int64) + 2)
         begin, end, doc, item = _merged(begin, end, doc, item)
         distance, stop = self._distances(buffer, begin, end, item)
         first: dict[tuple[int, int], tuple[int, int]] = {}
@@ -320,19 +332,16 @@ class CgkIndex:
         return [_ordered(x) for x in found]
 
     def _distances(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """``fitting_distance`` of each span's item; up to ``LANES`` spans of items of as many words at once."""
+        """``fitting_distance`` of each span's item; up to ``LANES`` spans at once, but one by one for very long items."""
         distance, stop = np.zeros(len(item), dtype=np.int64), np.zeros(len(item), dtype=np.int64)
-        words = -(-self.size[item] // 64)
-        for w in np.unique(words).tolist():
-            own = np.flatnonzero(words == w)
-            if w > MOST_WORDS:
-                for k in own.tolist():
-                    distance[k], stop[k] = fitting_distance(self.items[item[k]][1], buffer[begin[k] : end[k]].tobytes(), int(self.most[item[k]]))
-                continue
-            own = own[np.argsort(end[own] - begin[own], kind="stable")]
-            for a in range(0, len(own), LANES):
-                lanes = own[a : a + LANES]
-                distance[lanes], stop[lanes] = fitting_distances([t for _, t in self.items], item[lanes], buffer, begin[lanes], end[lanes])
+        long = self.size[item] > MOST_WORDS * 64
+        for k in np.flatnonzero(long).tolist():
+            distance[k], stop[k] = fitting_distance(self.items[item[k]][1], buffer[begin[k] : end[k]].tobytes(), int(self.most[item[k]]))
+        own = np.flatnonzero(~long)
+        own = own[np.argsort(self.size[item[own]], kind="stable")]
+        for a in range(0, len(own), LANES):
+            lanes = own[a : a + LANES]
+            distance[lanes], stop[lanes] = fitting_distances([t for _, t in self.items], item[lanes], buffer, begin[lanes], end[lanes])
         return distance, stop
 
 
@@ -354,59 +363,76 @@ def _merged(begin: np.ndarray, end: np.ndarray, doc: np.ndarray, item: np.ndarra
 
 
 #: Spans that are checked at once, and the most words of 64 characters of an item that is checked so.
-LANES, MOST_WORDS = 8192, 16
+LANES, MOST_WORDS = 2048, 16
 
 
 def fitting_distances(patterns: list[bytes], which: np.ndarray, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``fitting_distance`` of ``patterns[which]`` to the spans of ``buffer``; all patterns have as many words of 64 bits."""
+    """``fitting_distance`` of ``patterns[which]`` to the spans of ``buffer``, for patterns in order of their words of 64 bits."""
     used, lane = np.unique(which, return_inverse=True)
-    words = -(-len(patterns[used[0]]) // 64)
+    size = np.array([len(patterns[i]) for i in used.tolist()], dtype=np.int64)[lane]
+    last = (size - 1) // 64
+    words = int(last.max()) + 1
     # A pattern's rows: where each of its symbols stands, after a row for all others.
     row_of = np.zeros((len(used), 256), dtype=np.int64)
-    masks = []
-    base = 0
+    masks, rows_so_far = [], 0
     for k, i in enumerate(used.tolist()):
         x = np.frombuffer(patterns[i], dtype=np.uint8)
         symbols = np.unique(x)
         own = np.zeros((len(symbols) + 1, words * 64), dtype=np.uint8)
         own[1:, : len(x)] = symbols[:, None] == x[None, :]
         masks.append(np.packbits(own, axis=1, bitorder="little").view(np.uint64))
-        row_of[k] = base
-        row_of[k, symbols] = base + 1 + np.arange(len(symbols))
-        base += len(symbols) + 1
+        row_of[k] = rows_so_far
+        row_of[k, symbols] = rows_so_far + 1 + np.arange(len(symbols))
+        rows_so_far += len(symbols) + 1
     mask = np.ascontiguousarray(np.concatenate(masks).T)
-    size = np.array([len(patterns[i]) for i in used.tolist()], dtype=np.int64)[lane]
-    n, columns = len(which), int((end - begin).max()) if len(which) else 0
-    up = np.full((words, n), np.uint64(0xFFFFFFFFFFFFFFFF))
-    down = np.zeros((words, n), dtype=np.uint64)
+    n, columns = len(which), int((end - begin).max())
+    one = np.uint64(1)
     top = ((size - 1) % 64).astype(np.uint64)
-    one, high = np.uint64(1), np.uint64(63)
+    plus, minus, eq, xv, xh, ph, t = (np.zeros(n, dtype=np.uint64) for _ in range(7))
+    up, down = np.full((words, n), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((words, n), dtype=np.uint64)
+    # Lanes that have word w begin at first[w]; those that end there are before first[w + 1].
+    first = np.searchsorted(last, np.arange(words + 1)).tolist()
+    views = [tuple(x[first[w] :] for x in (up[w], down[w], plus, minus, eq, xv, xh, ph, t)) for w in range(words)]
+    base, flat = lane * 256, row_of.ravel()
     score, best, stop = size.copy(), size.copy(), np.zeros(n, dtype=np.int64)
     for j in range(columns):
         at = begin + j
         # Behind its span a lane reads a symbol of no pattern, which never lowers its score.
-        rows = row_of[lane, np.where(at < end, buffer[np.minimum(at, len(buffer) - 1)], 0)]
-        plus = minus = None
-        for w in range(words):
-            eq, pv, mv = mask[w].take(rows), up[w], down[w]
-            xv = eq | mv
-            if minus is not None:
-                eq = eq | minus
-            xh = (((eq & pv) + pv) ^ pv) | eq
-            ph = mv | ~(xh | pv)
-            mh = pv & xh
-            shift = top if w == words - 1 else high
-            out_plus, out_minus = (ph >> shift) & one, (mh >> shift) & one
-            ph, mh = ph << one, mh << one
-            if minus is not None:
-                ph |= plus
-                mh |= minus
-            up[w] = mh | ~(xv | ph)
-            down[w] = ph & xv
-            plus, minus = out_plus, out_minus
-        score += plus.view(np.int64)
-        score -= minus.view(np.int64)
-        better = score < best
+        symbol = buffer.take(at, mode="clip").astype(np.int64)
+        symbol *= at < end
+        rows = flat.take(symbol + base)
+        for w, (pv, mv, p, m, eq, xv, xh, ph, t) in enumerate(views):
+            mask[w].take(rows[first[w] :], out=eq, mode="clip")
+            np.bitwise_or(eq, mv, out=xv)
+            if w:
+                np.bitwise_or(eq, m, out=eq)
+            np.bitwise_and(eq, pv, out=xh)
+            np.add(xh, pv, out=xh)
+            np.bitwise_xor(xh, pv, out=xh)
+            np.bitwise_or(xh, eq, out=xh)
+            np.bitwise_or(xh, pv, out=ph)
+            np.invert(ph, out=ph)
+            np.bitwise_or(ph, mv, out=ph)
+            np.bitwise_and(pv, xh, out=xh)
+            done = first[w + 1] - first[w]
+            if done:
+                ends = slice(first[w], first[w + 1])
+                score[ends] += ((ph[:done] >> top[ends]) & one).view(np.int64)
+                score[ends] -= ((xh[:done] >> top[ends]) & one).view(np.int64)
+            np.left_shift(ph, one, out=t)
+            if w:
+                np.bitwise_or(t, p, out=t)
+            # What leaves this word's last row enters the next word.
+            np.right_shift(ph, 63, out=p)
+            np.left_shift(xh, one, out=ph)
+            if w:
+                np.bitwise_or(ph, m, out=ph)
+            np.right_shift(xh, 63, out=m)
+            np.bitwise_and(t, xv, out=mv)
+            np.bitwise_or(xv, t, out=xv)
+            np.invert(xv, out=xv)
+            np.bitwise_or(ph, xv, out=pv)
+        better = np.flatnonzero(score < best)
         best[better] = score[better]
         stop[better] = j + 1
     return best, stop
@@ -466,7 +492,7 @@ def _hits(docs: DataFrame, keep: dict, text_col: str, items: list, similarity: f
             holder.append(CgkIndex(items, recall=recall, similarity=similarity))
         return {"hits": pa.array([[{"item_id": i, "distance": d, "start": s} for i, d, s in x] for x in holder[0].search(texts)], kind)}
 
-    return map_texts(docs, keep, text_col, "hits array<struct<item_id:string,distance:long,start:long>>", run, chunk_bytes=2 << 20)
+    return map_texts(docs, keep, text_col, "hits array<struct<item_id:string,distance:long,start:long>>", run, chunk_bytes=4 << 20)
 
 
 def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int):

@@ -66,10 +66,10 @@ def test_whole_documents(tables):
 
 def test_lanes_are_exact():
     rnd = random.Random(5)
-    for n in (1, 20, 63, 64, 65, 128, 200):
-        patterns = [bytes(rnd.choices(b"abc d", k=n)) for _ in range(5)]
+    for n in range(5):
+        patterns = [bytes(rnd.choices(b"abc d", k=k)) for k in (1, 63, 64, 65, 128, 200)]
         buffer = np.frombuffer(bytes(rnd.choices(b"abc d", k=900)), dtype=np.uint8)
-        which = np.array([rnd.randrange(5) for _ in range(40)])
+        which = np.sort([rnd.randrange(6) for _ in range(40 - n)])
         begin = np.array([rnd.randrange(600) for _ in which])
         end = begin + np.array([rnd.randrange(0, 300) for _ in which])
         distance, stop = op4.fitting_distances(patterns, which, buffer, begin, end)
