@@ -51,7 +51,7 @@ STEPS, SAMPLES, CELL, LEAST = 24, 10, 4, 4
 #: (samples, repetitions) to choose from, the most selective first; a key of fewer samples is a prefix of the whole key.
 PLANS = ((10, 2), (10, 3), (10, 4), (9, 4), (8, 4), (7, 4), (6, 4), (5, 4), (5, 12), (4, 24))
 _PAD = 1 << 12
-_SLICE = 1 << 15
+_SLICE = 1 << 17
 
 
 def normalise(text: bytes) -> bytes:
@@ -87,24 +87,19 @@ class CgkWalk:
 
     def keys(self, buffer: np.ndarray) -> np.ndarray:
         """Key of the window from every character but the last ``STEPS``."""
-        total = max(0, len(buffer) - STEPS)
-        out = np.zeros(total, dtype=np.int64)
-        at, symbol, bit = (np.empty(min(total, _SLICE), dtype=np.int64) for _ in range(3))
-        for a in range(0, total, _SLICE):
-            n = min(_SLICE, total - a)
-            own = self.table.take(buffer[a : a + n + STEPS])
-            x, w, b, key = at[:n], symbol[:n], bit[:n], out[a : a + n]
-            x[:] = np.arange(n)
-            for j in range(max(self.sampled) + 1):
-                own.take(x, out=w, mode="clip")
-                if j in self.sampled:
-                    np.bitwise_and(w, 63, out=b)
-                    np.left_shift(key, 6, out=key)
-                    np.bitwise_or(key, b, out=key)
-                np.right_shift(w, 6 + j, out=b)
-                np.bitwise_and(b, 1, out=b)
-                np.add(x, b, out=x)
-        return out
+        n = max(0, len(buffer) - STEPS)
+        own = self.table.take(buffer)
+        key, at, w, b = np.zeros(n, dtype=np.int64), np.arange(n), np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
+        for j in range(max(self.sampled) + 1):
+            own.take(at, out=w, mode="clip")
+            if j in self.sampled:
+                np.bitwise_and(w, 63, out=b)
+                np.left_shift(key, 6, out=key)
+                np.bitwise_or(key, b, out=key)
+            np.right_shift(w, 6 + j, out=w)
+            np.bitwise_and(w, 1, out=w)
+            np.add(at, w, out=at)
+        return key
 
 
 @lru_cache(maxsize=64)
@@ -247,19 +242,23 @@ class CgkIndex:
 
         A copy's keys are looked for in each strip of diagonals and its neighbour.
         """
-        found, walked = [np.empty((3, 0), dtype=np.int32)], -1
-        for r, samples, keys, first, runs, items, offsets, bits, known in self.tables:
-            if r != walked:
-                whole, walked = _walk(self.seed + r).keys(buffer), r
-            mine = whole >> 6 * (SAMPLES - samples)
-            hit = np.flatnonzero(known.take(self._slot(mine, bits)))
-            hit = hit[buffer[hit] > 0]
-            own = mine[hit]
-            place = np.minimum(np.searchsorted(keys, own), len(keys) - 1)
-            same = keys[place] == own
-            hit, low, n = hit[same], first[place[same]], runs[place[same]]
-            entry = (np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())).astype(np.int32)
-            found.append(np.stack([np.repeat(hit.astype(np.int32), n), offsets.take(entry), items.take(entry)]))
+        found = [np.empty((3, 0), dtype=np.int32)]
+        # Slice by slice, so that what is walked and looked up stays in the processor's cache.
+        for a in range(0, len(buffer) - STEPS, _SLICE):
+            own = buffer[a : a + _SLICE + STEPS]
+            walked = -1
+            for r, samples, keys, first, runs, items, offsets, bits, known in self.tables:
+                if r != walked:
+                    whole, walked = _walk(self.seed + r).keys(own), r
+                mine = whole >> 6 * (SAMPLES - samples)
+                hit = np.flatnonzero(known.take(self._slot(mine, bits)))
+                hit = hit[own[hit] > 0]
+                mine = mine[hit]
+                place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
+                same = keys[place] == mine
+                hit, low, n = hit[same], first[place[same]], runs[place[same]]
+                entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                found.append(np.stack([np.repeat((hit + a).astype(np.int32), n), offsets.take(entry), items.take(entry)]))
         at, offset, item = np.concatenate(found, axis=1)
         strip = ((at - offset + self.shift) * self.scale.take(item)).astype(np.int32)
         # Strips are counted in bins first, neighbours in neighbouring bins: strips that share a bin only add to a count.
