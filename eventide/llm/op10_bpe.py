@@ -22,7 +22,6 @@ import base64
 import hashlib
 import json
 import re
-import unicodedata
 from functools import lru_cache
 from itertools import chain
 
@@ -44,25 +43,36 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
-@lru_cache(maxsize=1)
-def word_pattern() -> re.Pattern:
-    """The public pattern in terms of ``re``: letters, numbers and white space spelt out by general category."""
+def _members(escape: str) -> str:
+    """The characters of a class such as ``\\p{L}`` as ranges for ``re``, asked of the library whose ids count: Python's own tables are older."""
+    import tiktoken
 
-    def ranges(test) -> str:
-        out, start = [], None
-        for c in range(0x110001):
-            inside = c < 0x110000 and not 0xD800 <= c <= 0xDFFF and test(chr(c))
-            if inside and start is None:
-                start = c
-            elif not inside and start is not None:
-                out.append(f"\\U{start:08x}-\\U{c - 1:08x}")
-                start = None
-        return "".join(out)
+    every = "".join(map(chr, chain(range(0xD800), range(0xE000, 0x110000))))
+    one_by_one = tiktoken.Encoding("class", pat_str=escape, mergeable_ranks={bytes([i]): i for i in range(256)}, special_tokens={})
+    found = np.frombuffer(bytes(one_by_one.encode_ordinary(every)).decode().encode("utf-32-le"), dtype="<u4").astype(np.int64)
+    ends = np.flatnonzero(np.diff(found) > 1)
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in zip(found[np.concatenate([[0], ends + 1])].tolist(), found[np.concatenate([ends, [-1]])].tolist()))
 
-    letter = ranges(lambda c: unicodedata.category(c)[0] == "L")
-    number = ranges(lambda c: unicodedata.category(c)[0] == "N")
-    space = r"\t-\r \x85\xa0  -     　"
-    return re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{letter}]+| ?[{number}]+| ?[^{space}{letter}{number}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+@lru_cache(maxsize=4)
+def word_pattern(pattern: str | None = None) -> str:
+    """``pattern`` (the public one) for ``re``, which is faster and has no classes by category: they are spelt out."""
+    if pattern is None:
+        import public_tokenizers
+
+        pattern = public_tokenizers.PATTERN
+    classes = {x: _members(x) for x in (r"\p{L}", r"\p{N}", r"\s")}
+
+    def spelt(match: re.Match) -> str:
+        text = match.group()
+        if text == r"\S":
+            return f"[^{classes[chr(92) + 's']}]"
+        inner = text[1:-1] if text[0] == "[" else text
+        for escape, members in classes.items():
+            inner = inner.replace(escape, members)
+        return f"[{inner}]"
+
+    return re.sub(r"\[[^\]]*\]|\\p\{[LN]\}|\\[sS]", spelt, pattern)
 
 
 class PairRanks:
@@ -217,13 +227,13 @@ class _Codes(dict):
 class Encoder:
     """Encodes chunks of texts; what it keeps between chunks is the vocabulary only."""
 
-    def __init__(self, ranks: dict[bytes, int]) -> None:
+    def __init__(self, ranks: dict[bytes, int], pattern: str | None = None) -> None:
         self.table = PairRanks(ranks)
         pieces = dict(zip(ranks.values(), ranks))
         ordered = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.piece_bytes = np.frombuffer(b"".join(ordered), dtype=np.uint8)
         self.piece_sizes = np.array([len(x) for x in ordered], dtype=np.int64)
-        self.find = word_pattern().findall
+        self.find = re.compile(pattern or word_pattern()).findall
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and how many each has."""
@@ -273,10 +283,11 @@ def _units(data: bytes) -> list:
 def bpe_encode(docs: DataFrame, ranks: dict[bytes, int], id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False, keep: dict[str, Column] | None = None) -> DataFrame:
     """n_tokens and the hashes of ids and decoded bytes (and the ids, if asked for)."""
     holder: list[Encoder] = []
+    pattern = word_pattern()
 
     def run(texts: list[bytes]) -> dict:
         if not holder:
-            holder.append(Encoder(ranks))
+            holder.append(Encoder(ranks, pattern))
         encoder = holder[0]
         flat, sizes = encoder.encode(texts)
         ends = np.cumsum(sizes).tolist()

@@ -3,13 +3,20 @@
 Each text gives four integer ratios. A mergeable quantile sketch per (language,
 source, ratio) holds counts in log-linear bins: bins are exact below 64 and
 1/32 wide above, so two sketches merge by adding counts, in any order and
-partitioning, with the same result. A ratio's fence is the median, plus or
-minus a multiple of the distance from the median to a quartile; the fences are
-joined to the rows. Groups of fewer than ``min_group`` texts use the sketch of
-their language, and rare languages that of all texts, by merging.
+partitioning, with the same result. A ratio's fence is a quantile of the group
+(``level`` in a hundred), plus or minus ``spread`` times its distance from the median;
+the fences are joined to the rows. ``RESOLUTION`` only keeps a group whose quantile is
+its median from rejecting the next larger value.
+
+Every quantile of a group is a mean of its own and of its language's, weighted
+with the group's rows and ``SHRINK``; a language's leans on all texts' likewise. So
+small groups are judged nearly as their language is, large ones by themselves,
+and nothing changes by a step.
 
 Null texts are empty. A null language or source is a group like any other.
-Repeated rows count each time and each give a row.
+Texts are counted whole, however long. Repeated rows count each time and each
+give a row; other columns are ignored or, in the filter, kept under any names.
+Without rows there are no fences and no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +32,16 @@ from .work import materialize
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Ratio: (expression, sides that are fenced, least distance of a fence from the median).
+#: Ratio: (expression, sides that are fenced, level, spread). Junk of up to 100 - level in a hundred of a group does not move its own fence.
 RATIOS = {
-    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", "both", 2000),
-    "symbols": ("n_symbols * 10000 div greatest(n_words, 1)", "high", 1500),
-    "dup_lines": ("n_dup_lines * 10000 div greatest(n_lines, 1)", "high", 5000),
-    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", "high", 4000),
+    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", "both", 95, 3),
+    "symbols": ("n_symbols * 10000 div greatest(n_words, 1)", "high", 90, 1),
+    "dup_lines": ("n_dup_lines * 10000 div greatest(n_lines, 1)", "high", 99, 1),
+    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", "high", 99, 1),
 }
-SPREADS, MIN_GROUP = 6, 100
+#: Quantile levels of the sketches; a fence's low level is 100 - level.
+LEVELS = (5, 50, 90, 95, 99)
+RESOLUTION, SHRINK = 100, 100
 
 
 def text_counts(texts: list[bytes]) -> dict[str, pa.Array]:
@@ -83,40 +92,46 @@ def sketch(rows: DataFrame, by: list[str]) -> DataFrame:
     return rows.select(*by, F.explode(pairs).alias("p")).groupBy(*by, "p.ratio", _bin(F.col("p.x")).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def quantiles(sketches: DataFrame, by: list[str]) -> DataFrame:
-    """Median, quartiles and size per group and ratio, from bin counts."""
+def quantiles(sketches: DataFrame, by: list[str], levels: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
+    """Size and quantiles q1, q2, ... at ``levels`` in a hundred per group and ratio, from bin counts."""
     keys = [*by, "ratio"]
     bins = sketches.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     upto = W.partitionBy(*keys).orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     bins = bins.withColumns({"upto": F.sum("n").over(upto), "total": F.sum("n").over(W.partitionBy(*keys))})
-    at = [F.min(F.when(F.col("upto") * 4 >= F.col("total") * k, F.col("bin"))).alias(f"q{k}") for k in (1, 2, 3)]
+    at = [F.min(F.when(F.col("upto") * 100 >= F.col("total") * x, F.col("bin"))).alias(f"q{k}") for k, x in enumerate(levels, 1)]
     return bins.groupBy(*keys).agg(F.max("total").alias("total"), *at)
 
 
-def fences(rows: DataFrame, lang_col: str, source_col: str, min_group: int = MIN_GROUP, spreads: int = SPREADS) -> DataFrame:
+def _shrunk(own: str, towards: str) -> Column:
+    """The quantiles ``own``, drawn ``towards`` those of a wider group."""
+    n = F.col(f"{own}.total")
+    q = [F.expr(f"({own}.total * {own}.q{k} + {SHRINK} * {towards}.q{k}) div ({own}.total + {SHRINK})").alias(f"q{k}") for k in range(1, len(LEVELS) + 1)]
+    return F.struct(n.alias("total"), *q)
+
+
+def fences(rows: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     """One row per (language, source): low and high bound of every ratio."""
     fine = materialize(sketch(rows, [lang_col, source_col]), "sketch")
-    own = quantiles(fine, [lang_col, source_col])
-    lang = quantiles(fine, [lang_col]).select(F.col(lang_col).alias("__l"), "ratio", F.struct("total", "q1", "q2", "q3").alias("by_lang"))
-    every = quantiles(fine, []).select("ratio", F.struct("total", "q1", "q2", "q3").alias("by_all"))
-    own = own.select(lang_col, source_col, "ratio", F.struct("total", "q1", "q2", "q3").alias("own"))
-    joined = own.join(lang, (own[lang_col].eqNullSafe(lang["__l"])) & (own["ratio"] == lang["ratio"]), "left").drop(lang["ratio"], lang["__l"]).join(every, "ratio", "left")
-    q = F.when(F.col("own.total") >= min_group, F.col("own")).when(F.col("by_lang.total") >= min_group, F.col("by_lang")).otherwise(F.col("by_all"))
-    joined = joined.select(lang_col, source_col, "ratio", q.alias("q"))
+    q = F.struct("total", *[f"q{k}" for k in range(1, len(LEVELS) + 1)])
+    every = quantiles(fine, [], LEVELS).select(F.col("ratio").alias("__ra"), q.alias("__all"))
+    lang = quantiles(fine, [lang_col], LEVELS).select(F.col(lang_col).alias("__l"), F.col("ratio").alias("__rl"), q.alias("__own"))
+    lang = lang.join(every, F.col("__rl") == F.col("__ra")).select("__l", "__rl", _shrunk("__own", "__all").alias("__wide"))
+    own = quantiles(fine, [lang_col, source_col], LEVELS).select(lang_col, source_col, "ratio", q.alias("__own"))
+    own = own.join(lang, own[lang_col].eqNullSafe(lang["__l"]) & (F.col("ratio") == F.col("__rl"))).select(lang_col, source_col, "ratio", _shrunk("__own", "__wide").alias("q"))
     aggs = []
-    for k, (_, sides, least) in RATIOS.items():
-        low = F.col("q.q2") - F.greatest((F.col("q.q2") - F.col("q.q1")) * spreads, F.lit(least))
-        high = F.col("q.q2") + F.greatest((F.col("q.q3") - F.col("q.q2")) * spreads, F.lit(least))
+    middle = F.col(f"q.q{LEVELS.index(50) + 1}")
+    for k, (_, sides, level, spread) in RATIOS.items():
+        high, low = F.col(f"q.q{LEVELS.index(level) + 1}"), F.col(f"q.q{LEVELS.index(100 - level) + 1}") if sides == "both" else middle
+        aggs.append(F.max(F.when(F.col("ratio") == k, high + F.greatest((high - middle) * spread, F.lit(RESOLUTION)))).alias(f"{k}_high"))
         if sides == "both":
-            aggs.append(F.max(F.when(F.col("ratio") == k, low)).alias(f"{k}_low"))
-        aggs.append(F.max(F.when(F.col("ratio") == k, high)).alias(f"{k}_high"))
-    return joined.groupBy(lang_col, source_col).agg(*aggs)
+            aggs.append(F.max(F.when(F.col("ratio") == k, low - F.greatest((middle - low) * spread, F.lit(RESOLUTION)))).alias(f"{k}_low"))
+    return own.groupBy(lang_col, source_col).agg(*aggs)
 
 
 def _counted(docs: DataFrame, keep: dict[str, Column], text_col: str) -> DataFrame:
     rows = map_texts(docs, keep, text_col, "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long", text_counts)
     rows = rows.withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MAX_REPEAT_PERCENT))
-    return rows.withColumns({f"__{k}": F.expr(e) for k, (e, _, _) in RATIOS.items()})
+    return rows.withColumns({f"__{k}": F.expr(e) for k, (e, *_) in RATIOS.items()})
 
 
 def _judged(rows: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -124,7 +139,7 @@ def _judged(rows: DataFrame, bounds: DataFrame) -> DataFrame:
     bounds = bounds.withColumnsRenamed({"__lang": "__l", "__source": "__s"})
     rows = rows.join(bounds, rows["__lang"].eqNullSafe(bounds["__l"]) & rows["__source"].eqNullSafe(bounds["__s"]), "left")
     ok = ~F.col("base_failed")
-    for k, (_, sides, _) in RATIOS.items():
+    for k, (_, sides, *_) in RATIOS.items():
         ok &= F.col(f"__{k}") <= F.col(f"{k}_high")
         if sides == "both":
             ok &= F.col(f"__{k}") >= F.col(f"{k}_low")
@@ -158,16 +173,24 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def oracle() -> str:
     bins = "CASE " + " ".join(f"WHEN x >= {32 << k} THEN x - x % {1 << k}" for k in range(41, 0, -1)) + " ELSE x END"
-    ratios = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS ratio, ({e.replace('div', '//')})::BIGINT AS x FROM c" for k, (e, _, _) in RATIOS.items())
+    ratios = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS ratio, ({e.replace('div', '//')})::BIGINT AS x FROM c" for k, (e, *_) in RATIOS.items())
 
     def quant(by: str) -> str:
         on = f"{by}, ratio" if by else "ratio"
-        return f"""SELECT {on}, max(total) AS total, min(bin) FILTER (upto * 4 >= total) AS q1, min(bin) FILTER (upto * 4 >= total * 2) AS q2, min(bin) FILTER (upto * 4 >= total * 3) AS q3
+        at = ", ".join(f"min(bin) FILTER (upto * 100 >= total * {x})" for x in LEVELS)
+        return f"""SELECT {on}, max(total) AS total, [{at}] AS q
   FROM (SELECT *, sum(n) OVER (PARTITION BY {on} ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {on}) AS total
         FROM (SELECT {on}, bin, sum(n) AS n FROM sk GROUP BY {on}, bin)) GROUP BY {on}"""
 
-    least = "CASE ratio " + " ".join(f"WHEN '{k}' THEN {v}" for k, (_, _, v) in RATIOS.items()) + " END"
-    sides = "CASE ratio " + " ".join(f"WHEN '{k}' THEN '{s}'" for k, (_, s, _) in RATIOS.items()) + " END"
+    def drawn(own: str, wide: str) -> str:
+        return f"list_transform(range(1, {len(LEVELS) + 1}), lambda i: ({own}.total * {own}.q[i] + {SHRINK} * {wide}.q[i]) // ({own}.total + {SHRINK}))"
+
+    at = {x: f"q[{i}]" for i, x in enumerate(LEVELS, 1)}
+    bad = " OR ".join(
+        f"ratio = '{k}' AND (x > {at[level]} + greatest(({at[level]} - {at[50]}) * {spread}, {RESOLUTION})"
+        + (f" OR x < {at[100 - level]} - greatest(({at[50]} - {at[100 - level]}) * {spread}, {RESOLUTION})" if sides == "both" else "") + ")"
+        for k, (_, sides, level, spread) in RATIOS.items()
+    )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
@@ -182,13 +205,12 @@ c AS (
 f AS (SELECT *, (n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words) AS base_failed FROM c),
 r AS ({ratios}),
 sk AS (SELECT lang, source, ratio, {bins} AS bin, count(*) AS n FROM r GROUP BY ALL),
-own AS ({quant('lang, source')}), bl AS ({quant('lang')}), ba AS ({quant('')}),
-q AS (
-  SELECT own.lang, own.source, own.ratio, CASE WHEN own.total >= {MIN_GROUP} THEN [own.q1, own.q2, own.q3] WHEN bl.total >= {MIN_GROUP} THEN [bl.q1, bl.q2, bl.q3] ELSE [ba.q1, ba.q2, ba.q3] END AS q
-  FROM own LEFT JOIN bl ON own.lang IS NOT DISTINCT FROM bl.lang AND own.ratio = bl.ratio LEFT JOIN ba ON own.ratio = ba.ratio),
+ba AS ({quant('')}),
+bl AS (SELECT l.lang, ratio, {drawn('l', 'ba')} AS q FROM ({quant('lang')}) l JOIN ba USING (ratio)),
+own AS (SELECT o.lang, o.source, o.ratio, {drawn('o', 'bl')} AS q FROM ({quant('lang, source')}) o JOIN bl ON o.lang IS NOT DISTINCT FROM bl.lang AND o.ratio = bl.ratio),
 bad AS (
-  SELECT DISTINCT rid FROM r JOIN q ON r.lang IS NOT DISTINCT FROM q.lang AND r.source IS NOT DISTINCT FROM q.source AND r.ratio = q.ratio
-  CROSS JOIN LATERAL (SELECT {least.replace('ratio', 'r.ratio')} AS least, {sides.replace('ratio', 'r.ratio')} AS sides)
-  WHERE x > q[2] + greatest((q[3] - q[2]) * {SPREADS}, least) OR (sides = 'both' AND x < q[2] - greatest((q[2] - q[1]) * {SPREADS}, least)))
+  SELECT DISTINCT rid
+  FROM (SELECT rid, r.ratio, x, q FROM r JOIN own ON r.lang IS NOT DISTINCT FROM own.lang AND r.source IS NOT DISTINCT FROM own.source AND r.ratio = own.ratio)
+  WHERE {bad})
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND bad.rid IS NULL) AS kept
 FROM f LEFT JOIN bad USING (rid)"""
