@@ -11,7 +11,9 @@ aggregates before any join.
 Turns are ordered by (turn, role, text); exact repeats of a row count once.
 Null roles and texts are empty. Rows with a null conversation id belong to no
 conversation and give no row. Markers inside a text are broken up by a space.
-The result has a row per kept conversation, whose text is the sum of its turns.
+The result has a row per kept conversation, whose text is the sum of its turns,
+however long. Other columns are ignored, whatever their names; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
@@ -35,7 +37,8 @@ def prefix_hashes(turns: DataFrame) -> DataFrame:
     order = W.partitionBy("conv_id").orderBy("turn", "role", "text")
     so_far = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     out = turns.withColumn("at", F.row_number().over(order))
-    digest = F.md5(F.concat_ws("\x1f", F.col("at").cast("string"), "role", "text"))
+    # The lengths keep (role, text) apart whatever characters they hold.
+    digest = F.md5(F.concat_ws(":", F.col("at").cast("string"), F.octet_length("role").cast("string"), F.octet_length("text").cast("string"), "role", "text"))
     out = out.withColumns({"__a": _half(digest, 1), "__b": _half(digest, 17)})
     out = out.withColumns({"h1": F.bit_xor("__a").over(so_far), "h2": F.bit_xor("__b").over(so_far), "n": F.count("*").over(W.partitionBy("conv_id"))})
     return out.drop("__a", "__b")

@@ -2,14 +2,16 @@
 
 Rules on (host, path) decide a URL by the longest rule that fits; of rules as
 long, allow wins. Pages that redirect (``http-equiv=refresh``) or name a
-canonical link are aliases of the target, and so are URLs that differ only in
-scheme, query, fragment or closing slashes. Connected components over those
-edges hold equivalent URLs. A URL without a rule is blocked if its component
+canonical link are aliases of the target. A URL is a node by its whole normal
+form: scheme and host in lower case, ``/`` for an empty path, the query, but no
+fragment, as that is not sent. Connected components over those edges, and no
+others, hold equivalent URLs. A URL without a rule is blocked if its component
 holds a blocked URL and no explicitly allowed one; otherwise it is allowed.
 
 Null URLs and URLs without ``://`` have an empty host and path, fit no rule
-and are allowed. Repeated rows each give a row; other columns are ignored.
-Only DataFrame functions run here.
+and are allowed; null HTML has no links. Very long URLs and pages are read
+whole. Repeated rows each give a row; other columns are ignored; no rows give
+none. Only DataFrame functions run here.
 """
 
 from __future__ import annotations
@@ -49,15 +51,17 @@ def _decide(host: Column, path: Column, rules: tuple) -> Column:
     return out if out is not None else F.lit(None).cast("struct<rule:string,verdict:string>")
 
 
-def _key(host: Column, path: Column) -> Column:
-    """What URLs that differ only in scheme, query, fragment or closing slashes share."""
-    return F.when(host != "", F.concat(host, F.regexp_replace(path, "/+$", "")))
+def _key(url: Column, host: Column, path: Column) -> Column:
+    """The whole URL in normal form; null without a host."""
+    scheme = lower_ascii(F.substring(url, F.lit(1), F.instr(url, "://") - 1))
+    query = F.regexp_extract(F.regexp_replace(url, "(?s)#.*$", ""), r"(?s)\?.*$", 0)
+    return F.when(host != "", F.concat(scheme, F.lit("://"), host, F.when(path == "", "/").otherwise(path), query))
 
 
 def _parts(df: DataFrame, url: str, rules: tuple) -> DataFrame:
     host, path = split_url(F.col(url))
     df = df.withColumns({"host": host, "path": path})
-    return df.withColumns({"key": _key(F.col("host"), F.col("path")), "said": _decide(F.col("host"), F.col("path"), rules)})
+    return df.withColumns({"key": _key(F.col(url), F.col("host"), F.col("path")), "said": _decide(F.col("host"), F.col("path"), rules)})
 
 
 def alias_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -117,7 +121,9 @@ def oracle() -> str:
         return "CASE " + " ".join(f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN '{(h + p, v)[value]}'" for h, p, v in ordered) + " END"
 
     def parts(url: str) -> str:
-        return f"""SELECT *, {case(0)} AS rule, {case(1)} AS said, CASE WHEN host <> '' THEN host || regexp_replace(path, '/+$', '') END AS key
+        scheme = f"translate(substr({url}, 1, instr({url}, '://') - 1), '{UPPER}', '{UPPER.lower()}')"
+        query = f"regexp_extract(regexp_replace({url}, '#.*$', '', 's'), '\\?.*$', 0, 's')"
+        return f"""SELECT *, {case(0)} AS rule, {case(1)} AS said, CASE WHEN host <> '' THEN {scheme} || '://' || host || CASE WHEN path = '' THEN '/' ELSE path END || {query} END AS key
   FROM (SELECT *, translate(regexp_extract(rest, '^[^/?#]*'), '{UPPER}', '{UPPER.lower()}') AS host,
                regexp_extract(substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1), '^[^?#]*') AS path
         FROM (SELECT *, CASE WHEN instr({url}, '://') > 0 THEN substr({url}, instr({url}, '://') + 3) ELSE '' END AS rest FROM {{}}))"""

@@ -180,9 +180,9 @@ def test_url_filter(spark):
     canonical = '<head><link href="{}" rel="canonical"></head>'
     refresh = '<META http-equiv="refresh" content="0; url={}">'
     rows = [
-        (1, "https://a.com/en/x", None), (2, "https://b.org/fr/1", canonical.format("https://a.com/en/x")), (3, "https://c.org/fr/2", refresh.format("https://b.org/fr/1/?q#f")), (4, "http://d.org/fr/3", None),
-        (5, "https://www.example.com/en/77", None), (6, "https://e.org/fr/5", canonical.format("https://www.example.com/en/77")), (7, "https://e.org/fr/5/?x=1", refresh.format("http://z.com/en/q")), (8, None, canonical.format("http://a.com/en/x")), (9, "no host", None),
-        (10, "http://EXAMPLE.net/de/8#top", None), (11, "http://other.net/de/8", None), (12, "ftp://notcom/en/", None), (13, "http://com/en/", "<link rel=canonical"), (14, "http://g.org/es", None), (15, "http://g.org/es/", None), (15, "http://g.org/es/", None), (16, "http://h.org/q/r", canonical.format("../s")), (17, "http://h.org", canonical.format("//g.org/es/")),
+        (1, "https://a.com/en/x", None), (2, "https://b.org/fr/1", canonical.format("https://a.com/en/x")), (3, "https://c.org/fr/2", refresh.format("HTTPS://B.org/fr/1#f")), (4, "http://d.org/fr/3", None),
+        (5, "https://www.example.com/en/77", None), (6, "https://e.org/fr/5", canonical.format("https://www.example.com/en/77")), (7, "https://e.org/fr/5#x=1", refresh.format("http://z.com/en/q")), (8, None, canonical.format("http://a.com/en/x")), (9, "no host", None),
+        (10, "http://EXAMPLE.net/de/8#top", None), (11, "http://other.net/de/8", None), (12, "ftp://notcom/en/", None), (13, "http://com/en/", "<link rel=canonical"), (14, "http://g.org/es", "<link rel=canonical href=/es/>"), (15, "http://g.org/es/", None), (15, "http://g.org/es/", None), (16, "http://h.org/q/r", canonical.format("../s")), (17, "http://h.org", canonical.format("//g.org/es/")),
     ]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit(1)).withColumn("key", F.lit(2))
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in op5_urls.judge_urls(df).collect()}
