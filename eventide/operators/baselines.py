@@ -45,9 +45,9 @@ def status(n: Column) -> Column:
     return F.when(n >= VALID, "VALID").when(n >= LOW, "LOW_CONFIDENCE").otherwise("INSUFFICIENT")
 
 
-def pools(returns: DataFrame, exclusion: int, by_vol: bool = True) -> DataFrame:
+def pools(returns: DataFrame, exclusion: int, by_vol: bool = True, widen: bool = False) -> DataFrame:
     keys = ["ticker", "horizon", "trend_regime"] + ["vol_regime"] * by_vol
-    free = returns.where(~excluded(exclusion) & F.col("ret").isNotNull())
+    free = returns.where(~excluded(exclusion, widen=widen) & F.col("ret").isNotNull())
     return free.groupBy(*keys).agg(F.avg("ret").alias("matched_return"), F.count("*").alias("n_controls"))
 
 
@@ -65,6 +65,38 @@ def benchmark_returns(bench: DataFrame, dates: DataFrame, horizons=HORIZONS) ->
     return dates.select("session").join(b, "session").groupBy("horizon").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("benchmark"), F.count("ret").alias("n_dates"))
 
 
+def benchmark_by_ticker(bench: DataFrame, found: DataFrame, horizons=HORIZONS) -> DataFrame:
+    """Mean benchmark return at each ticker's event dates."""
+    b = control_returns(bench.withColumns({"pos": F.lit(0), "ticker": F.lit("^")}), horizons).select("session", "horizon", "ret")
+    return found.select("ticker", "session").join(b, "session").groupBy("ticker", "horizon").agg(F.coalesce(F.avg("ret"), F.lit(0.0)).alias("benchmark"))
+
+
+def all_baselines(found: DataFrame, returns: DataFrame, exclusion: int, bench: DataFrame | None = None, horizons=HORIZONS, widen: bool = False) -> DataFrame:
+    """Per ticker with events, and horizon: the four baselines and their coverage.
+
+    ``returns``: control returns of every session with its neighbours. Where
+    nothing can be compared a baseline is 0.
+    """
+    exact = coverage(matched(found, pools(returns, exclusion, widen=widen), horizons))
+    trend = coverage(matched(found, pools(returns, exclusion, by_vol=False, widen=widen), horizons)).select("ticker", "horizon", F.col("exact_matched_mean").alias("trend_only_mean"))
+    out = exact.join(unconditional(returns), ["ticker", "horizon"], "left").join(trend, ["ticker", "horizon"])
+    if bench is not None:
+        out = out.join(benchmark_by_ticker(bench, found, horizons), ["ticker", "horizon"], "left")
+    else:
+        out = out.withColumn("benchmark", F.lit(0.0))
+    return out.na.fill(0.0, ["unconditional", "benchmark"])
+
+
+def weighted_all(summary: DataFrame) -> DataFrame:
+    """The four baselines across tickers, weighted by all events of each, and the coverage."""
+    n = F.nullif(F.sum("n_events"), F.lit(0))
+    means = [(F.sum(F.col(c) * F.col("n_events")) / n).alias(c) for c in ("unconditional", "exact_matched_mean", "trend_only_mean", "benchmark")]
+    counts = [F.sum(c).alias(c) for c in ("n_events", "n_valid", "n_low_confidence", "n_insufficient")]
+    share = lambda c: F.round(100.0 * c / F.nullif("n_events", F.lit(0)), 1)
+    out = summary.groupBy("horizon").agg(*means, *counts)
+    return out.withColumns({"valid_pct": share(F.col("n_valid")), "valid_or_low_pct": share(F.col("n_valid") + F.col("n_low_confidence"))})
+
+
 def coverage(per_event: DataFrame) -> DataFrame:
     used = F.col("status") != "INSUFFICIENT"
     n = F.count("*")

@@ -118,10 +118,19 @@ def targets_only(df: DataFrame, universe: DataFrame) -> DataFrame:
     return df.where(~F.col("ticker").startswith("^")).join(universe.where("role = 'target'").select("ticker"), "ticker", "left_semi")
 
 
-def grid(df: DataFrame, cells: list[tuple[str, list[Rule]]], sessions: int) -> DataFrame:
-    """Signals and events of every cell of a parameter grid, in one pass over the features."""
-    tagged = df.select("ticker", "pos", F.explode(F.array_compact(F.array(*[F.when(event_mask(df, rules), F.lit(name)) for name, rules in cells]))).alias("cell"))
-    one = tagged.select(F.concat_ws("\x1f", "cell", "ticker").alias("ticker"), "pos")
-    kept = cooldown(one, sessions).groupBy(F.substring_index("ticker", "\x1f", 1).alias("cell")).agg(F.count("*").alias("n_events"))
+def grid(df: DataFrame, cells: list[tuple[str, list[Rule]]], sessions: int, price: str | None = None, horizon: int = 5) -> DataFrame:
+    """Signals and events of every cell of a parameter grid, in one pass over the features.
+
+    Cells without signals have zeros. With ``price`` also the metric of each
+    cell: the mean return, close to close, ``horizon`` sessions after its events.
+    """
+    from .trades import forward_return
+
+    ret = forward_return(F.col(price), horizon) if price else F.lit(None).cast("double")
+    tagged = df.withColumn("__ret", ret).select("ticker", "pos", "__ret", F.explode(F.array_compact(F.array(*[F.when(event_mask(df, rules), F.lit(name)) for name, rules in cells]))).alias("cell"))
+    one = tagged.select(F.concat_ws("\x1f", "cell", "ticker").alias("ticker"), "pos", "__ret")
+    kept = cooldown(one, sessions).groupBy(F.substring_index("ticker", "\x1f", 1).alias("cell")).agg(F.count("*").alias("n_events"), F.avg("__ret").alias("metric"))
     raw = tagged.groupBy("cell").agg(F.count("*").alias("n_signals"))
-    return raw.join(kept, "cell")
+    names = df.sparkSession.createDataFrame([(name,) for name, _ in cells], "cell string")
+    out = names.join(raw, "cell", "left").join(kept, "cell", "left").na.fill(0, ["n_signals", "n_events"])
+    return out if price else out.drop("metric")

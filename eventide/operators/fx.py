@@ -24,7 +24,12 @@ def rate_gaps(bars: DataFrame, fx: DataFrame, carry: int = 5) -> DataFrame:
 
 
 def in_base(bars: DataFrame, fx: DataFrame, local=None, adjust_all: bool = False, carry: int = 5) -> DataFrame:
-    """Adds ``*_usd``: local tickers at adjusted price over rate, others at their own price."""
+    """Adds ``*_usd``: local tickers at adjusted price over rate, others at their own price.
+
+    Raises if there are local rows and no valid rate at all: they would all go.
+    """
+    if fx.where(F.col("ccl") > 0).isEmpty():
+        raise ValueError("no valid exchange rate")
     local = F.col("ticker").endswith(".BA") | (F.col("ticker") == "^MERV") if local is None else local
     source = {c: F.col(f"{c}_adj") if f"{c}_adj" in bars.columns else F.col("adj_close") if c == "close" and "adj_close" in bars.columns else F.col(c) for c in PRICES}
     rows = W.partitionBy("ticker").orderBy("session").rowsBetween(-carry, 0)

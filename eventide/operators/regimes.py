@@ -12,14 +12,16 @@ from eventide.functions.windows import back, full
 def as_of(bars: DataFrame, bench: DataFrame, price: str = "close", name: str = "bench") -> DataFrame:
     """The benchmark's price of its last session not after each session, NULL prices included.
 
-    Union and window: benchmark rows are dealt to every ticker that has bars,
-    and the last non-null struct is carried, so a NULL inside it is kept.
+    The benchmark is carried over the distinct sessions once, whatever the
+    number of tickers, and joined by session. The last non-null struct is
+    carried, so a NULL inside it is kept; the one window holds days, not bars.
     """
-    tickers = bars.select("ticker").distinct()
-    quotes = bench.select("session", F.struct(F.col(price).alias("p")).alias("__q")).join(F.broadcast(tickers))
-    both = bars.withColumn("__q", F.lit(None).cast(quotes.schema["__q"].dataType)).withColumn("__own", F.lit(1)).unionByName(quotes.withColumn("__own", F.lit(0)), allowMissingColumns=True)
-    rows = W.partitionBy("ticker").orderBy("session", "__own").rowsBetween(W.unboundedPreceding, 0)
-    return both.withColumn(name, F.last("__q", ignorenulls=True).over(rows)["p"]).where("__own = 1").drop("__q", "__own")
+    days = bars.select("session").where("session is not null").distinct()
+    quotes = bench.select("session", F.struct(F.col(price).alias("p")).alias("__q"), F.lit(0).alias("__own"))
+    both = quotes.unionByName(days.select("session", F.lit(None).cast(quotes.schema["__q"].dataType).alias("__q"), F.lit(1).alias("__own")))
+    rows = W.partitionBy(F.lit(0)).orderBy("session", "__own").rowsBetween(W.unboundedPreceding, 0)
+    aligned = both.withColumn(name, F.last("__q", ignorenulls=True).over(rows)["p"]).where("__own = 1").select(F.col("session").alias("__day"), name)
+    return bars.join(aligned, F.col("session") == F.col("__day"), "left").drop("__day")
 
 
 def trend_regime(price: Column, sma: Column, slope: Column) -> Column:

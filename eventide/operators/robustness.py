@@ -36,36 +36,60 @@ def bootstrap(trades: DataFrame, keys: list[str], col: str = "net_return_pct", n
     return rows.groupBy(*keys).applyInPandas(run, f"{fields}, mean double, median double, ci_lower double, ci_upper double, std_error double, ci double, n_iterations int")
 
 
-def bootstrap_hashed(trades: DataFrame, key: str = "horizon", col: str = "net_return_pct", n: int = 200, ci: float = 0.95) -> DataFrame:
-    """Resampling by modular arithmetic, which any SQL engine repeats; another generator than ``bootstrap``."""
-    order = W.partitionBy(key).orderBy("ticker", "signal_date")
-    x = trades.where(F.col(col).isNotNull()).select(key, F.col(col).alias("x"), (F.row_number().over(order) - 1).cast("long").alias("i"), F.count("*").over(W.partitionBy(key)).alias("m"))
-    draws = x.select(key, "i", "m", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("k"))
-    draws = draws.withColumn("j", ((F.col("k") * 7919 + F.col("i") * 104729 + F.col("k") * F.col("i") * 31 + (F.col("i") * F.col("i") * 17)) % 1000003) % F.col("m"))
-    means = draws.join(x.select(key, F.col("i").alias("j"), "x"), [key, "j"]).groupBy(key, "k").agg(F.avg("x").alias("mean"))
-    return means.groupBy(key).agg(F.percentile("mean", (1 - ci) / 2).alias("ci_lower"), F.percentile("mean", (1 + ci) / 2).alias("ci_upper"), F.stddev_samp("mean").alias("std_error"))
+#: The distribution function of Poisson(1) at 0, 1, 2, ...
+POISSON = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253)
+PRIME = 2147483647
+
 
+def bootstrap_hashed(trades: DataFrame, key: str = "horizon", col: str = "net_return_pct", n: int = 10_000, ci: float = 0.95) -> DataFrame:
+    """Resampling by Poisson weights, which any SQL engine repeats; other draws than ``bootstrap``.
 
-def leave_one_out(trades: DataFrame, part: str, col: str = "forward_return") -> DataFrame:
-    """Mean without each part, from the parts' sums: nothing is computed again."""
-    per = trades.groupBy("horizon", part).agg(F.sum(col).alias("s"), F.count(col).alias("n"))
-    every = per.select("horizon", part).select(part).distinct()
-    total = per.groupBy("horizon").agg(F.sum("s").alias("ts"), F.sum("n").alias("tn"))
-    cells = total.join(F.broadcast(every)).join(per, ["horizon", part], "left")
-    left = F.col("tn") - F.coalesce("n", F.lit(0))
-    return cells.select(F.col(part).alias("excluded"), "horizon", left.alias("n_events"), F.coalesce((F.col("ts") - F.coalesce("s", F.lit(0.0))) / F.nullif(left, F.lit(0)), F.lit(0.0)).alias("mean_return"))
+    Resample k weighs a row by a number that follows from the row's hash and k
+    alone, so a resample is two sums: partial sums are made where the rows are,
+    and no group has to be together.
+    """
+    own = F.conv(F.substring(F.md5(F.concat_ws("|", "ticker", F.col("signal_date").cast("string"))), 1, 7), 16, 10).cast("long") + 1
+    rows = trades.where(F.col(col).isNotNull()).select(key, F.col(col).alias("x"), own.alias("r"))
+    draws = rows.select(key, "x", "r", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long"))).alias("k"))
+    u = F.col("r") * ((F.col("k") * 48271 + 11) % PRIME) % PRIME / F.lit(float(PRIME))
+    weight = sum(((u > p).cast("int") for p in POISSON), F.lit(0))
+    sums = draws.withColumn("w", weight).groupBy(key, "k").agg(F.sum(F.col("w") * F.col("x")).alias("s"), F.sum("w").alias("m"))
+    means = sums.where("m > 0").withColumn("mean", F.col("s") / F.col("m"))
+    return means.groupBy(key).agg(F.percentile("mean", (1 - ci) / 2).alias("ci_lower"), F.percentile("mean", (1 + ci) / 2).alias("ci_upper"), F.stddev_samp("mean").alias("std_error"))
 
 
-def concentration(trades: DataFrame, col: str = "net_return_pct", part: str = "ticker") -> DataFrame:
-    """Shares of the best trade, three trades and part in the total, with a status for totals of 0 or less."""
-    per = trades.groupBy("horizon", part).agg(F.sum(col).alias("s"))
-    best = per.groupBy("horizon").agg(F.sum("s").alias("total"), F.count("*").alias("n_assets"), F.max(F.struct("s", F.col(part).alias("p"))).alias("top"))
-    rank = F.row_number().over(W.partitionBy("horizon").orderBy(F.desc(col), part, "signal_date"))
-    three = trades.select("horizon", col, rank.alias("r")).where("r <= 3").groupBy("horizon").agg(F.max(col).alias("one"), F.sum(col).alias("three"))
-    n = trades.groupBy("horizon").agg(F.count(col).alias("n_trades"))
+def leave_one_out(trades: DataFrame, part: str, col: str = "forward_return", parts: DataFrame | None = None, horizons: tuple[int, ...] | None = None) -> DataFrame:
+    """Mean without each part, from the parts' sums: nothing is computed again.
+
+    ``parts`` holds all parts of the data, with or without trades, and ``horizons``
+    all horizons; by default those that trades have.
+    """
+    x = trades.select("horizon", part, F.col(col).cast("double").alias("x"))
+    parts = x.select(part) if parts is None else parts.select(part)
+    every = x.select("horizon") if horizons is None else None
+    cells = parts.distinct().select(part, F.explode(F.array(*map(F.lit, horizons))).alias("horizon")) if every is None else parts.distinct().join(every.distinct())
+    per = x.unionByName(cells.select("horizon", part, F.lit(None).cast("double").alias("x"))).groupBy("horizon", part).agg(F.sum("x").alias("s"), F.count("x").alias("n"))
+    whole = W.partitionBy("horizon")
+    left = F.sum("n").over(whole) - F.col("n")
+    rest = F.sum("s").over(whole) - F.coalesce("s", F.lit(0.0))
+    return per.select(F.col(part).alias("excluded"), "horizon", left.alias("n_events"), F.coalesce(rest / F.nullif(left, F.lit(0)), F.lit(0.0)).alias("mean_return"))
+
+
+def concentration(trades: DataFrame, col: str | None = None, part: str = "ticker") -> DataFrame:
+    """Shares of the best trade, three trades and part in the total, with a status for totals of 0 or less.
+
+    Gross returns by default. The best trades are kept as a bounded array while
+    rows are summed by part, so trades are read once and never ranked together.
+    """
+    col = col or ("forward_return" if "forward_return" in trades.columns else "net_return_pct")
+    rank = F.row_number().over(W.partitionBy("horizon", part).orderBy(F.desc("x"), "signal_date"))
+    ranked = trades.select("horizon", part, F.col(col).cast("double").alias("x"), "signal_date").withColumn("r", rank)
+    per = ranked.groupBy("horizon", part).agg(F.sum("x").alias("s"), F.count("x").alias("n"), F.collect_list(F.when(F.col("r") <= 3, F.col("x"))).alias("best"))
+    best = per.groupBy("horizon").agg(F.sum("s").alias("total"), F.sum("n").alias("n_trades"), F.count("*").alias("n_assets"), F.max(F.struct("s", F.col(part).alias("p"))).alias("top"), F.slice(F.sort_array(F.flatten(F.collect_list("best")), asc=False), 1, 3).alias("three"))
     t = F.nullif("total", F.lit(0.0))
     share = lambda c: F.coalesce(c / t * 100, F.lit(0.0))
-    return best.join(three, "horizon").join(n, "horizon").select("horizon", share(F.col("one")).alias("best_trade_pct"), share(F.col("three")).alias("best_3_pct"), F.when(F.col("total") == 0, "—").otherwise(F.col("top.p").cast("string")).alias("best_asset"), share(F.col("top.s")).alias("best_asset_pct"), "n_trades", "n_assets", F.when(F.col("total") > 0, "OK").otherwise("NOT_APPLICABLE").alias("status"))
+    three = F.aggregate("three", F.lit(0.0), lambda a, v: a + v)
+    return best.select("horizon", share(F.get("three", F.lit(0))).alias("best_trade_pct"), share(three).alias("best_3_pct"), F.when(F.col("total") == 0, "—").otherwise(F.col("top.p").cast("string")).alias("best_asset"), share(F.col("top.s")).alias("best_asset_pct"), "n_trades", "n_assets", F.when(F.col("total") > 0, "OK").otherwise("NOT_APPLICABLE").alias("status"))
 
 
 def crosses_zero(low: Column, high: Column) -> Column:

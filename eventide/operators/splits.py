@@ -37,6 +37,16 @@ def split_label(signal: str = "signal_date", entry: str = "entry_date", exit_: s
     return F.when((a == b) & (b == c), a).otherwise("boundary_crossing")
 
 
+def purged(trades: DataFrame) -> DataFrame:
+    """Trades that lie in one period: what metrics, bootstrap and counts are of."""
+    return trades.where("temporal_split <> 'boundary_crossing'")
+
+
+def by_period(rows: DataFrame, bounds: DataFrame, col: str = "session") -> DataFrame:
+    """Rows with the period of their date; those after the last period go."""
+    return rows.join(F.broadcast(bounds)).withColumn("period", period(F.col(col))).drop(*bounds.columns).where("period is not null")
+
+
 def embargo(trades: DataFrame, positions: DataFrame, bounds: DataFrame, sessions: int) -> DataFrame:
     """Trades whose signal is more than ``sessions`` sessions from both inner boundaries."""
     ends = positions.join(F.broadcast(bounds)).groupBy("ticker").agg(F.max(F.when(F.col("session") <= F.col("discovery_end"), F.col("pos"))).alias("__d"), F.max(F.when(F.col("session") <= F.col("validation_end"), F.col("pos"))).alias("__v"))
@@ -46,7 +56,7 @@ def embargo(trades: DataFrame, positions: DataFrame, bounds: DataFrame, sessions
 
 
 def walk_forward(first: date, last: date, n_dates: int, n: int = 4, years: float = 2.0) -> list[dict]:
-    """Training and test windows; none if there are too few dates."""
+    """Training windows, and test windows from the day after; none if there are too few dates."""
     if n_dates < int(252 * (years + 1)):
         return []
     size = int(years * 365)
@@ -55,10 +65,11 @@ def walk_forward(first: date, last: date, n_dates: int, n: int = 4, years: float
     for i in range(n):
         start = first + timedelta(days=i * step)
         end = start + timedelta(days=size)
-        test_end = end + timedelta(days=size // 2)
+        test_start = end + timedelta(days=1)
+        test_end = test_start + timedelta(days=size // 2)
         if test_end > last:
             break
-        out.append({"name": f"window_{i + 1}", "train_start": start, "train_end": end, "test_start": end, "test_end": test_end})
+        out.append({"name": f"window_{i + 1}", "train_start": start, "train_end": end, "test_start": test_start, "test_end": test_end})
     return out
 
 
@@ -68,7 +79,7 @@ def walk_forward_windows(dates: DataFrame, n: int = 4, years: float = 2.0) -> Da
     b = dates.agg(F.min("session").alias("a"), F.max("session").alias("b"), F.count_distinct("session").alias("n"))
     b = b.where(F.col("n") >= int(252 * (years + 1))).withColumn("step", F.floor((F.datediff("b", "a") - size) / n).cast("int"))
     b = b.select("b", "a", "step", F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i")).withColumn("s", F.date_add("a", F.col("i") * F.col("step")))
-    out = b.select(F.concat(F.lit("window_"), (F.col("i") + 1).cast("string")).alias("name"), F.col("s").alias("train_start"), F.date_add("s", size).alias("train_end"), F.date_add("s", size).alias("test_start"), F.date_add("s", size + size // 2).alias("test_end"), "b")
+    out = b.select(F.concat(F.lit("window_"), (F.col("i") + 1).cast("string")).alias("name"), F.col("s").alias("train_start"), F.date_add("s", size).alias("train_end"), F.date_add("s", size + 1).alias("test_start"), F.date_add("s", size + 1 + size // 2).alias("test_end"), "b")
     return out.where("test_end <= b").drop("b")
 
 

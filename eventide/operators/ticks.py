@@ -12,6 +12,12 @@ def daily_bars(ticks: DataFrame) -> DataFrame:
     return t.groupBy("symbol", F.to_date("ts").alias("day")).agg(F.min_by("last", "__o").alias("open"), F.max("last").alias("high"), F.min("last").alias("low"), F.max_by("last", "__o").alias("close"), F.avg("bid").alias("vwap_bid"), F.avg("ask").alias("vwap_ask"), F.count("*").alias("n_ticks"))
 
 
+def ticks_to_daily(ticks: DataFrame, symbol: str, start: str, end: str) -> DataFrame:
+    """Daily bars of one symbol's ticks of the days from ``start`` to ``end``."""
+    day = F.to_date("ts")
+    return daily_bars(ticks.where((F.col("symbol") == symbol) & day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))))
+
+
 def first_quote(orders: DataFrame, ticks: DataFrame, side: str, at: str, tolerance_s: int, price: str, when: str) -> DataFrame:
     """Adds the first positive quote of ``side`` within the tolerance of ``at``, both ends included.
 
@@ -19,13 +25,14 @@ def first_quote(orders: DataFrame, ticks: DataFrame, side: str, at: str, toleran
     the next bucket of its symbol only, so the join is an equi-join.
     """
     sec = lambda c: F.unix_timestamp(F.col(c).cast("timestamp"))
-    o = orders.withColumn("__id", F.monotonically_increasing_id())
+    # A fill depends on the symbol and the time alone, so these are the key, and equal orders share it.
+    wanted = orders.select("symbol", F.col(at).alias("__at")).distinct()
     quotes = ticks.where(F.col(side) > 0).select("symbol", F.col("ts").alias("__ts"), F.col(side).alias("__q"), "event_id", F.floor(sec("ts") / tolerance_s).alias("__b"))
-    want = o.select("__id", "symbol", F.col(at).alias("__at"), F.explode(F.array(F.floor(sec(at) / tolerance_s), F.floor(sec(at) / tolerance_s) + 1)).alias("__b"))
+    want = wanted.select("symbol", "__at", F.explode(F.array(F.floor(sec("__at") / tolerance_s), F.floor(sec("__at") / tolerance_s) + 1)).alias("__b"))
     end = F.col("__at") + F.make_dt_interval(secs=F.lit(float(tolerance_s)))
     hit = want.join(quotes, ["symbol", "__b"]).where((F.col("__ts") >= F.col("__at")) & (F.col("__ts") <= end))
-    fill = hit.groupBy("__id").agg(F.min(F.struct("__ts", "event_id", "__q")).alias("f")).select("__id", F.col("f.__q").alias(price), F.col("f.__ts").alias(when))
-    return o.join(fill, "__id", "left").drop("__id")
+    fill = hit.groupBy("symbol", "__at").agg(F.min(F.struct("__ts", "event_id", "__q")).alias("f")).select(F.col("symbol").alias("__s"), "__at", F.col("f.__q").alias(price), F.col("f.__ts").alias(when))
+    return orders.join(fill, (F.col("symbol") == F.col("__s")) & (F.col(at) == F.col("__at")), "left").drop("__s", "__at")
 
 
 def long_trades(signals: DataFrame, ticks: DataFrame, horizons: tuple[int, ...], tolerance_s: int = 172_800, cost_pct: float = 0.46, short: bool = False) -> DataFrame:

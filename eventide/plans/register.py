@@ -11,9 +11,10 @@ from eventide.functions import features as ft
 from eventide.operators import baselines, costs, decision, events, fx, ledger, metrics, quality, regimes, robustness, splits, trades
 from eventide.operators import ticks as tk
 from eventide.sources import market as src
+from eventide.sources.tables import materialize
 
 from . import sqltext as s
-from .experiment import prepare
+from .experiment import Experiment, control_rows, prepare, run
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -35,7 +36,7 @@ EXACT = (
     "signal_ts filled want n_open n_closed n_wins "
 ).split()
 #: Queries without a double.
-WITHOUT = "instrument_resolution list_contracts contract_resolution trend_regime vol_regime fx_gap_report rule_and rule_not_equal_null cooldown neighborhood_grid mfe_mae_dates split_time split_events boundary_purge walk_forward embargo regime_histogram quality_issues".split()
+WITHOUT = "instrument_resolution list_instruments period_counts list_contracts contract_resolution trend_regime vol_regime fx_gap_report rule_and rule_not_equal_null cooldown mfe_mae_dates split_time split_events boundary_purge walk_forward embargo regime_histogram quality_issues".split()
 
 
 def rounded(name: str, sql: str, digits: int) -> str:
@@ -77,20 +78,29 @@ def market():
     return F.when(F.col("ticker").startswith("1"), "argentina").otherwise("usa")
 
 
-def canon(spark: SparkSession, d: str) -> DataFrame:
-    t = trades.trades(found(spark, d), ("trend_regime", "vol_regime"))
+def features(spark: SparkSession, d: str) -> DataFrame:
+    """Features with outcomes, written once for queries that read them in several places."""
+    return materialize(trades.with_outcomes(base(spark, d)), "features")
+
+
+def canon(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    e = found(spark, d) if f is None else events.detect(f, RULES, 20)
+    t = trades.trades(e, ("trend_regime", "vol_regime"))
     return trades.canonical(t, splits.boundaries(src.bars(spark, d)), costs.cost_table(spark), market())
 
 
-def near(spark: SparkSession, d: str) -> DataFrame:
-    f = base(spark, d)
-    kept = events.cooldown(f.where(events.event_mask(f, RULES)).select("ticker", "pos"), 20).withColumn("__event", F.lit(True))
-    return baselines.control_returns(baselines.mark_neighbours(f.join(kept, ["ticker", "pos"], "left"), F.col("__event").isNotNull()))
+def valid(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    return splits.purged(canon(spark, d, f))
 
 
-def per_event(spark: SparkSession, d: str) -> DataFrame:
-    f = base(spark, d)
-    return baselines.matched(events.detect(f, RULES, 20), baselines.pools(near(spark, d), 20))
+def near(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    f = features(spark, d) if f is None else f
+    return control_rows(f, events.detect(f, RULES, 20))
+
+
+def per_event(spark: SparkSession, d: str, f: DataFrame | None = None) -> DataFrame:
+    f = features(spark, d) if f is None else f
+    return baselines.matched(events.detect(f, RULES, 20), baselines.pools(near(spark, d, f), 20))
 
 
 PB = f"{s.BARS},\n{s.POS},\n{s.FEATURES}"
@@ -258,10 +268,10 @@ def _(spark, d):
 _GRID = [(f"ret60>{a} ret3<{b}", a, b) for a in (0.0, 0.1, 0.2) for b in (-0.05, -0.03, -0.01)]
 
 
-@query("neighborhood_grid", ",\n".join([s.BASE] + [s.kept(f"return_60d > {a} AND return_3d < {b} AND close_above_sma_200 = 1", 20, f"k{i}") for i, (_, a, b) in enumerate(_GRID)]), " UNION ALL ".join(f"SELECT '{n}' AS cell, (SELECT count(*) FROM sig_k{i})::BIGINT AS n_signals, (SELECT count(*) FROM k{i})::BIGINT AS n_events" for i, (n, _, _) in enumerate(_GRID)))
+@query("neighborhood_grid", ",\n".join([s.BASE] + [s.kept(f"return_60d > {a} AND return_3d < {b} AND close_above_sma_200 = 1", 20, f"k{i}") for i, (_, a, b) in enumerate(_GRID)] + [f"fr AS (SELECT ticker, pos, ({s.lead('close', 5)} / close - 1) * 100 AS ret FROM feat)"]), " UNION ALL ".join(f"SELECT '{n}' AS cell, (SELECT count(*) FROM sig_k{i})::BIGINT AS n_signals, (SELECT count(*) FROM k{i})::BIGINT AS n_events, (SELECT avg(ret) FROM k{i} JOIN fr USING (ticker, pos)) AS metric" for i, (n, _, _) in enumerate(_GRID)))
 def _(spark, d):
     cells = [(n, [events.Rule("return_60d", ">", a), events.Rule("return_3d", "<", b), RULES[0]]) for n, a, b in _GRID]
-    return events.grid(base(spark, d), cells, 20)
+    return events.grid(base(spark, d), cells, 20, "close")
 
 
 # --- trades -------------------------------------------------------------------------
@@ -303,7 +313,8 @@ def _(spark, d):
 @query("canonical_trades", f"{s.CONTROL}", """SELECT canon.ticker, market, signal_date, entry_date, exit_date, canon.horizon, signal_price, entry_price, exit_price, forward_return, transaction_cost_pct, net_return_pct, mfe, mae, canon.trend_regime, canon.vol_regime, temporal_split,
   matched_return AS matched_baseline_return, n_controls AS matched_baseline_n, status AS matched_baseline_status, net_return_pct - matched_return AS incremental_edge_net FROM canon LEFT JOIN matched ON canon.ticker = matched.ticker AND canon.horizon = matched.horizon AND signal_date = event_date""")
 def _(spark, d):
-    return baselines.enrich(canon(spark, d), per_event(spark, d)).drop("mfe_date", "mae_date")
+    f = features(spark, d)
+    return baselines.enrich(canon(spark, d, f), per_event(spark, d, f)).drop("mfe_date", "mae_date")
 
 
 # --- splits ----------------------------------------------------------------------------
@@ -324,7 +335,7 @@ def _(spark, d):
     return canon(spark, d).groupBy("temporal_split", "horizon").agg(F.count("*").alias("n"))
 
 
-@query("walk_forward", f"{s.BARS},\nb AS (SELECT min(session) AS a, max(session) AS b, count(DISTINCT session) AS n FROM bars),\nw AS (SELECT a + (i * floor((b - a - 365) / 3.0::DOUBLE))::INTEGER AS s, b, i FROM b, range(3) t(i) WHERE n >= 504)", "SELECT 'window_' || (i + 1) AS name, s AS train_start, s + 365 AS train_end, s + 365 AS test_start, s + 547 AS test_end FROM w WHERE s + 547 <= b")
+@query("walk_forward", f"{s.BARS},\nb AS (SELECT min(session) AS a, max(session) AS b, count(DISTINCT session) AS n FROM bars),\nw AS (SELECT a + (i * floor((b - a - 365) / 3.0::DOUBLE))::INTEGER AS s, b, i FROM b, range(3) t(i) WHERE n >= 504)", "SELECT 'window_' || (i + 1) AS name, s AS train_start, s + 365 AS train_end, s + 366 AS test_start, s + 548 AS test_end FROM w WHERE s + 548 <= b")
 def _(spark, d):
     return splits.walk_forward_windows(src.bars(spark, d).select("session"), n=3, years=1.0)
 
@@ -338,44 +349,45 @@ def _(spark, d):
 # --- aggregates --------------------------------------------------------------------------
 
 
-@query("horizon_metrics", s.STUDY, f"SELECT {s.metrics('horizon')} FROM canon GROUP BY horizon")
+@query("horizon_metrics", s.STUDY, f"SELECT {s.metrics('horizon')} FROM valid GROUP BY horizon")
 def _(spark, d):
-    return metrics.by(canon(spark, d), "horizon")
+    return metrics.by(valid(spark, d), "horizon")
 
 
-@query("gross_metrics", s.STUDY, f"SELECT {s.metrics('horizon', 'forward_return')} FROM canon GROUP BY horizon")
+@query("gross_metrics", s.STUDY, f"SELECT {s.metrics('horizon', 'forward_return')} FROM valid GROUP BY horizon")
 def _(spark, d):
-    return metrics.by(canon(spark, d), "horizon", col="forward_return")
+    return metrics.by(valid(spark, d), "horizon", col="forward_return")
 
 
-@query("split_metrics_grouping_sets", s.STUDY, "SELECT CASE WHEN grouping(temporal_split) = 1 THEN 'all' ELSE temporal_split END AS temporal_split, horizon, count(*)::BIGINT AS n_events, avg(net_return_pct) AS mean, median(net_return_pct) AS median, avg((net_return_pct > 0)::INT::DOUBLE) AS win_rate FROM canon GROUP BY GROUPING SETS ((temporal_split, horizon), (horizon))")
+@query("split_metrics_grouping_sets", s.STUDY, "SELECT CASE WHEN grouping(temporal_split) = 1 THEN 'all' ELSE temporal_split END AS temporal_split, horizon, count(*)::BIGINT AS n_events, avg(net_return_pct) AS mean, median(net_return_pct) AS median, avg((net_return_pct > 0)::INT::DOUBLE) AS win_rate FROM valid GROUP BY GROUPING SETS ((temporal_split, horizon), (horizon))")
 def _(spark, d):
-    return metrics.split_metrics(canon(spark, d))
+    return metrics.split_metrics(valid(spark, d))
 
 
-@query("by_asset_metrics", s.STUDY, f"SELECT {s.metrics('horizon, ticker')} FROM canon GROUP BY ALL")
+@query("by_asset_metrics", s.STUDY, f"SELECT {s.metrics('horizon, ticker')} FROM valid GROUP BY ALL")
 def _(spark, d):
-    return metrics.by(canon(spark, d), "horizon", "ticker")
+    return metrics.by(valid(spark, d), "horizon", "ticker")
 
 
-@query("by_regime_metrics", s.STUDY, f"SELECT {s.metrics('horizon, trend_regime, vol_regime')} FROM canon GROUP BY ALL")
+@query("by_regime_metrics", s.STUDY, f"SELECT {s.metrics('horizon, trend_regime, vol_regime')} FROM valid GROUP BY ALL")
 def _(spark, d):
-    return metrics.by(canon(spark, d), "horizon", "trend_regime", "vol_regime")
+    return metrics.by(valid(spark, d), "horizon", "trend_regime", "vol_regime")
 
 
-@query("by_year_metrics", s.STUDY, f"SELECT {s.metrics('horizon, year(signal_date)::INTEGER AS year')} FROM canon GROUP BY ALL")
+@query("by_year_metrics", s.STUDY, f"SELECT {s.metrics('horizon, year(signal_date)::INTEGER AS year')} FROM valid GROUP BY ALL")
 def _(spark, d):
-    return metrics.by(canon(spark, d).withColumn("year", F.year("signal_date")), "horizon", "year")
+    return metrics.by(valid(spark, d).withColumn("year", F.year("signal_date")), "horizon", "year")
 
 
-@query("positive_assets", s.STUDY, "SELECT horizon, count(*)::BIGINT AS n_parts, 100 * avg((m > 0)::INT::DOUBLE) AS positive_pct FROM (SELECT horizon, ticker, avg(net_return_pct) AS m FROM canon GROUP BY ALL) GROUP BY horizon")
+@query("positive_assets", s.STUDY, "SELECT horizon, count(*)::BIGINT AS n_parts, 100 * avg((m > 0)::INT::DOUBLE) AS positive_pct FROM (SELECT horizon, ticker, avg(net_return_pct) AS m FROM valid GROUP BY ALL) GROUP BY horizon")
 def _(spark, d):
-    return metrics.positive_share(canon(spark, d), "ticker")
+    return metrics.positive_share(valid(spark, d), "ticker")
 
 
-@query("edge_weighting", s.CONTROL, "SELECT horizon, sum(s) / sum(n) AS event_weighted, avg(m) AS asset_weighted FROM (SELECT canon.horizon, canon.ticker, avg(net_return_pct - matched_return) AS m, sum(net_return_pct - matched_return) AS s, count(*) AS n FROM canon JOIN matched ON canon.ticker = matched.ticker AND canon.horizon = matched.horizon AND signal_date = event_date GROUP BY ALL) GROUP BY horizon")
+@query("edge_weighting", s.CONTROL, "SELECT horizon, sum(s) / sum(n) AS event_weighted, avg(m) AS asset_weighted FROM (SELECT canon.horizon, canon.ticker, avg(net_return_pct - matched_return) AS m, sum(net_return_pct - matched_return) AS s, count(*) AS n FROM valid AS canon JOIN matched ON canon.ticker = matched.ticker AND canon.horizon = matched.horizon AND signal_date = event_date GROUP BY ALL) GROUP BY horizon")
 def _(spark, d):
-    return metrics.edge_weights(baselines.enrich(canon(spark, d), per_event(spark, d)))
+    f = features(spark, d)
+    return metrics.edge_weights(baselines.enrich(valid(spark, d, f), per_event(spark, d, f)))
 
 
 @query("unconditional", f"{s.BARS},\n{s.POS},\nu AS ({' UNION ALL '.join(f'SELECT ticker, {h} AS horizon, ({s.lead('close', h)} / close - 1) * 100 AS ret FROM pb' for h in s.HORIZONS)})", "SELECT ticker, horizon, coalesce(avg(ret), 0.0::DOUBLE) AS unconditional FROM u GROUP BY ALL")
@@ -430,48 +442,173 @@ def _(spark, d):
     return quality.quality_issues(b.unionByName(b.where(F.dayofmonth("session") == 11)), "2000-01-01", "2019-10-25")
 
 
-@query("loo_asset", s.STUDY, "SELECT x.ticker AS excluded, canon.horizon, count(*) FILTER (canon.ticker <> x.ticker)::BIGINT AS n_events, coalesce(avg(forward_return) FILTER (canon.ticker <> x.ticker), 0.0::DOUBLE) AS mean_return FROM canon, (SELECT DISTINCT ticker FROM canon) x GROUP BY ALL")
+@query("loo_asset", s.STUDY, f"SELECT x.ticker AS excluded, h.horizon, count(canon.ticker) FILTER (canon.ticker <> x.ticker)::BIGINT AS n_events, coalesce(avg(forward_return) FILTER (canon.ticker <> x.ticker), 0.0::DOUBLE) AS mean_return FROM (SELECT DISTINCT ticker FROM bars) x CROSS JOIN (SELECT unnest({list(s.HORIZONS)}) AS horizon) h LEFT JOIN canon ON canon.horizon = h.horizon GROUP BY ALL")
 def _(spark, d):
-    return robustness.leave_one_out(canon(spark, d), "ticker")
+    return robustness.leave_one_out(canon(spark, d), "ticker", parts=src.bars(spark, d), horizons=trades.HORIZONS)
 
 
-@query("loo_year", s.STUDY, "SELECT x.y AS excluded, canon.horizon, count(*) FILTER (year(signal_date) <> x.y)::BIGINT AS n_events, coalesce(avg(forward_return) FILTER (year(signal_date) <> x.y), 0.0::DOUBLE) AS mean_return FROM canon, (SELECT DISTINCT year(signal_date)::INTEGER AS y FROM canon) x GROUP BY ALL")
+@query("loo_year", s.STUDY, f"SELECT x.y AS excluded, h.horizon, count(canon.ticker) FILTER (year(signal_date) <> x.y)::BIGINT AS n_events, coalesce(avg(forward_return) FILTER (year(signal_date) <> x.y), 0.0::DOUBLE) AS mean_return FROM (SELECT DISTINCT year(session)::INTEGER AS y FROM bars) x CROSS JOIN (SELECT unnest({list(s.HORIZONS)}) AS horizon) h LEFT JOIN canon ON canon.horizon = h.horizon GROUP BY ALL")
 def _(spark, d):
-    return robustness.leave_one_out(canon(spark, d).withColumn("year", F.year("signal_date")), "year")
+    return robustness.leave_one_out(canon(spark, d).withColumn("year", F.year("signal_date")), "year", parts=src.bars(spark, d).select(F.year("session").alias("year")), horizons=trades.HORIZONS)
 
 
-@query("profit_concentration", f"{s.STUDY},\np AS (SELECT horizon, ticker, sum(net_return_pct) AS s FROM canon GROUP BY ALL),\nb AS (SELECT horizon, sum(s) AS total, count(*)::BIGINT AS n_assets, max({{'s': s, 'p': ticker}}) AS top FROM p GROUP BY horizon),\nr AS (SELECT horizon, net_return_pct AS x, row_number() OVER (PARTITION BY horizon ORDER BY net_return_pct DESC, ticker, signal_date) AS r FROM canon)", "SELECT b.horizon, one / total * 100 AS best_trade_pct, three / total * 100 AS best_3_pct, top.p AS best_asset, top.s / total * 100 AS best_asset_pct, n_trades, n_assets, CASE WHEN total > 0 THEN 'OK' ELSE 'NOT_APPLICABLE' END AS status FROM b JOIN (SELECT horizon, max(x) AS one, sum(x) AS three FROM r WHERE r <= 3 GROUP BY horizon) USING (horizon) JOIN (SELECT horizon, count(*)::BIGINT AS n_trades FROM canon GROUP BY horizon) USING (horizon)")
+@query("profit_concentration", f"{s.STUDY},\np AS (SELECT horizon, ticker, sum(forward_return) AS s FROM canon GROUP BY ALL),\nb AS (SELECT horizon, sum(s) AS total, count(*)::BIGINT AS n_assets, max({{'s': s, 'p': ticker}}) AS top FROM p GROUP BY horizon),\nr AS (SELECT horizon, forward_return AS x, row_number() OVER (PARTITION BY horizon ORDER BY forward_return DESC, ticker, signal_date) AS r FROM canon)", "SELECT b.horizon, one / total * 100 AS best_trade_pct, three / total * 100 AS best_3_pct, top.p AS best_asset, top.s / total * 100 AS best_asset_pct, n_trades, n_assets, CASE WHEN total > 0 THEN 'OK' ELSE 'NOT_APPLICABLE' END AS status FROM b JOIN (SELECT horizon, max(x) AS one, sum(x) AS three FROM r WHERE r <= 3 GROUP BY horizon) USING (horizon) JOIN (SELECT horizon, count(*)::BIGINT AS n_trades FROM canon GROUP BY horizon) USING (horizon)")
 def _(spark, d):
     return robustness.concentration(canon(spark, d))
 
 
-@query("bootstrap_hash", f"{s.STUDY},\nx AS (SELECT horizon, net_return_pct AS x, row_number() OVER (PARTITION BY horizon ORDER BY ticker, signal_date) - 1 AS i, count(*) OVER (PARTITION BY horizon) AS m FROM canon),\ndr AS (SELECT x.horizon, k, ((k * 7919 + i * 104729 + k * i * 31 + i * i * 17) % 1000003) % m AS j FROM x, range(1, 201) t(k)),\nmeans AS (SELECT dr.horizon, k, avg(x.x) AS mean FROM dr JOIN x ON x.horizon = dr.horizon AND x.i = j GROUP BY ALL)", "SELECT horizon, quantile_cont(mean, 0.025::DOUBLE) AS ci_lower, quantile_cont(mean, 0.975::DOUBLE) AS ci_upper, stddev_samp(mean) AS std_error FROM means GROUP BY horizon")
+@query("bootstrap_hash", f"{s.STUDY},\nx AS (SELECT horizon, net_return_pct AS x, ('0x' || substr(md5(ticker || '|' || signal_date::VARCHAR), 1, 7))::BIGINT + 1 AS r FROM valid),\ndr AS (SELECT horizon, k, x, r * ((k * 48271 + 11) % {robustness.PRIME}) % {robustness.PRIME} / {robustness.PRIME}.0::DOUBLE AS u FROM x, range(1, 10001) t(k)),\nmeans AS (SELECT horizon, k, sum(w * x) / sum(w) AS mean FROM (SELECT horizon, k, x, {' + '.join(f'(u > {p!r}::DOUBLE)::INT' for p in robustness.POISSON)} AS w FROM dr) GROUP BY ALL HAVING sum(w) > 0)", "SELECT horizon, quantile_cont(mean, 0.025::DOUBLE) AS ci_lower, quantile_cont(mean, 0.975::DOUBLE) AS ci_upper, stddev_samp(mean) AS std_error FROM means GROUP BY horizon")
 def _(spark, d):
-    return robustness.bootstrap_hashed(canon(spark, d))
+    return robustness.bootstrap_hashed(valid(spark, d))
 
 
 @query("bootstrap_numpy")
 def _(spark, d):
-    return robustness.bootstrap(canon(spark, d), ["horizon"])
+    return robustness.bootstrap(valid(spark, d), ["horizon"])
 
 
-_EVIDENCE = "ev AS (SELECT horizon, count(*)::BIGINT AS n_total, avg(net_return_pct) AS mean, median(net_return_pct) AS median, median(net_return_pct) FILTER (temporal_split = 'validation') AS validation_median, count(*) FILTER (temporal_split = 'validation')::BIGINT AS validation_n, median(net_return_pct) FILTER (temporal_split = 'holdout') AS holdout_median, count(*) FILTER (temporal_split = 'holdout')::BIGINT AS holdout_n, 100 * max(net_return_pct) / nullif(sum(net_return_pct), 0) AS best_trade_pct, avg(transaction_cost_pct) AS cost_pct FROM canon GROUP BY horizon)"
+_EVIDENCE = "gross AS (SELECT horizon, 100 * max(forward_return) / nullif(sum(forward_return), 0) AS best_trade_pct FROM canon GROUP BY horizon),\nev AS (SELECT horizon, count(*)::BIGINT AS n_total, avg(net_return_pct) AS mean, median(net_return_pct) AS median, median(net_return_pct) FILTER (temporal_split = 'validation') AS validation_median, count(*) FILTER (temporal_split = 'validation')::BIGINT AS validation_n, median(net_return_pct) FILTER (temporal_split = 'holdout') AS holdout_median, count(*) FILTER (temporal_split = 'holdout')::BIGINT AS holdout_n, any_value(gross.best_trade_pct) AS best_trade_pct, avg(transaction_cost_pct) AS cost_pct FROM valid JOIN gross USING (horizon) GROUP BY horizon)"
 
 
 @query("decision_table", f"{s.STUDY},\n{_EVIDENCE}", "SELECT horizon, n_total, mean, median, CASE WHEN n_total < 40 OR mean <= 0 OR coalesce(validation_median <= 0, false) OR coalesce(validation_n < 10, false) OR coalesce(holdout_median <= 0, false) OR coalesce(holdout_n < 10, false) THEN 'REJECTED' WHEN n_total >= 60 AND median > 0 AND best_trade_pct <= 20 AND mean >= 1.5 * cost_pct THEN 'CANDIDATE' ELSE 'RESEARCH' END AS verdict FROM ev")
 def _(spark, d):
-    return decision.decide_all(evidence(canon(spark, d), per_event(spark, d))).select("horizon", "n_total", "mean", "median", "verdict")
+    f = features(spark, d)
+    return decision.decide_all(evidence(materialize(canon(spark, d, f), "trades"), per_event(spark, d, f))).select("horizon", "n_total", "mean", "median", "verdict")
 
 
 def evidence(t: DataFrame, controls: DataFrame) -> DataFrame:
     """What the gates ask for, per horizon: metrics of trades, the share of events with controls, the bootstrap interval."""
     x, part = F.col("net_return_pct"), F.col("temporal_split")
-    aggs = [F.count("*").alias("n_total"), F.avg(x).alias("mean"), F.median(x).alias("median"), (100 * F.max(x) / F.nullif(F.sum(x), F.lit(0.0))).alias("best_trade_pct"), F.avg("transaction_cost_pct").alias("cost_pct")]
+    own = splits.purged(t)
+    aggs = [F.count("*").alias("n_total"), F.avg(x).alias("mean"), F.median(x).alias("median"), F.avg("transaction_cost_pct").alias("cost_pct")]
     for p in ("validation", "holdout"):
         aggs += [F.median(F.when(part == p, x)).alias(f"{p}_median"), F.count_if(part == p).alias(f"{p}_n")]
+    best = robustness.concentration(t).select("horizon", "best_trade_pct")
     cover = controls.groupBy("horizon").agg((100 * F.avg((F.col("status") != "INSUFFICIENT").cast("double"))).alias("coverage_pct"))
-    boot = robustness.bootstrap(t, ["horizon"]).select("horizon", "ci_lower", "ci_upper")
-    return t.groupBy("horizon").agg(*aggs).join(cover, "horizon", "left").join(boot, "horizon", "left")
+    boot = robustness.bootstrap(own, ["horizon"]).select("horizon", "ci_lower", "ci_upper")
+    return own.groupBy("horizon").agg(*aggs).join(best, "horizon", "left").join(cover, "horizon", "left").join(boot, "horizon", "left")
+
+
+# --- whole studies -----------------------------------------------------------------------------
+
+
+@query("all_baselines", f"{s.CONTROL},\n{s.ALL_BASELINES}", "SELECT ticker, horizon, unconditional, exact_matched_mean, trend_only_mean, benchmark, n_events, n_valid FROM every")
+def _(spark, d):
+    f = features(spark, d)
+    e = events.detect(f, RULES, 20)
+    out = baselines.all_baselines(e, control_rows(f, e), 20, src.benchmark(spark, d))
+    return out.select("ticker", "horizon", "unconditional", "exact_matched_mean", "trend_only_mean", "benchmark", "n_events", "n_valid")
+
+
+_WEIGHTED = ", ".join(f"sum({c} * n_events) / sum(n_events) AS {c}" for c in ("unconditional", "exact_matched_mean", "trend_only_mean", "benchmark"))
+
+
+@query("weighted_baselines", f"{s.CONTROL},\n{s.ALL_BASELINES}", f"SELECT horizon, {_WEIGHTED}, sum(n_events)::BIGINT AS n_events, sum(n_valid)::BIGINT AS n_valid, round(100.0::DOUBLE * sum(n_valid) / sum(n_events), 1) AS valid_pct FROM every GROUP BY horizon")
+def _(spark, d):
+    f = features(spark, d)
+    e = events.detect(f, RULES, 20)
+    return baselines.weighted_all(baselines.all_baselines(e, control_rows(f, e), 20, src.benchmark(spark, d))).select("horizon", "unconditional", "exact_matched_mean", "trend_only_mean", "benchmark", "n_events", "n_valid", "valid_pct")
+
+
+#: Local tickers are those of the first priority, and the last one is a reference that no events are searched in.
+_LOCAL = """raw AS (SELECT * FROM bars0 LEFT JOIN fx USING (session)),
+rated AS (SELECT *, CASE WHEN starts_with(ticker, '1') THEN last_value(ccl IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) ELSE 1.0::DOUBLE END AS rate FROM raw),
+bars AS (SELECT ticker, session, open / rate AS open, high / rate AS high, low / rate AS low, close / rate AS close, volume FROM rated WHERE rate IS NOT NULL)"""
+_EQUITY = ",\n".join([s.BARS.replace("bars AS", "bars0 AS", 1), s.FX, _LOCAL, s.BENCH, s.POS, s.FEATURES, s.REGIMES, s.kept(f"{s.RULE} AND NOT starts_with(ticker, '5')", 20), s.trades(), s.BOUNDS.replace("FROM bars)", "FROM (SELECT session FROM bars UNION SELECT session FROM bench))"), s.CANON])
+EQUITY = {
+    "experiment": {"id": "equity", "family": "pullback"}, "event": {"conditions": [{"feature": r.feature, "operator": r.op, "value": r.value} for r in RULES], "cooldown_sessions": 20, "forward_horizons": list(s.HORIZONS)},
+    "validation": {"discovery_pct": 60, "validation_pct": 20, "holdout_pct": 20}, "research": {"primary_horizon": 10},
+}
+
+
+def equity(spark: SparkSession, d: str):
+    """The whole study: quality gate, base currency, features, events of targets, trades, controls, splits."""
+    bars = src.bars(spark, d)
+    universe = bars.select("ticker", F.when(F.col("ticker").startswith("5"), "reference").otherwise("target").alias("role")).distinct()
+    first = F.col("ticker").startswith("1")
+    return run(spark, Experiment.from_config(EQUITY), bars, src.benchmark(spark, d), market(), fx=src.fx_rates(spark, d), local=first, targets=universe)
+
+
+@query("experiment_equity", _EQUITY, "SELECT horizon, CASE WHEN grouping(temporal_split) = 1 THEN 'all' ELSE temporal_split END AS temporal_split, count(*)::BIGINT AS n_events, avg(net_return_pct) AS mean, median(net_return_pct) AS median, avg((net_return_pct > 0)::INT::DOUBLE) AS win_rate FROM valid GROUP BY GROUPING SETS ((temporal_split, horizon), (horizon))", 5)
+def _(spark, d):
+    return metrics.split_metrics(equity(spark, d).formal)
+
+
+# --- more sources ------------------------------------------------------------------------------
+
+_VENDOR = ", ".join(f'{c}::VARCHAR AS "{c.title()}"' for c in ("open", "high", "low", "close", "volume"))
+
+
+def _stock_prices(spark, d):
+    """Bars as a daily database holds them: its own names, and numbers as text."""
+    b = src.bars(spark, d)
+    return b.select(F.col("ticker").alias("Ticker"), F.col("session").alias("Date"), *[F.col(c).cast("string").alias(c.title()) for c in ("open", "high", "low", "close", "volume")])
+
+
+@query("database_bars", s.BARS, "SELECT ticker, session, open, high, low, close, volume, close AS adj_close FROM bars WHERE ticker IN ('1-URGENT', '3-MEDIUM') AND session BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'", 4)
+def _(spark, d):
+    return src.daily_bars(_stock_prices(spark, d), ["1-URGENT", "3-MEDIUM"], "1995-01-01", "1996-12-31")
+
+
+@query("database_benchmark", s.BARS, "SELECT ticker, session, open, high, low, close, volume, close AS adj_close, open AS open_usd, high AS high_usd, low AS low_usd, close AS close_usd FROM (SELECT * FROM bars WHERE ticker = '2-HIGH' ORDER BY session DESC LIMIT 300)", 4)
+def _(spark, d):
+    return src.recent_benchmark(_stock_prices(spark, d), "2-HIGH", 300)
+
+
+@query("database_rates", s.FX, "SELECT session, ccl FROM fx WHERE ccl > 0 AND session BETWEEN DATE '1995-01-01' AND DATE '1996-12-31'")
+def _(spark, d):
+    table = src.fx_rates(spark, d).select(F.col("session").cast("string").alias("date"), F.col("ccl").cast("string").alias("ccl"))
+    return src.daily_rates(table, "1995-01-01", "1996-12-31")
+
+
+def _two_listings(spark, d):
+    b = src.bars(spark, d)
+    return b.where("ticker = '1-URGENT'"), b.where("ticker = '2-HIGH'")
+
+
+_IMPLIED = """x AS (SELECT a.session, CASE WHEN a.close * 100 / b.close > 10 AND a.close * 100 / b.close < 5000 THEN a.close * 100 / b.close END AS r FROM bars a JOIN bars b USING (session) WHERE a.ticker = '1-URGENT' AND b.ticker = '2-HIGH'),
+implied AS (SELECT session, last_value(r IGNORE NULLS) OVER (ORDER BY session ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS ccl FROM x)"""
+
+
+@query("rates_with_fallback", f"{s.BARS},\n{s.FX},\n{_IMPLIED}", "SELECT 'stored' AS name, session, ccl FROM fx WHERE ccl > 0 AND session BETWEEN DATE '1995-01-01' AND DATE '1995-12-31' UNION ALL SELECT 'implied', session, ccl FROM implied WHERE ccl IS NOT NULL AND session BETWEEN DATE '1995-01-01' AND DATE '1995-12-31'")
+def _(spark, d):
+    local, foreign = _two_listings(spark, d)
+    table = src.fx_rates(spark, d).withColumnRenamed("session", "date")
+    out = [src.load_rates(t, local, foreign, "1995-01-01", "1995-12-31", 100.0).select(F.lit(n).alias("name"), "session", "ccl") for n, t in (("stored", table), ("implied", table.where("ccl < 0")))]
+    return out[0].unionByName(out[1])
+
+
+@query("list_instruments", "n AS (SELECT DISTINCT p_name, p_brand FROM part)", "SELECT p_name AS name, p_brand AS symbol FROM n")
+def _(spark, d):
+    return src.list_instruments(spark.read.parquet(f"{d}/part.parquet").select(F.col("p_name").alias("name"), F.col("p_brand").alias("symbol")))
+
+
+@query("tick_coercion", s.TICKS, "SELECT symbol, ts, bid, ask, last, event_id FROM (SELECT symbol, ts, CASE WHEN event_id % 11 <> 0 THEN bid END AS bid, ask, CASE WHEN event_id % 13 <> 0 THEN last END AS last, event_id FROM ticks) WHERE ts IS NOT NULL AND event_id % 17 <> 0 AND coalesce(bid, ask, last) IS NOT NULL")
+def _(spark, d):
+    """Ticks that arrive as text, with words in place of some numbers and times."""
+    t, k = src.ticks(spark, d), F.col("event_id")
+    text = t.select("symbol", F.when(k % 17 == 0, "soon").otherwise(F.col("ts").cast("string")).alias("ts"), F.when(k % 11 == 0, "n/a").otherwise(F.col("bid").cast("string")).alias("bid"), F.col("ask").cast("string").alias("ask"), F.when(k % 13 == 0, "nan").otherwise(F.col("last").cast("string")).alias("last"), "event_id")
+    return src.coerced_ticks(text)
+
+
+@query("latest_trades", s.TICKS, "SELECT symbol, ts, last AS price, event_id FROM ticks WHERE symbol = 'click' ORDER BY ts DESC, event_id DESC LIMIT 50")
+def _(spark, d):
+    t = src.ticks(spark, d).select("symbol", F.col("ts").alias("trade_date"), F.col("last").alias("price"), "event_id")
+    return src.latest_trades(t, "click", 50).withColumnRenamed("trade_date", "ts")
+
+
+_SPAN = "DATE '2024-01-05' AND DATE '2024-01-20'"
+
+
+@query("symbol_ticks_to_daily", s.TICKS, f"SELECT symbol, ts::DATE AS day, arg_min(last, {{'t': ts, 'e': event_id}}) AS open, max(last) AS high, min(last) AS low, arg_max(last, {{'t': ts, 'e': event_id}}) AS close, avg(bid) AS vwap_bid, avg(ask) AS vwap_ask, count(*)::BIGINT AS n_ticks FROM ticks WHERE last IS NOT NULL AND symbol = 'click' AND ts::DATE BETWEEN {_SPAN} GROUP BY 1, 2")
+def _(spark, d):
+    return tk.ticks_to_daily(src.ticks(spark, d), "click", "2024-01-05", "2024-01-20")
+
+
+@query("period_counts", f"{s.BARS},\n{s.BOUNDS}", f"SELECT ticker, {s.period('session')} AS name, count(*)::BIGINT AS n FROM bars, bounds WHERE session <= holdout_end GROUP BY ALL")
+def _(spark, d):
+    b = src.bars(spark, d)
+    return splits.by_period(b, splits.boundaries(b)).groupBy("ticker", F.col("period").alias("name")).agg(F.count("*").alias("n"))
 
 
 # --- ticks and ledger ------------------------------------------------------------------------
@@ -547,8 +684,9 @@ def _(spark, d):
 
 def _closed(spark, d):
     f, open_, _ = _paper(spark, d)
-    as_of = F.lit(f.agg(F.max("session")).first()[0])
-    return open_, ledger.exits(open_, f, as_of, 10, 0.00847)
+    # The last day travels with the positions as a column.
+    open_ = open_.join(F.broadcast(f.agg(F.max("session").alias("__as_of"))))
+    return open_, ledger.exits(open_, f, F.col("__as_of"), 10, 0.00847)
 
 
 @query("paper_exits", _PAPER, _OLD)
@@ -561,6 +699,11 @@ def _(spark, d):
     return ledger.status(*_closed(spark, d))
 
 
+@query("paper_last_closed", f"{_PAPER},\nold AS ({_OLD})", "SELECT ticker, entry_date, exit_date, pnl_pct, pnl_usd FROM old ORDER BY exit_date DESC, ticker, entry_date LIMIT 5")
+def _(spark, d):
+    return ledger.last_closed(_closed(spark, d)[1]).select("ticker", "entry_date", "exit_date", "pnl_pct", "pnl_usd")
+
+
 # --- streaming --------------------------------------------------------------------------------
 
 

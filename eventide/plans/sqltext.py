@@ -90,7 +90,8 @@ def period(x: str) -> str:
 
 COST = "CASE WHEN starts_with(ticker, '1') THEN 2 * (0.0070::DOUBLE + 0.0008::DOUBLE + 0.0020::DOUBLE) ELSE 2 * (0.0010::DOUBLE + 0.0001::DOUBLE + 0.0010::DOUBLE) END"
 CANON = f"""canon AS (SELECT trades.*, CASE WHEN starts_with(ticker, '1') THEN 'argentina' ELSE 'usa' END AS market, {COST} * 100 AS transaction_cost_pct, forward_return - {COST} * 100 AS net_return_pct,
-  CASE WHEN {period('signal_date')} = {period('entry_date')} AND {period('entry_date')} = {period('exit_date')} THEN {period('signal_date')} ELSE 'boundary_crossing' END AS temporal_split FROM trades, bounds)"""
+  CASE WHEN {period('signal_date')} = {period('entry_date')} AND {period('entry_date')} = {period('exit_date')} THEN {period('signal_date')} ELSE 'boundary_crossing' END AS temporal_split FROM trades, bounds),
+valid AS (SELECT * FROM canon WHERE temporal_split <> 'boundary_crossing')"""
 _NEAR = f"near AS (SELECT feat.*, last_value(CASE WHEN k.pos IS NOT NULL THEN feat.pos END IGNORE NULLS) OVER (PARTITION BY feat.ticker ORDER BY feat.pos ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS prev_, first_value(CASE WHEN k.pos IS NOT NULL THEN feat.pos END IGNORE NULLS) OVER (PARTITION BY feat.ticker ORDER BY feat.pos ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS next_ FROM feat LEFT JOIN kept k USING (ticker, pos))"
 RETURNS = _NEAR + ",\nret AS (" + " UNION ALL ".join(f"SELECT ticker, session, pos, trend_regime, vol_regime, prev_, next_, {h} AS horizon, ({lead('close', h)} / close - 1) * 100 AS ret FROM near" for h in HORIZONS) + "),\nfree AS (SELECT * FROM ret WHERE ret IS NOT NULL AND NOT (coalesce(pos - prev_ < 20 + horizon, false) OR coalesce(next_ - pos <= 20, false)))"
 MATCHED = f"""pool AS (SELECT ticker, horizon, trend_regime, vol_regime, avg(ret) AS m, count(*) AS n FROM free GROUP BY ALL),
@@ -98,6 +99,12 @@ hz AS (SELECT unnest([{', '.join(map(str, HORIZONS))}]) AS horizon),
 matched AS (SELECT e.ticker, hz.horizon, e.session AS event_date, e.trend_regime, e.vol_regime, coalesce(m, 0.0::DOUBLE) AS matched_return, coalesce(n, 0)::BIGINT AS n_controls,
   CASE WHEN coalesce(n, 0) >= 20 THEN 'VALID' WHEN coalesce(n, 0) >= 5 THEN 'LOW_CONFIDENCE' ELSE 'INSUFFICIENT' END AS status
   FROM feat e JOIN kept USING (ticker, pos) CROSS JOIN hz LEFT JOIN pool p ON p.ticker = e.ticker AND p.horizon = hz.horizon AND p.trend_regime = e.trend_regime AND p.vol_regime = e.vol_regime)"""
+ALL_BASELINES = """un AS (SELECT ticker, horizon, coalesce(avg(ret), 0.0::DOUBLE) AS unconditional FROM ret GROUP BY ALL),
+tpool AS (SELECT ticker, horizon, trend_regime, avg(ret) AS m, count(*) AS n FROM free GROUP BY ALL),
+tr AS (SELECT e.ticker, e.horizon, coalesce(avg(m) FILTER (n >= 5), 0.0::DOUBLE) AS trend_only_mean FROM matched e LEFT JOIN tpool p USING (ticker, horizon, trend_regime) GROUP BY ALL),
+bret AS (BENCH_RETURNS),
+be AS (SELECT e.ticker, e.horizon, avg(b.ret) AS benchmark FROM matched e JOIN bret b ON b.session = e.event_date AND b.horizon = e.horizon GROUP BY ALL),
+every AS (SELECT cover.*, coalesce(unconditional, 0.0::DOUBLE) AS unconditional, trend_only_mean, coalesce(benchmark, 0.0::DOUBLE) AS benchmark FROM cover LEFT JOIN un USING (ticker, horizon) JOIN tr USING (ticker, horizon) LEFT JOIN be USING (ticker, horizon))""".replace("BENCH_RETURNS", " UNION ALL ".join(f"SELECT session, {h} AS horizon, (lead(close, {h}) OVER (ORDER BY session) / close - 1) * 100 AS ret FROM bench" for h in HORIZONS))
 COVER = """cover AS (SELECT ticker, horizon, count(*)::BIGINT AS n_events, count(*) FILTER (status = 'VALID')::BIGINT AS n_valid, count(*) FILTER (status = 'LOW_CONFIDENCE')::BIGINT AS n_low_confidence, count(*) FILTER (status = 'INSUFFICIENT')::BIGINT AS n_insufficient,
   coalesce(avg(matched_return) FILTER (status <> 'INSUFFICIENT'), 0.0::DOUBLE) AS exact_matched_mean, coalesce(median(matched_return) FILTER (status <> 'INSUFFICIENT'), 0.0::DOUBLE) AS exact_matched_median,
   round(100.0::DOUBLE * count(*) FILTER (status = 'VALID') / count(*), 1) AS valid_pct, round(100.0::DOUBLE * count(*) FILTER (status <> 'INSUFFICIENT') / count(*), 1) AS valid_or_low_pct FROM matched GROUP BY ALL)"""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Callable
 from datetime import date, datetime, timezone
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -141,6 +142,73 @@ def landed_trades(lines: DataFrame, col: str = "value") -> DataFrame:
     return rows.select("symbol", F.try_to_timestamp(F.col("t.datetime")).alias("trade_date"), F.col("t.price").alias("price"), F.col("t.size").alias("volume"), F.col("t.side").alias("buy_or_sell"))
 
 
+def between(df: DataFrame, start: str, end: str, col: str = "session") -> DataFrame:
+    """Rows of the days from ``start`` to ``end``; the bounds reach the scan."""
+    return df.where(F.col(col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
+
+
+def read_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
+    """A database table by JDBC; filters and columns of what follows are pushed down to it."""
+    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+def daily_bars(table: DataFrame, tickers: list[str], start: str, end: str, layout: str = "stock_prices") -> DataFrame:
+    """Bars of some tickers and days of a daily database's table."""
+    bars_ = normalise_daily(table, layout)
+    return between(bars_.where(F.col("ticker").isin(tickers)), start, end)
+
+
+def daily_rates(table: DataFrame, start: str, end: str) -> DataFrame:
+    """Rates (session, ccl) of a table (date, ccl): numbers above zero."""
+    return between(table.select(F.to_date("date").alias("session"), number("ccl").alias("ccl")), start, end).where("ccl > 0")
+
+
+def load_rates(stored: DataFrame | None, local: DataFrame, foreign: DataFrame, start: str, end: str, ratio: float = 10.0) -> DataFrame:
+    """Stored rates of the days, or where there are none the rates that two listings imply.
+
+    Both are one plan: implied rates count only if no stored day is in range.
+    """
+    implied = between(synthetic_rate(local, foreign, ratio), start, end)
+    if stored is None:
+        return implied
+    own = daily_rates(stored, start, end)
+    none = own.agg(F.count("*").alias("__n")).where("__n = 0")
+    return own.unionByName(implied.join(F.broadcast(none)).drop("__n"))
+
+
+def list_instruments(table: DataFrame) -> DataFrame:
+    """Every instrument of a futures database once."""
+    return table.distinct()
+
+
+def coerced_ticks(raw: DataFrame) -> DataFrame:
+    """Ticks whose columns may be text: what is no number or no time is NULL; rows without time or quote go."""
+    typed = raw.select("symbol", F.try_to_timestamp(F.col("ts").cast("string")).cast("timestamp_ntz").alias("ts"), *[number(c).alias(c) for c in ("bid", "ask", "last")], "event_id")
+    return quoted(typed)
+
+
+def latest_trades(trades: DataFrame, symbol: str, n: int = 100) -> DataFrame:
+    """The last ``n`` trades of a symbol, newest first: a top-k."""
+    return trades.where(F.col("symbol") == symbol).orderBy(F.desc("trade_date"), F.desc("event_id")).limit(n)
+
+
+def recent_benchmark(table: DataFrame, ticker: str = "SPY", days: int = 300, layout: str = "stock_prices") -> DataFrame:
+    """The last ``days`` sessions of the benchmark; its close is its adjusted close and its own base currency."""
+    own = normalise_daily(table, layout).where(F.col("ticker") == ticker).orderBy(F.desc("session")).limit(days)
+    prices = ("open", "high", "low", "close")
+    return own.withColumns({"adj_close": F.col("close")} | {f"{c}_usd": F.col(c) for c in prices})
+
+
+def landed_quotes(lines: DataFrame, col: str = "value") -> DataFrame:
+    """Bars from landed JSON answers of a daily-quote service: a symbol and parallel arrays by time."""
+    x = "array<double>"
+    kind = f"struct<symbol:string,timestamp:array<bigint>,open:{x},high:{x},low:{x},close:{x},adjclose:{x},volume:{x}>"
+    r = lines.select(F.from_json(col, kind).alias("r"))
+    rows = r.select("r.symbol", F.explode(F.arrays_zip("r.timestamp", "r.open", "r.high", "r.low", "r.close", "r.adjclose", "r.volume")).alias("q"))
+    day = F.to_date(F.timestamp_seconds("q.timestamp"))
+    return rows.select(F.col("symbol").alias("ticker"), day.alias("session"), "q.open", "q.high", "q.low", "q.close", F.coalesce("q.adjclose", "q.close").alias("adj_close"), "q.volume").where("close is not null")
+
+
 # --- cache -------------------------------------------------------------------
 
 
@@ -152,9 +220,38 @@ def content_hash(df: DataFrame) -> str:
     return hashlib.sha256(f"{r['n']}|{r['x']}|{r['s']}".encode()).hexdigest()
 
 
-def cache_manifest(df: DataFrame, source: str, start: date, end: date) -> dict:
+#: The keys of a cache entry's description, which other readers expect.
+MANIFEST_KEYS = ("ticker", "yf_ticker", "source", "requested_start", "requested_end", "downloaded_at", "first_available_date", "last_available_date", "n_rows", "auto_adjust", "schema_version", "content_sha256")
+
+
+def cache_manifest(df: DataFrame, source: str, start: date, end: date, ticker: str | None = None, vendor_ticker: str | None = None) -> dict:
     r = df.agg(F.min("session").alias("a"), F.max("session").alias("b"), F.count("*").alias("n")).first()
-    return {"source": source, "requested_start": str(start), "requested_end": str(end), "downloaded_at": datetime.now(timezone.utc).isoformat(), "first_available_date": str(r["a"]), "last_available_date": str(r["b"]), "n_rows": r["n"], "auto_adjust": False, "schema_version": CACHE_VERSION, "content_sha256": content_hash(df)}
+    values = (ticker, vendor_ticker or ticker, source, str(start), str(end), datetime.now(timezone.utc).isoformat(), str(r["a"]), str(r["b"]), r["n"], False, CACHE_VERSION, content_hash(df))
+    return dict(zip(MANIFEST_KEYS, values))
+
+
+def cached(spark: SparkSession, path: str, source: str, start: date, end: date, fetch: Callable[[], DataFrame], ticker: str | None = None, refresh: bool = False) -> DataFrame:
+    """Bars of a cache entry if it still answers the request, else fetched, written and described anew.
+
+    Table and description lie under ``path`` in any store that Spark reads.
+    """
+    from pyspark.errors import AnalysisException
+
+    try:
+        manifest = json.loads(spark.read.text(f"{path}/manifest", wholetext=True).first()[0])
+        stored = spark.read.schema(BARS_SCHEMA).parquet(f"{path}/bars")
+        if not refresh and cache_valid(manifest, stored, source, start, end)[0]:
+            return stored
+    except AnalysisException:
+        pass
+    fresh = fetch()
+    have = set(fresh.columns)
+    fields = [f.split() for f in BARS_SCHEMA.split(", ")]
+    fresh.select(*[F.col(n).cast(t) if n in have else F.lit(ticker if n == "ticker" else None).cast(t).alias(n) for n, t in fields]).write.mode("overwrite").parquet(f"{path}/bars")
+    stored = spark.read.schema(BARS_SCHEMA).parquet(f"{path}/bars")
+    text = json.dumps(cache_manifest(stored, source, start, end, ticker))
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
+    return stored
 
 
 def cache_valid(manifest: dict | None, df: DataFrame, source: str, start: date, end: date) -> tuple[bool, str]:
@@ -173,3 +270,13 @@ def cache_valid(manifest: dict | None, df: DataFrame, source: str, start: date,
 def save_json(path: str, what: dict) -> None:
     with open(path, "w") as f:
         json.dump(what, f, indent=2, default=str)
+
+
+def load_json(path: str, default: dict | None = None) -> dict:
+    """A saved state, or ``default`` where there is none."""
+    import os
+
+    if not os.path.exists(path):
+        return dict(default or {"positions": [], "history": [], "last_scan": None})
+    with open(path) as f:
+        return json.load(f)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from eventide.sources.tables import shared_dir
+
 
 def tick_stream(spark: SparkSession, path: str) -> DataFrame:
     """The recorded ticks as a stream; watermarks need a timestamp with a zone."""
@@ -60,8 +61,7 @@ def each_batch(stream: DataFrame, fold: Callable[[DataFrame, int], None], checkp
 
 def replay_daily_bars(spark: SparkSession, path: str) -> DataFrame:
     """The recorded ticks replayed as a stream; each batch writes all bars so far, so the last one has every day."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="eventide-stream-")
-    at = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    at = f"{shared_dir(spark).rstrip('/')}/stream-{uuid.uuid4().hex}"
     bars, done = daily_bars(tick_stream(spark, path)), []
 
     def fold(df: DataFrame, batch: int) -> None:
