@@ -1,63 +1,5 @@
-"""Intermediate tables in the folder that every executor shares.
+"""Intermediate tables of the operators: those of the library, in the folder that every executor shares."""
 
-Lineage is cut by writing a Parquet table and reading it again, so a lost
-executor costs a re-read and never a recomputation of a whole loop.
-"""
+from eventide.sources.tables import discard, made, materialize, shared_dir, sweep
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_TABLES: list[str] = []
-#: Where the folder is kept if spark.checkpoint.dir, which a session cannot change, is unset.
-_OWN = "eventide.work.dir"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``.
-
-    Where it is unset, a local session gets a temporary folder and a cluster
-    gets a folder in the warehouse, which its executors share.
-    """
-    if found := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(_OWN, None):
-        return found
-    master = spark.sparkContext.master
-    if master == "local" or master.startswith("local["):
-        made = tempfile.mkdtemp(prefix="eventide-")
-    else:
-        made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/eventide_work"
-    spark.conf.set(_OWN, made)
-    return made
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return it read from there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/eventide-{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
-    _TABLES.append(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._eventide_path = path
-    return out
-
-
-def discard(df: DataFrame) -> None:
-    """Delete a materialized table that nothing reads any more."""
-    path = getattr(df, "_eventide_path", None)
-    if path in _TABLES:
-        _delete(df.sparkSession, path)
-
-
-def sweep(spark: SparkSession) -> None:
-    """Delete every table made so far; only for callers whose results are written."""
-    for path in list(_TABLES):
-        _delete(spark, path)
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _TABLES.remove(path)
+__all__ = ["discard", "made", "materialize", "shared_dir", "sweep"]
