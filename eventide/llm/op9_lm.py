@@ -1,28 +1,31 @@
-"""LM scoring: a log-frequency Bloom filter of quantised n-gram counts.
-
-Base: add-0.1 unigram probabilities of tokens, with exact counts. Model: an
-unigram model whose unseen mass (the share of tokens seen once) goes to a
-spelling model, ``p(w) = (1 - u) * c(w) / N + u * spell(w)``, so that new words
-get the probability of their letters. The spelling model is a byte n-gram
-model over distinct training words, smoothed by
-``p_n = (c(context, byte) + K * p_{n-1}) / (c(context) + K)``. Its counts are
-quantised to powers of ``BASE`` and kept in a Bloom filter in which an n-gram
-of level q is present as (n-gram, 1) to (n-gram, q); a count is read by probing
-level after level until one is missing. The filter is broadcast. A text's own
-earlier tokens adapt the model to its language and subject:
-``p = (earlier + CACHE * p(w)) / (tokens before + CACHE)``.
-
-Its size is bounded: the highest order is lowered until the filter takes at most
-``max_bytes``; distinct byte n-grams grow far slower than the corpus.
-
-Counting: each task packs texts into blocks: token numbers, and the block's
-distinct tokens in buckets by hash. Buckets meet to sum counts, send each block
-the counts of its tokens, and a block is scored where its counts come
-together. A frequent token is one entry a block, so no key is hot.
+"""LM scoring: a log-frequency Bloom filter of quantised word n-gram counts.
+
+Base: add-0.1 unigram probabilities of tokens, with exact counts. Model: word
+1- to 3-grams, each order backing off to the one below by
+``p_n = (c(n-gram) + K_n * p_{n-1}) / (c(context) + K_n)``. Known words start
+from ``(1 - u) * c(w) / Z``; the mass ``u`` (the share of tokens seen once) goes to
+new words, which a model of letter 1- to 4-grams, built alike over the training
+tokens, spells. All counts of the model, words' and letters', come from the
+filter: quantised to powers of ``BASE``, an n-gram of level q is present as
+(n-gram, 1) to (n-gram, q), and a count is read by probing level after level
+until one is missing. An n-gram counts no more often than its parts, which
+takes off most false hits.
+
+The filter grows with the corpus, so it is no broadcast: it is cut by the
+n-grams' hash into segments of about ``SEGMENT_ENTRIES`` entries, as many as
+the counted tokens ask for, and a block of texts sends its distinct n-grams to
+the segments and gets levels back. Orders are the same at every size. A
+frequent n-gram is one entry a block, so no key is hot.
+
+``score`` sums to one over the next token up to quantisation (a context's level
+against those of its followers) and false hits. Tokens are told apart by
+XXH64, n-grams by the segment and 32 more bits.
 
 Training rows: crc32 of the id as text, modulo 10, is not 0 (a null id is the
 empty text, which is held out). Null texts are empty: one end token. Repeated
-rows count each time and each give a row. Without training rows N and V are 0:
+rows count each time and each give a row. An empty table gives none. Other
+columns are not read, so their names cannot clash. Texts of any length are
+scored whole; a block holds at least one. Without training rows N and V are 0:
 the base gives each token probability 1, and the model spells every word with
 equal bytes.
 """
@@ -36,6 +39,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -44,332 +48,349 @@ from pyspark.sql import functions as F
 from .texts import as_bytes
 from .work import materialize
 
-ALPHA, K, BASE, ORDER, CACHE = 0.1, 2.0, 2.0**0.5, 5, 1000.0
-HASHES, BITS_PER_ENTRY, SEGMENTS = 4, 10, 64
-MAX_BYTES, BLOCK_BYTES = 48 << 20, 12 << 20
-_END = 256
+ALPHA, BASE = 0.1, 2.0**0.5
+#: What a context's shorter form weighs, in occurrences: word 2- and 3-grams, letter 1- to 4-grams.
+WORD_K, LETTER_K = (1000.0, 10.0), (2.0, 2.0, 2.0, 2.0)
+HASHES, BITS_PER_ENTRY = 4, 10
+BLOCK_BYTES, SEGMENT_ENTRIES, LEAST_SEGMENT_BITS = 8 << 20, 1 << 21, 3
+#: Entries a token can make: two word n-grams, and the letters' share.
+ENTRIES_PER_TOKEN = 2
+_START, _END = np.uint64(0x5D1E7A11C0FFEE01), np.uint64(0x0DDBA11D00D5EA57)
+_MIDDLE = np.concatenate([[0.0], (BASE ** np.arange(127) + np.maximum(np.ceil(BASE ** np.arange(1, 128)) - 1, 1)) / 2])
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
-    raw = b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), a.nbytes) + a.tobytes() for a in arrays)
-    return zstandard.compress(raw, 1)
+    """Arrays by byte planes, compressed."""
+    planes = [np.ascontiguousarray(a).view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays]
+    return zstandard.compress(b"".join(struct.pack("<2sQ", a.dtype.str[1:].encode(), a.nbytes) + p for a, p in zip(arrays, planes)), 1)
 
 
 def _unpack(data: bytes) -> list[np.ndarray]:
     raw, at, out = zstandard.decompress(data), 0, []
     while at < len(raw):
         kind, n = struct.unpack_from("<2sQ", raw, at)
-        out.append(np.frombuffer(raw, dtype=kind.decode(), count=n // int(kind[1:]), offset=at + 10))
+        size = int(kind[1:])
+        planes = np.frombuffer(raw, dtype=np.uint8, count=n, offset=at + 10).reshape(size, n // size)
+        out.append(np.ascontiguousarray(planes.T).view(kind.decode()).reshape(-1))
         at += 10 + n
     return out
 
 
+def _steps(keys: np.ndarray) -> np.ndarray:
+    return np.diff(keys, prepend=keys.dtype.type(0))
+
+
+def _hash(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class _Codes(dict):
     def __missing__(self, key) -> int:
         self[key] = code = len(self)
         return code
 
 
-def _blocks(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
-    """Rows (block, bucket, n, payload): bucket -1 is the block's texts, others its tokens."""
+# --- blocks of texts --------------------------------------------------------
+
+
+def _blocks(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(block, tokens, ends, letters, payload): texts as numbers of the block's distinct words, in the order of their hashes.
+
+    ``tokens`` counts all, ``ends`` the training texts, ``letters`` the bytes and ends of training words.
+    """
 
-    def emit(part: int, seq: int, ids: list, texts: list[bytes]) -> Iterator[tuple]:
+    def emit(block: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
         codes = _Codes()
         split = [t.lower().split() for t in texts]
         n = np.array([len(x) for x in split], dtype=np.uint32)
         flat = np.fromiter(map(codes.__getitem__, chain.from_iterable(split)), dtype=np.int64, count=int(n.sum()))
         del split
         words = list(codes)
-        held = np.array([zlib.crc32(b"" if i is None else str(i).encode()) % 10 == 0 for i in ids])
-        train = np.bincount(flat[np.repeat(~held, n)], minlength=len(words)).astype(np.uint32)
-        bucket = np.array([zlib.crc32(w) % buckets for w in words], dtype=np.int64)
-        order = np.argsort(bucket, kind="stable")
+        hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+        order = np.argsort(hashes)
         place = np.empty(len(words), dtype=np.uint32)
         place[order] = np.arange(len(words), dtype=np.uint32)
-        block = part << 24 | seq
-        known = np.array([0 if i is None else i for i in ids], dtype=np.int64)
-        null = np.array([i is None for i in ids], dtype=np.uint8)
-        yield block, -1, int((~held).sum()), _pack(known, null, held.astype(np.uint8), n, place[flat] if len(words) else np.empty(0, np.uint32))
-        cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in np.flatnonzero(np.diff(cuts)).tolist():
-            own = order[cuts[b] : cuts[b + 1]]
-            yield block, b, len(own), _pack(np.frombuffer(b"\n".join([words[i] for i in own]), dtype=np.uint8), train[own])
+        train = np.array([i is not None and zlib.crc32(i.encode()) % 10 != 0 for i in ids])
+        counts = np.bincount(place[flat[np.repeat(train, n)]], minlength=len(words)).astype(np.uint32)
+        words = [words[i] for i in order.tolist()]
+        names = [b"" if i is None else i.encode() for i in ids]
+        sizes = np.array([-1 if i is None else len(x) for i, x in zip(ids, names)], dtype=np.int32)
+        letters = int((counts * np.array([len(w) + 1 for w in words], dtype=np.int64)).sum()) if words else 0
+        payload = _pack(np.frombuffer(b"".join(names), np.uint8), sizes, train.astype(np.uint8), n, place[flat], np.frombuffer(b"\n".join(words), np.uint8), counts)
+        return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((block, pa.int64()), (len(flat) + len(ids), pa.int64()), (int(train.sum()), pa.int64()), (letters, pa.int64()), (payload, pa.binary()))], names=["block", "tokens", "ends", "letters", "payload"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, size = TaskContext.get().partitionId(), 0, 0
+        block, size = TaskContext.get().partitionId() << 24, 0
         ids: list = []
         texts: list[bytes] = []
         for batch in batches:
             for i, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if texts and size + len(t) > BLOCK_BYTES:
-                    yield _rows(emit(part, seq, ids, texts))
-                    ids, texts, size, seq = [], [], 0, seq + 1
+                    yield emit(block, ids, texts)
+                    ids, texts, size, block = [], [], 0, block + 1
                 ids.append(i)
                 texts.append(t)
                 size += len(t) + 64
         if texts:
-            yield _rows(emit(part, seq, ids, texts))
+            yield emit(block, ids, texts)
+
+    return docs.select(F.col(id_col).cast("string").alias("id"), as_bytes(text_col).alias("text")).mapInArrow(run, "block long, tokens long, ends long, letters long, payload binary")
+
+
+class _Block:
+    """A block's texts, and the n-grams of its words in texts and of the letters in its distinct words."""
+
+    def __init__(self, payload: bytes) -> None:
+        names, sizes, train, self.n, self.codes, raw, self.counts = _unpack(payload)
+        self.names, self.sizes, self.train, self.n = names.tobytes(), sizes, train.astype(bool), self.n.astype(np.int64)
+        words = raw.tobytes().split(b"\n") if len(self.counts) else []
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+        self.length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        self.at, own = _places(self.n)
+        tokens = np.full(len(own), _END)
+        tokens[own] = self.hashes[self.codes]
+        self.grams = _ngrams(tokens, self.at, len(WORD_K) + 1)[1:]
+        self.letter_at, own = _places(self.length)
+        letters = np.full(len(own), 256, dtype=np.uint64)
+        letters[own] = np.frombuffer(b"".join(words), dtype=np.uint8)
+        self.letter_grams = _ngrams(_hash(letters + np.uint64(1 << 40)), self.letter_at, len(LETTER_K))
+
+    def keys(self, bits: int) -> np.ndarray:
+        """Keys of the words' n-grams, order by order, then the letters': segment bits and 32 more."""
+        return np.concatenate([*self.grams, *self.letter_grams]) >> np.uint64(32 - bits)
+
+    def weights(self) -> np.ndarray:
+        """How often each of ``keys`` is in training texts."""
+        texts = np.repeat(self.train, self.n + 1).astype(np.int64)
+        letters = np.repeat(self.counts.astype(np.int64), self.length + 1)
+        return np.concatenate([texts] * len(self.grams) + [letters] * len(self.letter_grams))
+
+
+def _places(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places in sequences that each take an end, and which are not that end."""
+    m = n + 1
+    ends = np.cumsum(m)
+    total = int(ends[-1]) if len(m) else 0
+    own = np.ones(total, dtype=bool)
+    own[ends - 1] = False
+    return np.arange(total) - np.repeat(ends - m, m), own
+
+
+def _before(values: np.ndarray, at: np.ndarray, back: int, start) -> np.ndarray:
+    return np.where(at >= back, np.roll(values, back), start)
+
+
+def _ngrams(symbols: np.ndarray, at: np.ndarray, orders: int) -> list[np.ndarray]:
+    """Hashes of the 1- to ``orders``-grams that end at each place."""
+    out = [_hash(symbols + np.uint64(1))]
+    for order in range(2, orders + 1):
+        gram = np.full(len(symbols), order, dtype=np.uint64)
+        for back in range(order - 1, -1, -1):
+            gram = _hash(gram * np.uint64(31) + _before(symbols, at, back, _START))
+        out.append(gram)
+    return out
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), as_bytes(text_col).alias("text")).mapInArrow(run, "block long, bucket int, n long, payload binary")
 
+# --- the filter ---------------------------------------------------------------
 
-def _rows(rows: Iterator[tuple]) -> pa.RecordBatch:
-    block, bucket, n, payload = zip(*rows)
-    return pa.RecordBatch.from_arrays([pa.array(block, pa.int64()), pa.array(bucket, pa.int32()), pa.array(n, pa.int64()), pa.array(payload, pa.binary())], names=["block", "bucket", "n", "payload"])
 
+def _levels(counts: np.ndarray) -> np.ndarray:
+    return (1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9)).astype(np.int64)
 
-def _tokens(payload: bytes) -> tuple[list[bytes], np.ndarray]:
-    words, counts = _unpack(payload)
-    return words.tobytes().split(b"\n"), counts
 
+def _probes(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    x = _hash(keys + np.uint64(level * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+    return x >> np.uint64(32), x & np.uint64(0xFFFFFFFF) | np.uint64(1)
 
-def _vocabulary(blocks: DataFrame) -> DataFrame:
-    """(bucket, tokens, kinds, once, payload): each bucket's distinct tokens and training counts."""
 
-    def merge(table: pa.Table) -> pa.Table:
-        codes = _Codes()
-        parts = []
-        for payload in table.column("payload").to_pylist():
-            words, counts = _tokens(payload)
-            parts.append((np.fromiter(map(codes.__getitem__, words), dtype=np.int64, count=len(words)), counts))
-        total = np.zeros(len(codes), dtype=np.uint64)
-        for code, counts in parts:
-            np.add.at(total, code, counts.astype(np.uint64))
-        payload = _pack(np.frombuffer(b"\n".join(codes), dtype=np.uint8), total)
-        return pa.table({"bucket": table.column("bucket")[:1], "tokens": [int(total.sum())], "kinds": [int((total > 0).sum())], "once": [int((total == 1).sum())], "payload": pa.array([payload], pa.binary())})
+def _spot(a: np.ndarray, b: np.ndarray, i: int, bits: int) -> np.ndarray:
+    return ((((a + np.uint64(i) * b) & np.uint64(0xFFFFFFFF)) * np.uint64(bits)) >> np.uint64(32)).astype(np.int64)
 
-    return blocks.where("bucket >= 0").groupBy("bucket").applyInArrow(merge, "bucket int, tokens long, kinds long, once long, payload binary")
 
+class LogFrequencyBloom:
+    """One segment: a Bloom filter of (key, level)."""
 
-# --- the spelling model ---------------------------------------------------
+    def __init__(self, bits: int, data: bytes) -> None:
+        self.bits, self.data = bits, np.frombuffer(data, dtype=np.uint8)
 
+    @classmethod
+    def of(cls, keys: np.ndarray, counts: np.ndarray) -> LogFrequencyBloom:
+        """The filter of distinct keys with counts of at least one."""
+        level = _levels(counts)
+        bits = max(64, -(-int(level.sum()) * BITS_PER_ENTRY // 64) * 64)
+        own = np.zeros(bits, dtype=bool)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            a, b = _probes(keys[level >= q], q)
+            for i in range(HASHES):
+                own[_spot(a, b, i, bits)] = True
+        return cls(bits, np.packbits(own, bitorder="little").tobytes())
+
+    def levels(self, keys: np.ndarray) -> np.ndarray:
+        level = np.zeros(len(keys), dtype=np.uint8)
+        still, q = np.arange(len(keys)), 1
+        while len(still):
+            a, b = _probes(keys[still], q)
+            for i in range(HASHES):
+                at = _spot(a, b, i, self.bits)
+                hit = (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+                still, a, b = still[hit], a[hit], b[hit]
+            level[still] = q
+            q += 1
+        return level
 
-def _spell(words: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all words with their ends, each one's place in its word, and words' sizes."""
-    n = np.array([len(w) for w in words], dtype=np.int64) + 1
-    raw = np.frombuffer(b"\n".join(words) + b"\n", dtype=np.uint8).astype(np.uint64)
-    ends = np.cumsum(n)
-    raw[ends - 1] = _END
-    at = np.arange(len(raw)) - np.repeat(ends - n, n)
-    return raw, at, n
+    def counts(self, keys: np.ndarray) -> np.ndarray:
+        """The count that each key's levels stand for; 0 where there is none."""
+        return _MIDDLE[self.levels(keys)]
 
 
-def _hash(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def _cut(payload: bytes, bits: int) -> Iterator[tuple[int, bytes]]:
+    """A block's distinct words and n-grams with their training counts, by segment."""
+    block = _Block(payload)
+    keys, place = np.unique(block.keys(bits), return_inverse=True)
+    counts = np.bincount(place, weights=block.weights(), minlength=len(keys)).astype(np.uint32)
+    edges = np.arange((1 << bits) + 1, dtype=np.uint64)
+    grams = np.searchsorted(keys >> np.uint64(32), edges)
+    words = np.searchsorted(block.hashes >> np.uint64(64 - bits), edges)
+    low = keys.astype(np.uint32)
+    for s in range(1 << bits):
+        w, g = slice(words[s], words[s + 1]), slice(grams[s], grams[s + 1])
+        if w.start < w.stop or g.start < g.stop:
+            yield s, _pack(_steps(block.hashes[w]), block.counts[w], _steps(low[g]), counts[g])
 
 
-def _contexts(raw: np.ndarray, at: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(hash of the context, hash of context and symbol) of every symbol, by context size 0, 1, ..."""
-    context = np.zeros(len(raw), dtype=np.uint64)
-    for size in range(order):
-        if size:
-            back = np.arange(len(raw)) - size
-            symbol = np.where(at >= size, raw[np.maximum(back, 0)], 300)
-            # Beyond a word's first symbol the context stays what it is.
-            context = _hash(context * np.uint64(1009) + symbol.astype(np.uint64) + np.uint64(1 + 512 * size))
-        yield context, _hash(context ^ _hash(raw + np.uint64(1000 + size)))
+def _asked(blocks: DataFrame, bits: int) -> DataFrame:
+    """(block, segment, payload) of ``_cut``."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                segments, data = zip(*_cut(payload, bits))
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(data), pa.int64()), pa.array(segments, pa.int32()), pa.array(data, pa.binary())], names=["block", "segment", "payload"])
 
-def _ngrams(words: list[bytes], order: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Per order: distinct hashes of contexts and n-grams, and how often each is there."""
-    raw, at, _ = _spell(words, order)
-    for context, gram in _contexts(raw, at, order):
-        yield np.unique(np.concatenate([context ^ np.uint64(0x5555), gram]), return_counts=True)
+    return blocks.select("block", "payload").mapInArrow(run, "block long, segment int, payload binary")
 
 
-def _levels(counts: np.ndarray) -> np.ndarray:
-    return (1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9)).astype(np.int64)
+def _read(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    words, n, grams, counts = _unpack(payload)
+    return np.cumsum(words, dtype=np.uint64), n, np.cumsum(grams, dtype=np.uint32).astype(np.uint64), counts
 
 
-def _train(vocabulary: DataFrame) -> DataFrame:
-    """(segment, size, entries, payload): summed n-gram counts by segment and order."""
+def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys with a count, and the sums of their counts."""
+    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
+    return distinct[total > 0], total[total > 0]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Bucket by bucket, so that a task holds the n-grams of one.
-        for payload in (p for batch in batches for p in batch.column(0).to_pylist()):
-            own, total = _tokens(payload)
-            words = [w for w, c in zip(own, (total > 0).tolist()) if c]
-            if not words:
-                continue
-            segment, size, data = [], [], []
-            for k, (keys, n) in enumerate(_ngrams(words, ORDER)):
-                cuts = np.searchsorted(keys >> np.uint64(58), np.arange(SEGMENTS + 1))
-                for s in np.flatnonzero(np.diff(cuts)).tolist():
-                    segment.append(s)
-                    size.append(k)
-                    data.append(_pack(keys[cuts[s] : cuts[s + 1]], n[cuts[s] : cuts[s + 1]].astype(np.uint32)))
-            yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(size, pa.int32()), pa.array(data, pa.binary())], names=["segment", "size", "payload"])
 
-    def merge(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x) for x in table.column("payload").to_pylist()]
-        keys, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-        total = np.zeros(len(keys), dtype=np.uint64)
-        np.add.at(total, place, np.concatenate([p[1] for p in parts]).astype(np.uint64))
-        return pa.table({"segment": table.column("segment")[:1], "size": table.column("size")[:1], "entries": [int(_levels(total).sum())], "payload": pa.array([_pack(keys, total)], pa.binary())})
+def _segments(asked: DataFrame) -> DataFrame:
+    """(segment, tokens, kinds, once, mass, bits, data, words): each segment's filter and exact counts of words."""
 
-    counted = vocabulary.select("payload").mapInArrow(count, "segment int, size int, payload binary")
-    return counted.groupBy("segment", "size").applyInArrow(merge, "segment int, size int, entries long, payload binary")
+    def build(table: pa.Table) -> pa.Table:
+        parts = [_read(x) for x in table.column("payload").to_pylist()]
+        words, n = _sum([p[0] for p in parts], [p[1] for p in parts])
+        grams, counts = _sum([p[2] for p in parts], [p[3] for p in parts])
+        bloom = LogFrequencyBloom.of(np.concatenate([words, grams]), np.concatenate([n, counts]))
+        return pa.table({
+            "segment": table.column("segment")[:1], "tokens": [int(n.sum())], "kinds": [len(n)], "once": [int((n == 1).sum())], "mass": [float(_MIDDLE[_levels(n)].sum())],
+            "bits": [bloom.bits], "data": pa.array([bloom.data.tobytes()], pa.binary()), "words": pa.array([_pack(_steps(words), n)], pa.binary()),
+        })
 
+    return asked.groupBy("segment").applyInArrow(build, "segment int, tokens long, kinds long, once long, mass double, bits long, data binary, words binary")
 
-def _probes(keys: np.ndarray, level: int, bits: np.ndarray) -> Iterator[np.ndarray]:
-    a = _hash(keys + np.uint64(level * 0x9E3779B9 & 0xFFFFFFFF))
-    b = _hash(a) | np.uint64(1)
-    for i in range(HASHES):
-        yield ((a + np.uint64(i) * b) % bits.astype(np.uint64)).astype(np.int64)
 
+def _answers(asked: DataFrame, segments: DataFrame) -> DataFrame:
+    """(block, segment, payload): exact counts and levels of a block's words, levels of its n-grams."""
 
-class LogFrequencyBloom:
-    """Segments by the keys' top six bits, each a Bloom filter of (key, level)."""
-
-    def __init__(self, segments: dict[int, tuple[int, bytes]], order: int) -> None:
-        self.order = order
-        self.bits = np.ones(SEGMENTS, dtype=np.int64)
-        starts = np.zeros(SEGMENTS, dtype=np.int64)
-        parts, at = [], 0
-        for s in range(SEGMENTS):
-            bits, data = segments.get(s, (64, bytes(8)))
-            self.bits[s], starts[s] = bits, at
-            parts.append(data)
-            at += len(data) * 8
-        self.starts = starts
-        self.data = np.frombuffer(b"".join(parts), dtype=np.uint8)
+    def answer(own: pa.Table, segment: pa.Table) -> pa.Table:
+        bloom = LogFrequencyBloom(segment.column("bits")[0].as_py(), segment.column("data")[0].as_py())
+        steps, total = _unpack(segment.column("words")[0].as_py())
+        known = np.append(np.cumsum(steps, dtype=np.uint64), np.uint64(0))
+        total = np.append(total, np.uint64(0))
+        data = []
+        for payload in own.column("payload").to_pylist():
+            words, _, grams, _ = _read(payload)
+            at = np.searchsorted(known[:-1], words)
+            data.append(_pack(np.where(known[at] == words, total[at], np.uint64(0)), bloom.levels(words), bloom.levels(grams)))
+        return pa.table({"block": own.column("block"), "segment": own.column("segment"), "payload": pa.array(data, pa.binary())})
 
-    def counts(self, keys: np.ndarray) -> np.ndarray:
-        """The count that each key's levels stand for; 0 where there is none."""
-        segment = (keys >> np.uint64(58)).astype(np.int64)
-        bits, start = self.bits[segment], self.starts[segment]
-        level = np.zeros(len(keys), dtype=np.int64)
-        open_ = np.arange(len(keys))
-        while len(open_):
-            here = np.ones(len(open_), dtype=bool)
-            for at in _probes(keys[open_], int(level[open_[0]]) + 1, bits[open_]):
-                at = at + start[open_]
-                here &= (self.data[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
-            open_ = open_[here]
-            level[open_] += 1
-        middle = (BASE ** (level - 1) + np.maximum(np.ceil(BASE**level) - 1, 1)) / 2
-        return np.where(level > 0, middle, 0.0)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 of the spelling model's probability of each word."""
-        if not words:
-            return np.empty(0)
-        raw, at, n = _spell(words, self.order)
-        p = np.full(len(raw), 1 / 257)
-        for context, gram in _contexts(raw, at, self.order):
-            keys, place = np.unique(np.concatenate([context ^ np.uint64(0x5555), gram]), return_inverse=True)
-            c = self.counts(keys)[place]
-            above, below = c[len(raw) :], c[: len(raw)]
-            p = np.where(below > 0, (np.minimum(above, below) + K * p) / (below + K), p)
-        upto = np.concatenate([[0.0], np.cumsum(np.log10(p))])
-        ends = np.cumsum(n)
-        return upto[ends] - upto[ends - n]
-
-
-def bloom_filter(vocabulary: DataFrame, max_bytes: int = MAX_BYTES) -> LogFrequencyBloom:
-    """The filter of the training words' n-grams, of at most about ``max_bytes``."""
-    grams = materialize(_train(vocabulary), "ngrams")
-    entries = {r["size"]: r["n"] for r in grams.groupBy("size").agg(F.sum("entries").alias("n")).collect()}
-    order = ORDER
-    while order > 1 and sum(n for k, n in entries.items() if k < order) * BITS_PER_ENTRY > 8 * max_bytes:
-        order -= 1
+    return asked.groupBy("segment").cogroup(segments.select("segment", "bits", "data", "words").groupBy("segment")).applyInArrow(answer, "block long, segment int, payload binary")
 
-    def build(table: pa.Table) -> pa.Table:
-        parts = [_unpack(x) for x in table.column("payload").to_pylist()]
-        keys = np.concatenate([p[0] for p in parts])
-        level = np.concatenate([_levels(p[1]) for p in parts])
-        bits = max(64, -(-int(level.sum()) * BITS_PER_ENTRY // 64) * 64)
-        own = np.zeros(bits, dtype=np.uint8)
-        for q in range(1, int(level.max()) + 1):
-            some = keys[level >= q]
-            for at in _probes(some, q, np.full(len(some), bits)):
-                own[at] = 1
-        data = np.packbits(own, bitorder="little").tobytes()
-        return pa.table({"segment": table.column("segment")[:1], "bits": [bits], "data": pa.array([data], pa.binary())})
 
-    # SEGMENTS rows, which together hold at most max_bytes.
-    rows = grams.where(F.col("size") < order).groupBy("segment").applyInArrow(build, "segment int, bits long, data binary").collect()
-    return LogFrequencyBloom({r["segment"]: (r["bits"], bytes(r["data"])) for r in rows}, order)
+# --- scoring ----------------------------------------------------------------
 
 
-# --- scoring ----------------------------------------------------------------
+def _back_off(p: np.ndarray, counts: list[np.ndarray], at: np.ndarray, first: np.ndarray | float, starts: float, weights: tuple[float, ...]) -> np.ndarray:
+    """``p`` smoothed by one higher order after another; ``first`` counts the contexts of the first of ``counts``."""
+    context = first
+    for c, k in zip(counts, weights):
+        c = np.minimum(c, context)
+        p = (c + k * p) / (context + k)
+        context = _before(c, at, 1, starts)
+    return p
 
 
-def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_bytes: int = MAX_BYTES) -> DataFrame:
+def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """held_out, token numbers, base and model log10 probability of each row."""
-    spark = docs.sparkSession
-    buckets = max(32, 2 * docs.rdd.getNumPartitions())
-    blocks = materialize(_blocks(docs, id_col, text_col, buckets), "blocks")
-    vocabulary = materialize(_vocabulary(blocks), "vocabulary")
-    sums = vocabulary.agg(F.sum("tokens"), F.sum("kinds"), F.sum("once")).first()
-    tokens, kinds, once = (int(x or 0) for x in sums)
-    ends = int(blocks.where("bucket < 0").agg(F.sum("n")).first()[0] or 0)
+    blocks = materialize(_blocks(docs, id_col, text_col), "blocks")
+    size, ends, letters = (int(x or 0) for x in blocks.agg(F.sum("tokens"), F.sum("ends"), F.sum("letters")).first())
+    bits = max(LEAST_SEGMENT_BITS, (ENTRIES_PER_TOKEN * size // SEGMENT_ENTRIES).bit_length())
+    asked = _asked(blocks, bits)
+    segments = materialize(_segments(asked), "segments")
+    tokens, kinds, once, mass = (x or 0 for x in segments.agg(F.sum("tokens"), F.sum("kinds"), F.sum("once"), F.sum("mass")).first())
     tokens, kinds, once = tokens + ends, kinds + (ends > 0), once + (ends == 1)
+    starts = float(_MIDDLE[_levels(np.array([ends]))[0]]) if ends else 0.0
+    mass += starts
     unseen = min(0.5, max(once, 1) / tokens) if tokens else 1.0
-    model = spark.sparkContext.broadcast(bloom_filter(vocabulary, max_bytes))
-
-    def answer(own: pa.Table, vocabulary: pa.Table) -> pa.Table:
-        payload = vocabulary.column("payload")[0].as_py()
-        words, total = _tokens(payload)
-        spelt = model.value.log10(words).astype(np.float32)
-        code = dict(zip(words, range(len(words))))
-        data = []
-        for x in own.column("payload").to_pylist():
-            at = np.fromiter(map(code.__getitem__, _tokens(x)[0]), dtype=np.int64)
-            data.append(_pack(total[at], spelt[at]))
-        return pa.table({"block": own.column("block"), "bucket": own.column("bucket"), "payload": pa.array(data, pa.binary())})
-
-    answers = blocks.where("bucket >= 0").groupBy("bucket").cogroup(vocabulary.select("bucket", "payload").groupBy("bucket")).applyInArrow(answer, "block long, bucket int, payload binary")
-
-    cache = CACHE
 
     def score(texts: pa.Table, answers: pa.Table) -> pa.Table:
-        known, null, held, n, codes = _unpack(texts.column("payload")[0].as_py())
-        order = np.argsort(answers.column("bucket").to_numpy())
+        block = _Block(texts.column("payload")[0].as_py())
+        n, at = block.n, block.at
+        order = np.argsort(answers.column("segment").to_numpy())
         parts = [_unpack(answers.column("payload")[int(i)].as_py()) for i in order]
-        c = np.concatenate([p[0] for p in parts] or [np.empty(0)]).astype(np.float64)
-        spelt = np.concatenate([p[1] for p in parts] or [np.empty(0)]).astype(np.float64)
-        n = n.astype(np.int64)
-        ids = pa.array(known, mask=null.astype(bool))
-        out = {"id": ids, "held_out": pa.array(held.astype(bool)), "n_tokens": pa.array(n + 1)}
+        exact = np.concatenate([p[0] for p in parts] or [np.empty(0)]).astype(np.float64)
+        words = _MIDDLE[np.concatenate([p[1] for p in parts] or [np.empty(0, np.uint8)])]
+        levels = np.concatenate([p[2] for p in parts] or [np.empty(0, np.uint8)])[np.unique(block.keys(bits), return_inverse=True)[1]]
+        cuts = np.cumsum([len(g) for g in [*block.grams, *block.letter_grams]])[:-1]
+        counts = [_MIDDLE[x] for x in np.split(levels, cuts)]
+        own, spelt = counts[: len(block.grams)], counts[len(block.grams) :]
+
+        # New words, by their letters.
+        p = _back_off(np.full(len(block.letter_at), 1 / 257), spelt, block.letter_at, float(letters), float(tokens - ends), LETTER_K)
+        spell = _sums(np.log10(p), block.length + 1)
+        with np.errstate(under="ignore"):
+            start = np.where(words > 0, (1 - unseen) * words / max(mass, 1.0), unseen * 10.0 ** np.maximum(spell, -280))
+
+        # All places: words and ends.
+        end = max((1 - unseen) * starts / max(mass, 1.0), unseen * 1e-9)
+        here = np.full(len(at), len(words))
+        here[_places(n)[1]] = block.codes
+        first = np.append(start, end)[here]
+        unigrams = np.append(words, starts)[here]
+        own[0] = np.minimum(own[0], unigrams)
+        own[1] = np.minimum(own[1], own[0])
+        p = _back_off(first, own, at, _before(unigrams, at, 1, starts), starts, WORD_K)
         floor = ALPHA * (kinds + 1) + tokens
-        base = np.log10((c + ALPHA) / floor)
-        mixed = (1 - unseen) * c / max(tokens, 1) + unseen * 10.0**spelt
-        seen, at = _earlier(codes, n)
-        adapted = np.log10((seen + cache * mixed[codes]) / (at + cache))
-        sums = [_sums(base[codes], n), _sums(adapted, n), _sums((c > 0)[codes].astype(np.float64), n)]
-        end = max((1 - unseen) * ends / max(tokens, 1), unseen * 1e-9) * cache / (n + cache)
-        return pa.table(out | {
-            "n_known": pa.array((sums[2] + (ends > 0)).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), tokens, dtype=np.int64)),
-            "base_score": pa.array(sums[0] + np.log10((ends + ALPHA) / floor)), "score": pa.array(sums[1] + np.log10(end)),
+        seen = np.append(exact, ends)[here]
+        ids, sizes = [], block.sizes.tolist()
+        upto = 0
+        for x in sizes:
+            ids.append(None if x < 0 else block.names[upto : upto + x].decode())
+            upto += max(x, 0)
+        return pa.table({
+            "id": pa.array(ids, pa.string()), "held_out": pa.array(~block.train), "n_tokens": pa.array(n + 1), "n_known": pa.array(_sums((seen > 0).astype(np.float64), n + 1).astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(n), tokens, dtype=np.int64)), "base_score": pa.array(_sums(np.log10((seen + ALPHA) / floor), n + 1)), "score": pa.array(_sums(np.log10(p), n + 1)),
         })
 
-    scored = blocks.where("bucket < 0").select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-    return scored.withColumnRenamed("id", id_col)
-
-
-def _earlier(codes: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token, how many tokens of its text come before it, and how many of those are equal."""
-    doc = np.repeat(np.arange(len(n)), n)
-    order = np.lexsort((codes, doc))
-    d, w = doc[order], codes[order]
-    new = np.ones(len(codes), dtype=bool)
-    new[1:] = (d[1:] != d[:-1]) | (w[1:] != w[:-1])
-    start = np.maximum.accumulate(np.where(new, np.arange(len(codes)), 0))
-    seen = np.empty(len(codes), dtype=np.int64)
-    seen[order] = np.arange(len(codes)) - start
-    return seen, np.arange(len(codes)) - np.repeat(np.cumsum(n) - n, n)
+    answers = _answers(asked, segments)
+    scored = blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return scored.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *[c for c in scored.columns if c != "id"])
 
 
 def _sums(values: np.ndarray, runs: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(runs))
-    full = np.flatnonzero(runs)
-    if len(full):
-        ends = np.cumsum(runs)
-        out[full] = np.add.reduceat(values, (ends - runs)[full])
-    return out
+    """Sums of runs of at least one value."""
+    return np.add.reduceat(values, np.cumsum(runs) - runs) if len(runs) else np.zeros(0)
 
 
 def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:

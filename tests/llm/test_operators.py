@@ -370,12 +370,7 @@ def test_lm_beats_base_on_held_out(spark):
 def test_log_frequency_bloom():
     rng = np.random.default_rng(0)
     keys, counts = rng.integers(0, 2**63, 4000).astype(np.uint64) * 2, rng.integers(1, 5000, 4000)
-    bits = np.zeros((op9_lm.SEGMENTS, 1 << 15), dtype=np.uint8)
-    for q in range(1, int(op9_lm._levels(counts).max()) + 1):
-        some = keys[op9_lm._levels(counts) >= q]
-        for at in op9_lm._probes(some, q, np.full(len(some), 1 << 15)):
-            bits[(some >> np.uint64(58)).astype(int), at] = 1
-    bloom = op9_lm.LogFrequencyBloom({s: (1 << 15, np.packbits(bits[s], bitorder="little").tobytes()) for s in range(op9_lm.SEGMENTS)}, 3)
+    bloom = op9_lm.LogFrequencyBloom.of(keys, counts)
     got = bloom.counts(keys)
     assert np.mean((got >= counts / op9_lm.BASE - 1) & (got <= counts * op9_lm.BASE + 1)) > 0.98
     assert np.mean(bloom.counts(rng.integers(0, 2**63, 4000).astype(np.uint64) * 2 + 1) > 0) < 0.05
