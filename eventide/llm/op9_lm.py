@@ -13,9 +13,10 @@ takes off most false hits.
 
 The filter grows with the corpus, so it is no broadcast: it is cut by the
 n-grams' hash into segments of about ``SEGMENT_ENTRIES`` entries, as many as
-the counted tokens ask for, and a block of texts sends its distinct n-grams to
-the segments and gets levels back. Orders are the same at every size. A
-frequent n-gram is one entry a block, so no key is hot.
+the counted tokens ask for. A block of texts sends its distinct n-grams once to
+the segments, which add them up, fill their filters, probe them and send levels
+back. Orders are the same at every size. A frequent n-gram is one entry a
+block, so no key is hot.
 
 ``score`` sums to one over the next token up to quantisation (a context's level
 against those of its followers) and false hits. Tokens are told apart by
@@ -143,29 +144,56 @@ class _Block:
     """A block's texts, and the n-grams of its words in texts and of the letters in its distinct words."""
 
     def __init__(self, payload: bytes) -> None:
-        names, sizes, train, self.n, self.codes, raw, self.counts = _unpack(payload)
-        self.names, self.sizes, self.train, self.n = names.tobytes(), sizes, train.astype(bool), self.n.astype(np.int64)
-        words = raw.tobytes().split(b"\n") if len(self.counts) else []
-        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-        self.length = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        self.at, own = _places(self.n)
-        tokens = np.full(len(own), _END)
-        tokens[own] = self.hashes[self.codes]
-        self.grams = _ngrams(tokens, self.at, len(WORD_K) + 1)[1:]
-        self.letter_at, own = _places(self.length)
-        letters = np.full(len(own), 256, dtype=np.uint64)
-        letters[own] = np.frombuffer(b"".join(words), dtype=np.uint8)
-        self.letter_grams = _ngrams(_hash(letters + np.uint64(1 << 40)), self.letter_at, len(LETTER_K))
-
-    def keys(self, bits: int) -> np.ndarray:
-        """Keys of the words' n-grams, order by order, then the letters': segment bits and 32 more."""
-        return np.concatenate([*self.grams, *self.letter_grams]) >> np.uint64(32 - bits)
-
-    def weights(self) -> np.ndarray:
-        """How often each of ``keys`` is in training texts."""
-        texts = np.repeat(self.train, self.n + 1).astype(np.int64)
-        letters = np.repeat(self.counts.astype(np.int64), self.length + 1)
-        return np.concatenate([texts] * len(self.grams) + [letters] * len(self.letter_grams))
+        names, sizes, train, n, self.codes, raw, self.counts = _unpack(payload)
+        self.names, self.sizes, self.train, self.n = names.tobytes(), sizes, train.astype(bool), n.astype(np.int64)
+        self.words = raw.tobytes().split(b"\n") if len(self.counts) else []
+        self.hashes = np.fromiter(map(xxhash.xxh64_intdigest, self.words), dtype=np.uint64, count=len(self.words))
+        self.length = np.fromiter(map(len, self.words), dtype=np.int64, count=len(self.words))
+        self.at, self.inside = _places(self.n)
+        self.letter_at, self.letter_inside = _places(self.length)
+
+    def ngrams(self, bits: int) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Distinct keys (segment bits and 32 more), their training counts, and for every order of words, then letters, the place of each n-gram among the keys."""
+        parts = [*self._of_words(bits), *self._of_letters(bits)]
+        # Sorted runs merge faster than np.unique hashes.
+        keys = np.sort(np.concatenate([k for k, _, _ in parts]), kind="stable")
+        keys = keys[np.diff(keys, prepend=~keys[:1]) != 0]
+        counts = np.zeros(len(keys), dtype=np.uint32)
+        places = []
+        for own, inverse, n in parts:
+            at = np.searchsorted(keys, own)
+            counts[at] += n.astype(np.uint32)
+            places.append((at, inverse))
+        return keys, counts, places
+
+    def _of_words(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        tokens = np.full(len(self.at), _END)
+        tokens[self.inside] = self.hashes[self.codes]
+        train = np.repeat(self.train, self.n + 1)
+        for order in range(2, len(WORD_K) + 2):
+            gram = np.full(len(tokens), order, dtype=np.uint64)
+            for back in range(order - 1, -1, -1):
+                gram = _hash(gram * np.uint64(31) + _before(tokens, self.at, back, _START))
+            keys, inverse = np.unique(gram >> np.uint64(32 - bits), return_inverse=True)
+            yield keys, inverse.astype(np.int32), np.bincount(inverse[train], minlength=len(keys))
+
+    def _of_letters(self, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """An order's distinct n-grams are numbered by (number of the context, letter), so nothing is sorted by position."""
+        letters = np.full(len(self.letter_at), 256)
+        letters[self.letter_inside] = np.frombuffer(b"".join(self.words), dtype=np.uint8)
+        weight = np.repeat(self.counts.astype(np.float64), self.length + 1)
+        context, hashes = np.zeros(len(letters), dtype=np.int64), np.array([_START])
+        for order in range(1, len(LETTER_K) + 1):
+            code = context * 257 + letters
+            found = np.flatnonzero(np.bincount(code))
+            number = np.zeros(int(found.max(initial=0)) + 1, dtype=np.int32)
+            number[found] = np.arange(len(found))
+            inverse = number[code]
+            hashes = _hash(hashes[found // 257] * np.uint64(31) + (found % 257).astype(np.uint64) + np.uint64(1024 * order))
+            keys, same = np.unique(hashes >> np.uint64(32 - bits), return_inverse=True)
+            yield keys, same[inverse].astype(np.int32), np.bincount(same[inverse], weights=weight, minlength=len(keys))
+            # The next letter's context is this n-gram, or the start with number len(found).
+            context, hashes = _before(inverse, self.letter_at, 1, len(found)), np.append(hashes, _hash(_START + np.array([order], dtype=np.uint64)))
 
 
 def _places(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -182,17 +210,6 @@ def _before(values: np.ndarray, at: np.ndarray, back: int, start) -> np.ndarray:
     return np.where(at >= back, np.roll(values, back), start)
 
 
-def _ngrams(symbols: np.ndarray, at: np.ndarray, orders: int) -> list[np.ndarray]:
-    """Hashes of the 1- to ``orders``-grams that end at each place."""
-    out = [_hash(symbols + np.uint64(1))]
-    for order in range(2, orders + 1):
-        gram = np.full(len(symbols), order, dtype=np.uint64)
-        for back in range(order - 1, -1, -1):
-            gram = _hash(gram * np.uint64(31) + _before(symbols, at, back, _START))
-        out.append(gram)
-    return out
-
-
 # --- the filter ---------------------------------------------------------------
 
 
@@ -248,10 +265,9 @@ class LogFrequencyBloom:
 def _cut(payload: bytes, bits: int) -> Iterator[tuple[int, bytes]]:
     """A block's distinct words and n-grams with their training counts, by segment."""
     block = _Block(payload)
-    keys, place = np.unique(block.keys(bits), return_inverse=True)
-    counts = np.bincount(place, weights=block.weights(), minlength=len(keys)).astype(np.uint32)
+    keys, counts, _ = block.ngrams(bits)
     edges = np.arange((1 << bits) + 1, dtype=np.uint64)
-    grams = np.searchsorted(keys >> np.uint64(32), edges)
+    grams = np.searchsorted(keys, edges << np.uint64(32))
     words = np.searchsorted(block.hashes >> np.uint64(64 - bits), edges)
     low = keys.astype(np.uint32)
     for s in range(1 << bits):
@@ -284,38 +300,35 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
     return distinct[total > 0], total[total > 0]
 
 
-def _segments(asked: DataFrame) -> DataFrame:
-    """(segment, tokens, kinds, once, mass, bits, data, words): each segment's filter and exact counts of words."""
+def _answers(asked: DataFrame) -> DataFrame:
+    """(block, segment, tokens, kinds, once, mass, payload): every segment's filter, and what it says to each block.
+
+    The filter's row has block -1, the sums of its words, and as payload its
+    bits; a block's row has exact counts and levels of its words and levels of
+    its n-grams. Both come from one gathering of the blocks' n-grams.
+    """
 
-    def build(table: pa.Table) -> pa.Table:
-        parts = [_read(x) for x in table.column("payload").to_pylist()]
+    def answer(table: pa.Table) -> pa.Table:
+        sent = table.column("payload").to_pylist()
+        parts = [_read(x) for x in sent]
         words, n = _sum([p[0] for p in parts], [p[1] for p in parts])
         grams, counts = _sum([p[2] for p in parts], [p[3] for p in parts])
+        del parts
         bloom = LogFrequencyBloom.of(np.concatenate([words, grams]), np.concatenate([n, counts]))
+        known, total = np.append(words, np.uint64(0)), np.append(n, np.uint64(0))
+        data = [bloom.data.tobytes()]
+        for payload in sent:
+            asked_words, _, asked_grams, _ = _read(payload)
+            at = np.searchsorted(words, asked_words)
+            data.append(_pack(np.where(known[at] == asked_words, total[at], np.uint64(0)), bloom.levels(asked_words), bloom.levels(asked_grams)))
+        rest = [0] * len(sent)
         return pa.table({
-            "segment": table.column("segment")[:1], "tokens": [int(n.sum())], "kinds": [len(n)], "once": [int((n == 1).sum())], "mass": [float(_MIDDLE[_levels(n)].sum())],
-            "bits": [bloom.bits], "data": pa.array([bloom.data.tobytes()], pa.binary()), "words": pa.array([_pack(_steps(words), n)], pa.binary()),
+            "block": pa.array([-1, *table.column("block").to_pylist()], pa.int64()), "segment": pa.array(table.column("segment")[:1].to_pylist() * len(data), pa.int32()),
+            "tokens": [int(n.sum()), *rest], "kinds": [len(n), *rest], "once": [int((n == 1).sum()), *rest], "mass": pa.array([_MIDDLE[_levels(n)].sum(), *rest], pa.float64()),
+            "payload": pa.array(data, pa.binary()),
         })
 
-    return asked.groupBy("segment").applyInArrow(build, "segment int, tokens long, kinds long, once long, mass double, bits long, data binary, words binary")
-
-
-def _answers(asked: DataFrame, segments: DataFrame) -> DataFrame:
-    """(block, segment, payload): exact counts and levels of a block's words, levels of its n-grams."""
-
-    def answer(own: pa.Table, segment: pa.Table) -> pa.Table:
-        bloom = LogFrequencyBloom(segment.column("bits")[0].as_py(), segment.column("data")[0].as_py())
-        steps, total = _unpack(segment.column("words")[0].as_py())
-        known = np.append(np.cumsum(steps, dtype=np.uint64), np.uint64(0))
-        total = np.append(total, np.uint64(0))
-        data = []
-        for payload in own.column("payload").to_pylist():
-            words, _, grams, _ = _read(payload)
-            at = np.searchsorted(known[:-1], words)
-            data.append(_pack(np.where(known[at] == words, total[at], np.uint64(0)), bloom.levels(words), bloom.levels(grams)))
-        return pa.table({"block": own.column("block"), "segment": own.column("segment"), "payload": pa.array(data, pa.binary())})
-
-    return asked.groupBy("segment").cogroup(segments.select("segment", "bits", "data", "words").groupBy("segment")).applyInArrow(answer, "block long, segment int, payload binary")
+    return asked.groupBy("segment").applyInArrow(answer, "block long, segment int, tokens long, kinds long, once long, mass double, payload binary")
 
 
 # --- scoring ----------------------------------------------------------------
@@ -336,9 +349,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     blocks = materialize(_blocks(docs, id_col, text_col), "blocks")
     size, ends, letters = (int(x or 0) for x in blocks.agg(F.sum("tokens"), F.sum("ends"), F.sum("letters")).first())
     bits = max(LEAST_SEGMENT_BITS, (ENTRIES_PER_TOKEN * size // SEGMENT_ENTRIES).bit_length())
-    asked = _asked(blocks, bits)
-    segments = materialize(_segments(asked), "segments")
-    tokens, kinds, once, mass = (x or 0 for x in segments.agg(F.sum("tokens"), F.sum("kinds"), F.sum("once"), F.sum("mass")).first())
+    answers = materialize(_answers(_asked(blocks, bits)), "filter")
+    tokens, kinds, once, mass = (x or 0 for x in answers.where("block < 0").agg(F.sum("tokens"), F.sum("kinds"), F.sum("once"), F.sum("mass")).first())
     tokens, kinds, once = tokens + ends, kinds + (ends > 0), once + (ends == 1)
     starts = float(_MIDDLE[_levels(np.array([ends]))[0]]) if ends else 0.0
     mass += starts
@@ -351,10 +363,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         parts = [_unpack(answers.column("payload")[int(i)].as_py()) for i in order]
         exact = np.concatenate([p[0] for p in parts] or [np.empty(0)]).astype(np.float64)
         words = _MIDDLE[np.concatenate([p[1] for p in parts] or [np.empty(0, np.uint8)])]
-        levels = np.concatenate([p[2] for p in parts] or [np.empty(0, np.uint8)])[np.unique(block.keys(bits), return_inverse=True)[1]]
-        cuts = np.cumsum([len(g) for g in [*block.grams, *block.letter_grams]])[:-1]
-        counts = [_MIDDLE[x] for x in np.split(levels, cuts)]
-        own, spelt = counts[: len(block.grams)], counts[len(block.grams) :]
+        levels = np.concatenate([p[2] for p in parts] or [np.empty(0, np.uint8)])
+        counts = [_MIDDLE[levels[place]][inverse] for place, inverse in block.ngrams(bits)[2]]
+        own, spelt = counts[: len(WORD_K)], counts[len(WORD_K) :]
 
         # New words, by their letters.
         p = _back_off(np.full(len(block.letter_at), 1 / 257), spelt, block.letter_at, float(letters), float(tokens - ends), LETTER_K)
@@ -365,7 +376,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         # All places: words and ends.
         end = max((1 - unseen) * starts / max(mass, 1.0), unseen * 1e-9)
         here = np.full(len(at), len(words))
-        here[_places(n)[1]] = block.codes
+        here[block.inside] = block.codes
         first = np.append(start, end)[here]
         unigrams = np.append(words, starts)[here]
         own[0] = np.minimum(own[0], unigrams)
@@ -383,8 +394,8 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             "train_tokens": pa.array(np.full(len(n), tokens, dtype=np.int64)), "base_score": pa.array(_sums(np.log10((seen + ALPHA) / floor), n + 1)), "score": pa.array(_sums(np.log10(p), n + 1)),
         })
 
-    answers = _answers(asked, segments)
-    scored = blocks.select("block", "payload").groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    told = answers.where("block >= 0").select("block", "segment", "payload")
+    scored = blocks.select("block", "payload").groupBy("block").cogroup(told.groupBy("block")).applyInArrow(score, "id string, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
     return scored.select(F.col("id").cast(docs.schema[id_col].dataType).alias(id_col), *[c for c in scored.columns if c != "id"])
 
 
