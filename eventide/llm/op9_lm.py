@@ -293,11 +293,16 @@ def _read(payload: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarra
     return np.cumsum(words, dtype=np.uint64), n, np.cumsum(grams, dtype=np.uint32).astype(np.uint64), counts
 
 
-def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys with a count, and the sums of their counts."""
-    distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64)
-    return distinct[total > 0], total[total > 0]
+def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys of sorted lists, the sums of their counts, and the place of each listed key among them."""
+    listed = np.concatenate(keys)
+    order = np.argsort(listed, kind="stable")
+    ordered = listed[order]
+    new = np.diff(ordered, prepend=~ordered[:1]) != 0
+    place = np.empty(len(listed), dtype=np.int64)
+    place[order] = np.cumsum(new) - 1
+    distinct = ordered[new]
+    return distinct, np.bincount(place, weights=np.concatenate(counts), minlength=len(distinct)).astype(np.uint64), place
 
 
 def _answers(asked: DataFrame) -> DataFrame:
@@ -309,22 +314,19 @@ def _answers(asked: DataFrame) -> DataFrame:
     """
 
     def answer(table: pa.Table) -> pa.Table:
-        sent = table.column("payload").to_pylist()
-        parts = [_read(x) for x in sent]
-        words, n = _sum([p[0] for p in parts], [p[1] for p in parts])
-        grams, counts = _sum([p[2] for p in parts], [p[3] for p in parts])
+        parts = [_read(x) for x in table.column("payload").to_pylist()]
+        words, n, word = _sum([p[0] for p in parts], [p[1] for p in parts])
+        grams, counts, gram = _sum([p[2] for p in parts], [p[3] for p in parts])
+        cuts = [np.cumsum([len(p[k]) for p in parts])[:-1] for k in (0, 2)]
+        rest = [0] * len(parts)
         del parts
-        bloom = LogFrequencyBloom.of(np.concatenate([words, grams]), np.concatenate([n, counts]))
-        known, total = np.append(words, np.uint64(0)), np.append(n, np.uint64(0))
-        data = [bloom.data.tobytes()]
-        for payload in sent:
-            asked_words, _, asked_grams, _ = _read(payload)
-            at = np.searchsorted(words, asked_words)
-            data.append(_pack(np.where(known[at] == asked_words, total[at], np.uint64(0)), bloom.levels(asked_words), bloom.levels(asked_grams)))
-        rest = [0] * len(sent)
+        bloom = LogFrequencyBloom.of(np.concatenate([words[n > 0], grams[counts > 0]]), np.concatenate([n[n > 0], counts[counts > 0]]))
+        # Every distinct key is probed once, however many blocks ask for it.
+        told = zip(np.split(n[word], cuts[0]), np.split(bloom.levels(words)[word], cuts[0]), np.split(bloom.levels(grams)[gram], cuts[1]))
+        data = [bloom.data.tobytes(), *[_pack(*x) for x in told]]
         return pa.table({
             "block": pa.array([-1, *table.column("block").to_pylist()], pa.int64()), "segment": pa.array(table.column("segment")[:1].to_pylist() * len(data), pa.int32()),
-            "tokens": [int(n.sum()), *rest], "kinds": [len(n), *rest], "once": [int((n == 1).sum()), *rest], "mass": pa.array([_MIDDLE[_levels(n)].sum(), *rest], pa.float64()),
+            "tokens": [int(n.sum()), *rest], "kinds": [int((n > 0).sum()), *rest], "once": [int((n == 1).sum()), *rest], "mass": pa.array([_MIDDLE[_levels(n[n > 0])].sum(), *rest], pa.float64()),
             "payload": pa.array(data, pa.binary()),
         })
 
