@@ -21,8 +21,9 @@ Verification is exact: the smallest edit distance of the item to any part of
 the text around the candidate, by a bit-parallel dynamic programme, must be at
 most ``1 - similarity`` of the item's length.
 
-Items of fewer than ``MIN_WORDS`` words are found where exactly their words stand;
-items without words are in no text. Items may be repeated; each gives its rows.
+Items of fewer than ``MIN_WORDS`` words and ``LONG`` bytes are found where exactly
+their words stand, so a long item of a script without spaces is searched like
+others; items without words are in no text. Items may be repeated; each gives its rows.
 An item without an id gives rows with a null id; null texts are empty, an empty
 or null item text is in no text. Repeated rows each give a row, other columns
 are ignored; without items or texts there are no rows. Ids may have any type.
@@ -45,7 +46,7 @@ from .texts import map_texts
 from .work import materialize
 
 _TABLE = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
-SIMILARITY, TARGET_RECALL, MIN_WORDS = 0.8, 0.99, 5
+SIMILARITY, TARGET_RECALL, MIN_WORDS, LONG = 0.8, 0.99, 5, 40
 #: Steps of a window's walk, the most positions that a key samples, characters of a cell, and the least cells that a copy must keep.
 STEPS, SAMPLES, CELL, LEAST = 24, 10, 4, 4
 #: (samples, repetitions) to choose from, the most selective first; a key of fewer samples is a prefix of the whole key.
@@ -195,11 +196,11 @@ class CgkIndex:
     def __init__(self, items: list[tuple], recall: float = TARGET_RECALL, similarity: float = SIMILARITY, seed: int = 7) -> None:
         self.similarity, self.seed = similarity, seed
         clean = [(i, normalise(t)) for i, t in items]
-        self.items = [(i, t) for i, t in clean if t.count(b" ") >= MIN_WORDS - 1]
+        self.items = [(i, t) for i, t in clean if t.count(b" ") >= MIN_WORDS - 1 or len(t) >= LONG]
         self.short: dict[int, dict[tuple, list]] = {}
         for i, t in clean:
             words = tuple(t.split())
-            if 0 < len(words) < MIN_WORDS:
+            if 0 < len(words) < MIN_WORDS and len(t) < LONG:
                 self.short.setdefault(len(words), {}).setdefault(words, []).append(i)
         self.tables: list[tuple] = []
         if not self.items:

@@ -88,3 +88,14 @@ def test_kinds_of_items(spark):
     for size in (1, 4 << 20):
         kept = op4.decontaminate(df, bench, block_chars=size)
         assert kept.columns == df.columns and kept.count() == len(ODD) + 1
+
+
+def test_long_items_without_spaces(spark):
+    rnd = random.Random(5)
+    runs = ["".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(40)) for _ in range(12)]
+    edited = [r[:13] + "一" + r[14:27] + "二" + r[28:] for r in runs]
+    around = ["".join(chr(rnd.randrange(0x4E00, 0x9000)) for _ in range(90)) for _ in runs]
+    rows = [(i, a + e + a) for i, (a, e) in enumerate(zip(around, edited))] + [(100, around[0] * 2), (101, None)]
+    bench = spark.createDataFrame(list(enumerate(runs)), "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in op4.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(i, i) for i in range(len(runs))}
