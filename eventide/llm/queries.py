@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import op1_license, op2_shards, op3_chat, op4_decontam, op5_urls, op6_tokens, op7_quality, op8_simhash, op9_lm, op10_bpe
+from . import op1_license, op2_shards, op3_chat, op4_decontam, op5_urls, op6_tokens, op7_quality, op8_simhash, op9_lm, op10_bpe, op11_spelling, op12_runs, op13_topk
 
 QUERIES = {
     "op1_license_scan": op1_license.op1_license_scan,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_simhash": op8_simhash.op8_simhash,
     "op9_lm_score": op9_lm.op9_lm_score,
     "op10_byte_bpe": op10_bpe.op10_byte_bpe,
+    "op11_spelling_variants": op11_spelling.op11_spelling_variants,
+    "op12_periodic_runs": op12_runs.op12_periodic_runs,
+    "op13_exact_topk": op13_topk.op13_exact_topk,
 }
 
 ORACLES = {
@@ -23,4 +26,6 @@ ORACLES = {
     "op3_chat_format": op3_chat.oracle(),
     "op5_url_filter": op5_urls.oracle(),
     "op7_quality_rules": op7_quality.oracle(),
+    "op11_spelling_variants": op11_spelling.oracle(),
+    "op13_exact_topk": op13_topk.oracle(),
 }
