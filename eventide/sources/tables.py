@@ -64,7 +64,12 @@ def sweep(spark: SparkSession, since: int = 0, keep: tuple[DataFrame, ...] = ())
             _delete(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder of any store that Spark writes."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    delete(spark, path)
     _TABLES.remove(path)
