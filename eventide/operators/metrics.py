@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def profit_factor(x: Column) -> Column:
     gains, losses = F.coalesce(F.sum(F.when(x > 0, x)), F.lit(0.0)), F.abs(F.sum(F.when(x < 0, x)))
     return gains / F.coalesce(losses, F.lit(1e-10))
 
 
+#: The names of ``summary``.
+SUMMARY = ("n_events", "mean", "median", "std", "p25", "p75", "win_rate", "avg_gain", "avg_loss", "worst", "best", "total_return", "profit_factor", "avg_mfe", "avg_mae")
+
+
 def summary(col: str = "net_return_pct") -> list[Column]:
     """The aggregates of one return column, with its trades' excursions."""
     x = F.col(col)
@@ -25,6 +31,15 @@ def by(trades: DataFrame, *keys: str, col: str = "net_return_pct") -> DataFrame:
     return trades.groupBy(*keys).agg(*summary(col))
 
 
+def by_ranks(trades: DataFrame, *keys: str, col: str = "net_return_pct") -> DataFrame:
+    """``by`` for groups of any size: the median and the quartiles come from ranks, and no buffer holds a group's values."""
+    shares = {"median": 0.5, "p25": 0.25, "p75": 0.75}
+    sums = trades.groupBy(*keys).agg(*[c for c, n in zip(summary(col), SUMMARY) if n not in shares])
+    own = quantiles(trades, keys, col, shares).drop("n").withColumnsRenamed({k: f"__{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return sums.join(own, same, "left").select(*keys, *SUMMARY)
+
+
 def split_metrics(trades: DataFrame, col: str = "net_return_pct") -> DataFrame:
     """Every split and the full sample, per horizon, in one pass; the full sample is split ``all``."""
     x = F.col(col)

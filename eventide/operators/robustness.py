@@ -8,6 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .ranks import Ranks
+from .trades import HORIZONS
+
 
 def bootstrap_ci(returns: np.ndarray, n: int = 10_000, ci: float = 0.95, seed: int = 42) -> dict:
     """Percentile interval of the mean by resampling; no returns give zeros."""
@@ -75,6 +78,31 @@ def leave_one_out(trades: DataFrame, part: str, col: str = "forward_return", par
     return per.select(F.col(part).alias("excluded"), "horizon", left.alias("n_events"), F.coalesce(rest / F.nullif(left, F.lit(0)), F.lit(0.0)).alias("mean_return"))
 
 
+def leave_one_out_ranked(trades: DataFrame, parts: Column, cells: DataFrame, measures: tuple[str, ...] = ("net_return_pct", "incremental_edge_net"), horizons: tuple[int, ...] = HORIZONS) -> DataFrame:
+    """n, mean and median of every measure without each part: sums for the mean, ranks for the median, nothing computed again.
+
+    ``parts`` is an array: a trade that belongs to several parts (the years of
+    its signal, entry and exit) is left out with each of them. ``cells`` has the
+    parts as ``excluded``, with or without trades. Nothing left gives zeros.
+    """
+    values = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("x")) for m in measures])).alias("v")
+    long = trades.select("horizon", parts.alias("parts"), values).select("horizon", "parts", "v.measure", "v.x").where("x is not null")
+    keys = ["horizon", "measure"]
+    every = cells.select("excluded").distinct().withColumn("horizon", F.explode(F.array(*map(F.lit, horizons)))).withColumn("measure", F.explode(F.array(*map(F.lit, measures))))
+    medians = Ranks(long, keys, "x", "parts").without_parts(every, "excluded")
+    own = long.select(*keys, "x", F.explode(F.array_distinct("parts")).alias("excluded")).groupBy(*keys, "excluded").agg(F.sum("x").alias("own"))
+    total = long.groupBy(*keys).agg(F.sum("x").alias("total"))
+    out = medians.join(total, keys, "left").join(own, [*keys, "excluded"], "left")
+    rest = F.col("total") - F.coalesce("own", F.lit(0.0))
+    zero = F.lit(0.0)
+    return out.select("excluded", "horizon", "measure", F.col("n").alias("n_events"), F.when(F.col("n") > 0, rest / F.col("n")).otherwise(zero).alias("mean"), F.coalesce("median", zero).alias("median"))
+
+
+def trade_years() -> Column:
+    """The years that a trade touches: of its signal, its entry and its exit."""
+    return F.array(*[F.year(c) for c in ("signal_date", "entry_date", "exit_date")])
+
+
 def concentration(trades: DataFrame, col: str | None = None, part: str = "ticker") -> DataFrame:
     """Shares of the best trade, three trades and part in the total, with a status for totals of 0 or less.
 

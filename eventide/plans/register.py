@@ -39,21 +39,21 @@ EXACT = (
 WITHOUT = "instrument_resolution list_instruments period_counts list_contracts contract_resolution trend_regime vol_regime fx_gap_report rule_and rule_not_equal_null cooldown mfe_mae_dates split_time split_events boundary_purge walk_forward embargo regime_histogram quality_issues".split()
 
 
-def rounded(name: str, sql: str, digits: int) -> str:
+def rounded(name: str, sql: str, digits: int, exact: str = "") -> str:
     if name in WITHOUT:
         return sql
-    names = ", ".join(f"'{c}'" for c in EXACT)
+    names = ", ".join(f"'{c}'" for c in [*EXACT, *exact.split()])
     return f"SELECT COLUMNS(lambda c: c IN ({names})), round(COLUMNS(lambda c: c NOT IN ({names})), {digits}) FROM ({sql})"
 
 
-def query(name: str, ctes: str | None = None, select: str | None = None, digits: int = 6):
-    """Registers a query; the SQL rounds the same doubles."""
+def query(name: str, ctes: str | None = None, select: str | None = None, digits: int = 6, exact: str = ""):
+    """Registers a query; the SQL rounds the same doubles. ``exact`` names further columns that are none."""
 
     def deco(f):
         QUERIES[name] = lambda spark, d: neat(f(spark, d), digits)
         if select:
             body = f"WITH RECURSIVE {ctes}{select}" if select.startswith(",") else f"WITH RECURSIVE {ctes}\n{select}"
-            ORACLES[name] = rounded(name, body, digits)
+            ORACLES[name] = rounded(name, body, digits, exact)
         return f
 
     return deco
