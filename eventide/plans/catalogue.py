@@ -6,13 +6,15 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from eventide.operators import baselines, metrics, ranks, robustness, trades
+from eventide.functions import features as ft
+from eventide.functions import scans
+from eventide.operators import baselines, events, metrics, ranks, robustness
 from eventide.sources import cache, intervals, landed
 from eventide.sources import market as src
 from eventide.sources.tables import shared_dir
 
 from . import sqltext as s
-from .register import ORACLES, QUERIES, WITHOUT, canon, features, per_event, query, valid
+from .register import ORACLES, QUERIES, WITHOUT, features, per_event, query, valid
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -140,3 +142,43 @@ def _(spark, d):
     """A trade is left out with the years of its signal, its entry and its exit."""
     years = src.bars(spark, d).select(F.year("session").alias("excluded"))
     return robustness.leave_one_out_ranked(_edged(spark, d), robustness.trade_years(), years)
+
+
+# --- running sums and scans ------------------------------------------------------------
+
+_LENGTHS = (2, 5, 20, 60, 120, 200)
+
+
+def _direct(n: int) -> str:
+    mean, std = s.full("close", n, "avg"), s.full("close", n, "stddev_samp")
+    return f"SELECT ticker, session, {n} AS length, {mean} AS mean, {std} AS std, (close - ({mean})) / nullif({std}, 0) AS zscore FROM pb"
+
+
+@query("length_grid", f"{s.BARS},\n{s.POS}", " UNION ALL ".join(map(_direct, _LENGTHS)), 5, exact="length")
+def _(spark, d):
+    return scans.length_grid(src.bars(spark, d), "close", _LENGTHS)
+
+
+_MEANS, _CHANGES, _DROPS = (60, 120, 200), (3, 10), (-0.05, -0.02)
+_CELLS_OF = [(f"sma {m} change {c} < {x}", m, c, x) for m in _MEANS for c in _CHANGES for x in _DROPS]
+_WINDOWS = f"{s.BARS},\n{s.POS},\nfeat AS (SELECT ticker, session, pos, close, {', '.join(f'{s.full("close", m, "avg")} AS sma_{m}' for m in _MEANS)}, {', '.join(f'close / {s.lag("close", c)} - 1 AS change_{c}' for c in _CHANGES)} FROM pb)"
+_GRIDS = ",\n".join([_WINDOWS] + [s.kept(f"close > sma_{m} AND change_{c} < {x}", 15, f"k{i}") for i, (_, m, c, x) in enumerate(_CELLS_OF)] + [f"fr AS (SELECT ticker, pos, ({s.lead('close', 5)} / close - 1) * 100 AS ret FROM feat)"])
+
+
+@query("window_length_grid", _GRIDS, " UNION ALL ".join(f"SELECT '{n}' AS cell, (SELECT count(*) FROM sig_k{i})::BIGINT AS n_signals, (SELECT count(*) FROM k{i})::BIGINT AS n_events, (SELECT avg(ret) FROM k{i} JOIN fr USING (ticker, pos)) AS metric" for i, (n, *_) in enumerate(_CELLS_OF)), exact="n_signals n_events")
+def _(spark, d):
+    """Rules over several lengths of means and changes, every length from the same running sums."""
+    bars = scans.add_lengths(ft.add_positions(src.bars(spark, d)), "close", _MEANS, _CHANGES)
+    cells = [(n, [events.Rule(f"above_sma_{m}", "==", 1.0), events.Rule(f"change_{c}", "<", x)]) for n, m, c, x in _CELLS_OF]
+    return events.grid(bars, cells, 15, "close")
+
+
+@query("ema_scan", f"{s.BARS},\n{s.POS}", f"SELECT ticker, session, {s.ema('close', 9)} AS ema_9, {s.ema('close', 26, 400)} AS ema_26 FROM pb", 3)
+def _(spark, d):
+    one = scans.add_ema_scan(src.bars(spark, d), "close", 9, "ema_9")
+    return scans.add_ema_scan(one, "close", 26, "ema_26").select("ticker", "session", "ema_9", "ema_26")
+
+
+@query("macd_scan", f"{s.BARS},\n{s.POS},\nm AS (SELECT *, {s.ema('close', 12)} - {s.ema('close', 26, 400)} AS macd FROM pb),\nm2 AS (SELECT *, {s.ema('macd', 9)} AS macd_signal FROM m)", "SELECT ticker, session, macd, macd_signal, macd - macd_signal AS macd_hist FROM m2", 3)
+def _(spark, d):
+    return scans.add_macd_scan(src.bars(spark, d)).select("ticker", "session", "macd", "macd_signal", "macd_hist")
