@@ -45,8 +45,10 @@ CROWD = 64
 BROADCAST_ROWS = 1_000_000
 #: Distinct fingerprints that one task expands.
 TASK_ROWS = 50_000
-#: Min-wise keys: texts at Jaccard similarity 0.8 share one of the bands with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.9996.
-BANDS, ROWS = 20, 5
+#: Sets and bytes of a block of a crowded key, and elements that two blocks are compared by at once.
+BLOCK_SETS, BLOCK_BYTES, COLUMNS = 256, 4 << 20, 2048
+#: Min-wise keys: texts at Jaccard similarity 0.8 share one of the bands with probability 1 - (1 - 0.8 ** ROWS) ** BANDS = 0.999997.
+BANDS, ROWS = 24, 4
 _FACTORS = np.random.default_rng(5).integers(0, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -211,14 +213,105 @@ def _verified(pairs: DataFrame, grams: DataFrame, similarity: float) -> DataFram
     return found
 
 
+def _pick_links(a: np.ndarray, b: np.ndarray) -> list[int]:
+    """Places of the links (a, b) between roots that hold all of their components together: no two roots are joined twice."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while parent.setdefault(x, x) != x:
+            parent[x] = x = parent[parent[x]]
+        return x
+
+    kept = []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+        x, y = find(x), find(y)
+        if x != y:
+            parent[x] = y
+            kept.append(k)
+    return kept
+
+
+def _shared(first: list[np.ndarray], second: list[np.ndarray]) -> np.ndarray:
+    """How many elements every set of ``first`` shares with every one of ``second``."""
+    owners = [np.repeat(np.arange(len(x)), [len(g) for g in x]) for x in (first, second)]
+    grams = [np.concatenate([*x, np.empty(0, np.uint64)]) for x in (first, second)]
+    common = np.intersect1d(*grams)
+    out = np.zeros((len(first), len(second)), dtype=np.float32)
+    placed = []
+    for own, g in zip(owners, grams):
+        at = np.searchsorted(common, g)
+        hit = at < len(common)
+        hit[hit] = common[at[hit]] == g[hit]
+        at, own = at[hit], own[hit]
+        order = np.argsort(at, kind="stable")
+        placed.append((at[order], own[order]))
+    for start in range(0, len(common), COLUMNS):
+        parts = []
+        for (at, own), n in zip(placed, out.shape):
+            x, y = np.searchsorted(at, [start, start + COLUMNS])
+            m = np.zeros((n, COLUMNS), dtype=np.float32)
+            m[own[x:y], at[x:y] - start] = 1
+            parts.append(m)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def _block_links(rows: DataFrame, grams: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) between sets of different roots that share a key, by blocks: links that hold all of them together.
+
+    ``rows`` has key, whole, size and root. A key's sets are put in order of
+    size into classes whose sizes differ by the similarity at most; a class is
+    cut into blocks, and every two blocks of a class or of neighbouring ones
+    meet in a task, which counts shared elements by a product of two tables
+    and sends links between roots only. No pair is left out and none is a row.
+    """
+    base = -np.log(similarity) * (1 + 1e-9)
+    rows = rows.withColumn("class", F.floor(F.log("size") / F.lit(float(base))).cast("int"))
+    sizes = rows.groupBy("key", "class").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("size") * 8 / BLOCK_BYTES)).cast("int").alias("blocks"))
+    sizes = materialize(sizes, "classes")
+    after = sizes.select("key", (F.col("class") - 1).alias("class"), F.col("blocks").alias("after"))
+    before = sizes.select("key", (F.col("class") + 1).alias("class"), F.col("blocks").alias("before"))
+    placed = rows.join(sizes.join(after, ["key", "class"], "left").join(before, ["key", "class"], "left"), ["key", "class"])
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("whole"), F.col("blocks")).cast("int")).join(grams, "whole")
+
+    def units(offset: int, n: Column) -> Column:
+        found = F.transform(F.sequence(F.lit(0), n - 1), lambda x: F.struct((F.col("class") + offset).alias("class"), x.cast("int").alias("block")))
+        return F.when(n > 0, found).otherwise(F.array().cast("array<struct<class:int,block:int>>"))
+
+    own = F.struct("class", "block")
+    same = units(0, F.col("blocks"))
+    first = placed.withColumn("other", F.explode(F.concat(F.filter(same, lambda u: u["block"] >= F.col("block")), units(1, F.coalesce("after", F.lit(0))))))
+    second = placed.withColumn("other", F.explode(F.concat(F.filter(same, lambda u: u["block"] <= F.col("block")), units(-1, F.coalesce("before", F.lit(0))))))
+    sides = [(0, first, own, F.col("other")), (1, second, F.col("other"), own)]
+    both = [df.select(F.lit(side).alias("side"), "key", x.alias("x"), y.alias("y"), "whole", "root", "grams") for side, df, x, y in sides]
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table.column("side").to_numpy()
+        whole, root = (table.column(c).to_numpy() for c in ("whole", "root"))
+        data = [np.frombuffer(g, dtype=np.uint64) for g in table.column("grams").to_pylist()]
+        at = [np.flatnonzero(side == k) for k in (0, 1)]
+        one, two = ([data[i] for i in x.tolist()] for x in at)
+        n, m = (np.array([len(g) for g in x], dtype=np.float64) for x in (one, two))
+        both = _shared(one, two).astype(np.float64)
+        near = both >= similarity * (n[:, None] + m[None, :] - both) - 1e-9
+        near &= root[at[0]][:, None] != root[at[1]][None, :]
+        i, j = np.nonzero(near)
+        a, b = at[0][i], at[1][j]
+        kept = _pick_links(root[a], root[b])
+        a, b = whole[a[kept]], whole[b[kept]]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b)})
+
+    return materialize(both[0].unionByName(both[1]).groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct(), "block_links")
+
+
 def jaccard_links(sets: DataFrame, grams: Callable[[DataFrame], DataFrame], similarity: float, crowd: int = CROWD) -> DataFrame:
     """(a, b) rows that hold the components of distinct sets (whole, size, keys) at ``similarity``.
 
     Sets that share a key are candidates, and every link is verified. First
-    each set is held against one of each of its keys, drawn by hash; then, for
+    each set is held against one of each of its keys, drawn by hash. Then, for
     keys whose sets are not yet in one component, every pair that is still
-    apart. Keys of more than ``crowd`` sets are held against a second one
-    instead of pairs.
+    apart: as pairs where a key has few sets, and in blocks (``_block_links``)
+    where it has more than ``crowd``, after another draw that only spares work.
     """
     keyed = sets.select("whole", "size", F.explode("keys").alias("key"))
     sizes = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
@@ -235,19 +328,28 @@ def jaccard_links(sets: DataFrame, grams: Callable[[DataFrame], DataFrame], simi
     def pairs(rows: DataFrame, a: Column, m: Column, b: Column, n: Column) -> DataFrame:
         return rows.where(F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
+    def apart(rows: DataFrame, links: DataFrame) -> DataFrame:
+        """``rows`` of the keys whose sets are in several components, with their ``root``."""
+        labels = materialize(connected_components(links, "a", "b"), "labels")
+        named = rows.join(labels.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("component", "whole")).drop("component")
+        named = materialize(named, "named")
+        split = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
+        return materialize(named.join(split, "key"), "left")
+
     tried = materialize(stars(shared, 0), "tried")
     found = _verified(tried, grams(tried), similarity)
-    labels = materialize(connected_components(found, "a", "b"), "labels")
-    named = shared.join(labels.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("component", "whole")).drop("component")
-    named = materialize(named, "named")
-    split = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
-    left = materialize(named.join(split, "key"), "left")
-    few = left.where(F.col("n") <= crowd)
+    left = apart(shared, found)
+    few, many = left.where(F.col("n") <= crowd), left.where(F.col("n") > crowd)
     other = few.select("key", F.col("whole").alias("w"), F.col("size").alias("s"), F.col("root").alias("r"))
     rest = pairs(few.join(other, "key").where("whole < w and root <> r"), F.col("whole"), F.col("size"), F.col("w"), F.col("s"))
-    rest = rest.unionByName(stars(left.where(F.col("n") > crowd), 1, "root")).distinct().join(tried, ["a", "b"], "left_anti")
+    rest = rest.unionByName(stars(many, 1, "root")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
-    return found.unionByName(_verified(rest, grams(rest), similarity))
+    found = found.unionByName(_verified(rest, grams(rest), similarity))
+    still = apart(many.drop("root"), found)
+    if still.isEmpty():
+        return found
+    named = grams(still.select(F.col("whole").alias("a"), F.col("whole").alias("b")).distinct())
+    return found.unionByName(_block_links(still.select("key", "whole", "size", "root"), named, similarity))
 
 
 def _alike(rows: DataFrame, docs: DataFrame, text_col: str, width: int, similarity: float) -> DataFrame:

@@ -60,7 +60,7 @@ def test_near_copies(spark, sf):
 
 @pytest.mark.parametrize("crowd", [2, 64])
 def test_crowded_keys(spark, monkeypatch, crowd):
-    """One large group; keys over the crowd are held against two of their sets."""
+    """One large group, where keys over the crowd need no more than two draws."""
     rnd = random.Random(4)
     words = [f"w{i}" for i in range(150)]
     rows = [(i, edited(rnd, words, rnd.randint(0, 2))) for i in range(300)] + [(1000 + i, edited(rnd, words[::-1], rnd.randint(0, 2))) for i in range(20)]
@@ -69,6 +69,43 @@ def test_crowded_keys(spark, monkeypatch, crowd):
     assert kept(df, spark) == survivors(rows) == [(False, 0), (False, 1000)]
 
 
+def of_template(rnd, clusters, per, words=120):
+    """Rows of one text in clusters: a word of the cluster's and one of the row's are changed."""
+    rows = []
+    for c in range(clusters):
+        own = [f"w{i}" for i in range(words)]
+        own[rnd.randrange(words)] = f"c{c}"
+        for k in range(per):
+            row = list(own)
+            row[rnd.randrange(words)] = f"r{c}_{k}"
+            rows.append((len(rows), " ".join(row)))
+    return rows
+
+
+@pytest.mark.parametrize("crowd, block", [(64, 256), (1, 16)])
+def test_every_key_crowded(spark, monkeypatch, crowd, block):
+    """Hundreds of sets share every key, most pairs are just below the similarity, and chains of links hold them together."""
+    monkeypatch.setattr(op8_simhash.jaccard_links, "__defaults__", (crowd,))
+    monkeypatch.setattr(op8_simhash, "BLOCK_SETS", block)
+    for clusters, per, seed in ((200, 2, 2),) if crowd > 1 else ((60, 2, 3),):
+        rows = of_template(random.Random(seed), clusters, per)
+        # Shorter rows of the same text: neighbouring classes of size.
+        rows += [(5000 + i, " ".join(t.split()[: 119 - i])) for i, (_, t) in enumerate(rows[:40])]
+        assert kept(spark.createDataFrame(rows, "doc_id long, text string"), spark) == survivors(rows)
+
+
+def test_shared_elements():
+    import numpy as np
+
+    rnd = np.random.default_rng(1)
+    one, two = ([np.unique(rnd.integers(0, 300, rnd.integers(0, 200))).astype(np.uint64) for _ in range(n)] for n in (9, 7))
+    monkey = op8_simhash._shared(one, two)
+    assert (monkey == [[len(np.intersect1d(a, b)) for b in two] for a in one]).all()
+    assert op8_simhash._shared([], two).shape == (0, 7) and op8_simhash._shared(one, [np.empty(0, np.uint64)]).sum() == 0
+    a, b = np.array([1, 2, 1, 3, 4]), np.array([2, 3, 3, 1, 5])
+    assert op8_simhash._pick_links(a, b) == [0, 1, 4]
+
+
 def test_copies_at_the_full_edit_budget(sf):
     """Items with a fifth of their characters edited, in the midst of other text."""
     import pyarrow.parquet as pq
