@@ -1,12 +1,15 @@
 """Quality rules: thresholds that adapt to each language and source.
 
 Each text gives four integer ratios. A mergeable quantile sketch per (language,
-source, ratio) holds counts in log-linear bins: bins are exact below 64 and
-1/32 wide above, so two sketches merge by adding counts, in any order and
-partitioning, with the same result. A ratio's fence is a quantile of the group
-(``level`` in a hundred), plus or minus ``spread`` times its distance from the median;
-the fences are joined to the rows. ``RESOLUTION`` only keeps a group whose quantile is
-its median from rejecting the next larger value.
+source, ratio) holds counts in log-linear bins: bins are exact below 1024 and
+1/512 wide above, so two sketches merge by adding counts, in any order and
+partitioning, with the same result. What a group usually has reaches from its
+lower to its upper quartile, and beyond by ``spread`` times their distance from
+the median; so junk moves it only from a quarter of the group on. That is the
+fence of a ratio without bound. A share of characters, lines or words ends at
+all of them: its fence lies a part of the way from the usual values to that
+end, and below it in every group. The fences are joined to the rows. ``RESOLUTION``
+only keeps a group whose quartile is its median from rejecting the next value.
 
 Every quantile of a group is a mean of its own and of its language's, weighted
 with the group's rows and ``SHRINK``; a language's leans on all texts' likewise. So
@@ -32,16 +35,20 @@ from .work import materialize
 #: Fixed values of the base rules.
 SYMBOLS = b"#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Ratio: (expression, sides that are fenced, level, spread). Junk of up to 100 - level in a hundred of a group does not move its own fence.
+#: Ratio: (expression, sides that are fenced, spread, most it can be, part of the way to that).
 RATIOS = {
-    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", "both", 95, 3),
-    "symbols": ("n_symbols * 10000 div greatest(n_words, 1)", "high", 90, 1),
-    "dup_lines": ("n_dup_lines * 10000 div greatest(n_lines, 1)", "high", 99, 1),
-    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", "high", 99, 1),
+    "word_length": ("word_chars * 1000 div greatest(n_words, 1)", "both", 11, None, None),
+    "symbols": ("n_symbols * 10000 div greatest(word_chars, 1)", "high", 3, 10000, 16),
+    "dup_lines": ("n_dup_lines * 10000 div greatest(n_lines, 1)", "high", 1, 10000, 4),
+    "repeats": ("n_repeat_words * 10000 div greatest(n_words, 1)", "high", 1, 10000, 4),
 }
-#: Quantile levels of the sketches; a fence's low level is 100 - level.
-LEVELS = (5, 50, 90, 95, 99)
+#: Quantile levels of the sketches. Junk of under a quarter of a group does not reach the upper one.
+LEVELS = (25, 50, 75)
+#: A group's usual values of a ratio with a most are so many tenths of it at most.
+USUAL = 9
 RESOLUTION, SHRINK = 100, 100
+#: Bins of the sketches an octave.
+FINE = 512
 
 
 def text_counts(texts: list[bytes]) -> dict[str, pa.Array]:
@@ -82,7 +89,7 @@ def _bin(x: Column) -> Column:
     out = x
     for k in range(1, 42):
         step = F.lit(1 << k)
-        out = F.when(x >= F.lit(32 << k), (x - x % step).cast("long")).otherwise(out)
+        out = F.when(x >= F.lit(FINE << k), (x - x % step).cast("long")).otherwise(out)
     return out
 
 
@@ -119,10 +126,13 @@ def fences(rows: DataFrame, lang_col: str, source_col: str) -> DataFrame:
     own = quantiles(fine, [lang_col, source_col], LEVELS).select(lang_col, source_col, "ratio", q.alias("__own"))
     own = own.join(lang, own[lang_col].eqNullSafe(lang["__l"]) & (F.col("ratio") == F.col("__rl"))).select(lang_col, source_col, "ratio", _shrunk("__own", "__wide").alias("q"))
     aggs = []
-    middle = F.col(f"q.q{LEVELS.index(50) + 1}")
-    for k, (_, sides, level, spread) in RATIOS.items():
-        high, low = F.col(f"q.q{LEVELS.index(level) + 1}"), F.col(f"q.q{LEVELS.index(100 - level) + 1}") if sides == "both" else middle
-        aggs.append(F.max(F.when(F.col("ratio") == k, high + F.greatest((high - middle) * spread, F.lit(RESOLUTION)))).alias(f"{k}_high"))
+    low, middle, high = (F.col(f"q.q{k}") for k in range(1, len(LEVELS) + 1))
+    for k, (_, sides, spread, most, way) in RATIOS.items():
+        up = high + F.greatest((high - middle) * spread, F.lit(RESOLUTION))
+        if most:
+            up = F.least(up, F.lit(most * USUAL // 10))
+            up = up + F.floor((F.lit(most) - up) / way)
+        aggs.append(F.max(F.when(F.col("ratio") == k, up)).alias(f"{k}_high"))
         if sides == "both":
             aggs.append(F.max(F.when(F.col("ratio") == k, low - F.greatest((middle - low) * spread, F.lit(RESOLUTION)))).alias(f"{k}_low"))
     return own.groupBy(lang_col, source_col).agg(*aggs)
@@ -172,7 +182,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    bins = "CASE " + " ".join(f"WHEN x >= {32 << k} THEN x - x % {1 << k}" for k in range(41, 0, -1)) + " ELSE x END"
+    bins = "CASE " + " ".join(f"WHEN x >= {FINE << k} THEN x - x % {1 << k}" for k in range(41, 0, -1)) + " ELSE x END"
     ratios = " UNION ALL ".join(f"SELECT rid, lang, source, '{k}' AS ratio, ({e.replace('div', '//')})::BIGINT AS x FROM c" for k, (e, *_) in RATIOS.items())
 
     def quant(by: str) -> str:
@@ -185,11 +195,13 @@ def oracle() -> str:
     def drawn(own: str, wide: str) -> str:
         return f"list_transform(range(1, {len(LEVELS) + 1}), lambda i: ({own}.total * {own}.q[i] + {SHRINK} * {wide}.q[i]) // ({own}.total + {SHRINK}))"
 
-    at = {x: f"q[{i}]" for i, x in enumerate(LEVELS, 1)}
+    def high(spread: int, most: int | None, way: int | None) -> str:
+        up = f"(q[3] + greatest((q[3] - q[2]) * {spread}, {RESOLUTION}))"
+        return f"(least({up}, {most * USUAL // 10}) + ({most} - least({up}, {most * USUAL // 10})) // {way})" if most else up
+
     bad = " OR ".join(
-        f"ratio = '{k}' AND (x > {at[level]} + greatest(({at[level]} - {at[50]}) * {spread}, {RESOLUTION})"
-        + (f" OR x < {at[100 - level]} - greatest(({at[50]} - {at[100 - level]}) * {spread}, {RESOLUTION})" if sides == "both" else "") + ")"
-        for k, (_, sides, level, spread) in RATIOS.items()
+        f"ratio = '{k}' AND (x > {high(spread, most, way)}" + (f" OR x < q[1] - greatest((q[2] - q[1]) * {spread}, {RESOLUTION})" if sides == "both" else "") + ")"
+        for k, (_, sides, spread, most, way) in RATIOS.items()
     )
     return f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, lang, source, coalesce(text, '') AS t FROM documents),

@@ -15,8 +15,9 @@ The filter grows with the corpus, so it is no broadcast: it is cut by the
 n-grams' hash into segments of about ``SEGMENT_ENTRIES`` entries, as many as
 the counted tokens ask for. A block of texts sends its distinct n-grams once to
 the segments, which add them up, fill their filters, probe them and send levels
-back. Orders are the same at every size. A frequent n-gram is one entry a
-block, so no key is hot.
+back; a filter lives in its segment's task and is not written. Orders are the
+same at every size. A frequent n-gram is one entry a block in its segment, not
+one an occurrence.
 
 ``score`` sums to one over the next token up to quantisation (a context's level
 against those of its followers) and false hits. Tokens are told apart by
@@ -308,8 +309,7 @@ def _sum(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray,
 def _answers(asked: DataFrame) -> DataFrame:
     """(block, segment, tokens, kinds, once, mass, payload): every segment's filter, and what it says to each block.
 
-    The filter's row has block -1, the sums of its words, and as payload its
-    bits; a block's row has exact counts and levels of its words and levels of
+    The filter's row has block -1 and the sums of its words; a block's row has exact counts and levels of its words and levels of
     its n-grams. Both come from one gathering of the blocks' n-grams.
     """
 
@@ -323,7 +323,7 @@ def _answers(asked: DataFrame) -> DataFrame:
         bloom = LogFrequencyBloom.of(np.concatenate([words[n > 0], grams[counts > 0]]), np.concatenate([n[n > 0], counts[counts > 0]]))
         # Every distinct key is probed once, however many blocks ask for it.
         told = zip(np.split(n[word], cuts[0]), np.split(bloom.levels(words)[word], cuts[0]), np.split(bloom.levels(grams)[gram], cuts[1]))
-        data = [bloom.data.tobytes(), *[_pack(*x) for x in told]]
+        data = [b"", *[_pack(*x) for x in told]]
         return pa.table({
             "block": pa.array([-1, *table.column("block").to_pylist()], pa.int64()), "segment": pa.array(table.column("segment")[:1].to_pylist() * len(data), pa.int32()),
             "tokens": [int(n.sum()), *rest], "kinds": [int((n > 0).sum()), *rest], "once": [int((n == 1).sum()), *rest], "mass": pa.array([_MIDDLE[_levels(n[n > 0])].sum(), *rest], pa.float64()),
@@ -372,8 +372,9 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         # New words, by their letters.
         p = _back_off(np.full(len(block.letter_at), 1 / 257), spelt, block.letter_at, float(letters), float(tokens - ends), LETTER_K)
         spell = _sums(np.log10(p), block.length + 1)
-        with np.errstate(under="ignore"):
-            start = np.where(words > 0, (1 - unseen) * words / max(mass, 1.0), unseen * 10.0 ** np.maximum(spell, -280))
+        # A new word's counts are zero in every order, so its spelling is a factor of its probability and joins as a logarithm, however long the word.
+        start = np.where(words > 0, (1 - unseen) * words / max(mass, 1.0), unseen)
+        spelt_log = np.append(np.where(words > 0, 0.0, spell), 0.0)
 
         # All places: words and ends.
         end = max((1 - unseen) * starts / max(mass, 1.0), unseen * 1e-9)
@@ -393,7 +394,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             upto += max(x, 0)
         return pa.table({
             "id": pa.array(ids, pa.string()), "held_out": pa.array(~block.train), "n_tokens": pa.array(n + 1), "n_known": pa.array(_sums((seen > 0).astype(np.float64), n + 1).astype(np.int64)),
-            "train_tokens": pa.array(np.full(len(n), tokens, dtype=np.int64)), "base_score": pa.array(_sums(np.log10((seen + ALPHA) / floor), n + 1)), "score": pa.array(_sums(np.log10(p), n + 1)),
+            "train_tokens": pa.array(np.full(len(n), tokens, dtype=np.int64)), "base_score": pa.array(_sums(np.log10((seen + ALPHA) / floor), n + 1)), "score": pa.array(_sums(np.log10(p) + spelt_log[here], n + 1)),
         })
 
     told = answers.where("block >= 0").select("block", "segment", "payload")

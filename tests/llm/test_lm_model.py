@@ -84,3 +84,21 @@ def test_text_ids_keep_their_letters(spark):
 def test_model_leads_base_on_held_out(spark, table):
     r = op9_lm.score_texts(spark.read.parquet(f"/root/testdata/{table}/documents.parquet")).where("held_out").agg(F.sum("score").alias("m"), F.sum("base_score").alias("b")).first()
     assert r["m"] > r["b"]
+
+
+def test_long_new_words_cost_by_length(spark):
+    """A new word of any length is spelled to its end: no floor, and about the same for each letter."""
+    import random
+
+    rnd = random.Random(6)
+    held = [i for i in range(1000, 4000) if zlib.crc32(str(i).encode()) % 10 == 0]
+    sizes = [50, 100, 200, 400, 1000, 10_000, 100_000]
+    long = {i: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz0123456789", k=n)) for i, n in zip(held, sizes)}
+    rows = [*enumerate(TEXTS), *long.items()]
+    got = {r["doc_id"]: r["score"] for r in op9_lm.score_texts(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    each = [got[i] / n for i, n in zip(held, sizes)]
+    assert all(np.isfinite(each)) and max(each) < min(each) * 0.9 < 0
+    # The score is the letters' and the end's: a word twice in a text costs twice.
+    twice = op9_lm.score_texts(spark.createDataFrame([*enumerate(TEXTS), (held[0], long[held[3]]), (held[1], f"{long[held[3]]} {long[held[3]]}")], "doc_id long, text string")).collect()
+    one, two = (next(r["score"] for r in twice if r["doc_id"] == i) for i in held[:2])
+    assert abs(two - 2 * one) < 12

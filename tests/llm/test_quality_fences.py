@@ -1,5 +1,8 @@
 """The fences follow each group's own distribution."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from eventide.llm import op7_quality as op7
@@ -15,12 +18,44 @@ def bounds(spark, groups):
 def test_unlike_groups_get_unlike_fences(spark):
     code, prose = [i % 900 for i in range(3000)], [i % 90 for i in range(3000)]
     got = bounds(spark, [("en", "code", code), ("en", "prose", prose)])
-    for k, (_, _, level, spread) in op7.RATIOS.items():
+    for k, (_, _, spread, most, way) in op7.RATIOS.items():
         a, b = got["en", "code"][f"{k}_high"], got["en", "prose"][f"{k}_high"]
-        assert a > 4 * b
-        # Within a bin and the pull of the language: the quantile and its distance from the median.
-        want = 9 * level + spread * (9 * level - 450)
-        assert abs(a - want) < 0.15 * want
+        # Within a bin and the pull of the language: the quartile and its distance from the median, and for shares a part of the rest.
+        want = 675 + spread * 225
+        want += (most - want) / way if most else 0
+        assert a > b and abs(a - want) < 0.15 * want
+
+
+def text_of(rnd, kind):
+    """Sixty words in ten lines, with one kind of junk."""
+    word = lambda n=0: "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=n or rnd.randint(3, 7)))
+    words = [word(24) if kind == "word_length" and rnd.random() < 0.6 else word() for _ in range(70)]
+    if kind == "symbols":
+        words = [w + rnd.choice(["##", "$$", "|"]) for w in words]
+    if kind == "repeats":
+        words = [*words[:46], *words[:12], *words[46:]]
+    lines = [" ".join(words[i : i + 7]) for i in range(0, len(words), 7)]
+    if kind == "dup_lines":
+        lines += ["ok"] * len(lines)
+        rnd.shuffle(lines)
+    return "\n".join(lines)
+
+
+@pytest.mark.parametrize("kind", list(op7.RATIOS))
+@pytest.mark.parametrize("background", [0, 60])
+def test_each_ratio_alone_rejects_its_junk(spark, kind, background):
+    """With a fifth of the group as junk of that kind, or with a single row of it."""
+    rnd = random.Random(7)
+    rows = [(i, text_of(rnd, None), "en", "web") for i in range(240)] + [(1000 + i, text_of(rnd, kind), "en", "web") for i in range(background + 1)]
+    out = op7.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert not any(r["base_failed"] for r in out)
+    assert {r["doc_id"] for r in out if not r["kept"]} == {1000 + i for i in range(background + 1)}
+
+
+def test_every_fence_of_a_share_can_be_passed(spark):
+    got = bounds(spark, [("en", "all", [10000] * 500), ("de", "most", [9000] * 300 + [9900] * 200), ("fr", "none", [0] * 500)])
+    for r in got.values():
+        assert all(2500 <= r[f"{k}_high"] < 10000 for k in ("dup_lines", "repeats")) and r["symbols_high"] < 10000
 
 
 def test_small_groups_lean_on_their_language(spark):
