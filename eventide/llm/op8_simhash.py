@@ -328,24 +328,30 @@ def jaccard_links(sets: DataFrame, grams: Callable[[DataFrame], DataFrame], simi
     def pairs(rows: DataFrame, a: Column, m: Column, b: Column, n: Column) -> DataFrame:
         return rows.where(F.least(m, n) >= similarity * F.greatest(m, n) - 1e-9).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()
 
-    def apart(rows: DataFrame, links: DataFrame) -> DataFrame:
-        """``rows`` of the keys whose sets are in several components, with their ``root``."""
-        labels = materialize(connected_components(links, "a", "b"), "labels")
-        named = rows.join(labels.withColumnRenamed("node", "whole"), "whole", "left").withColumn("root", F.coalesce("component", "whole")).drop("component")
+    def apart(rows: DataFrame, labels: DataFrame, old: Column) -> DataFrame:
+        """``rows`` of the keys whose sets are in several components; ``old`` is their component so far, ``labels`` what became of it."""
+        named = rows.withColumn("node", old).join(labels, "node", "left").withColumn("root", F.coalesce("component", "node")).drop("component", "node")
         named = materialize(named, "named")
         split = named.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x < y").select("key")
         return materialize(named.join(split, "key"), "left")
 
     tried = materialize(stars(shared, 0), "tried")
     found = _verified(tried, grams(tried), similarity)
-    left = apart(shared, found)
+    left = apart(shared, materialize(connected_components(found, "a", "b"), "labels"), F.col("whole"))
     few, many = left.where(F.col("n") <= crowd), left.where(F.col("n") > crowd)
     other = few.select("key", F.col("whole").alias("w"), F.col("size").alias("s"), F.col("root").alias("r"))
     rest = pairs(few.join(other, "key").where("whole < w and root <> r"), F.col("whole"), F.col("size"), F.col("w"), F.col("s"))
     rest = rest.unionByName(stars(many, 1, "root")).distinct().join(tried, ["a", "b"], "left_anti")
     rest = materialize(rest, "rest")
-    found = found.unionByName(_verified(rest, grams(rest), similarity))
-    still = apart(many.drop("root"), found)
+    more = _verified(rest, grams(rest), similarity)
+    found = found.unionByName(more)
+    if many.isEmpty():
+        return found
+    # What the new links join are components, of which there are fewer than sets.
+    roots = materialize(left.select("whole", "root").distinct(), "roots")
+    first, second = (roots.select(F.col("whole").alias(x), F.col("root").alias(f"{x}_root")) for x in "ab")
+    joined = more.join(first, "a").join(second, "b").where("a_root <> b_root").select("a_root", "b_root")
+    still = apart(many, materialize(connected_components(joined, "a_root", "b_root"), "labels"), F.col("root"))
     if still.isEmpty():
         return found
     named = grams(still.select(F.col("whole").alias("a"), F.col("whole").alias("b")).distinct())
