@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from eventide.sources.tables import discard, materialize
+
 OPERATORS = {">": operator.gt, "<": operator.lt, ">=": operator.ge, "<=": operator.le, "==": operator.eq, "!=": operator.ne}
 
 #: The range that each feature's threshold may lie in.
@@ -93,6 +95,41 @@ def cooldown(signals: DataFrame, sessions: int) -> DataFrame:
     return folded.select("ticker", F.explode(keep).alias("k")).select("ticker", "k.*").select(*signals.columns)
 
 
+def cooldowns(signals: DataFrame, sessions: tuple[int, ...]) -> DataFrame:
+    """``cooldown`` for several lengths at once, as (ticker, pos, cooldown), without a fold.
+
+    Each signal points to the first one more than the cooldown after it. A
+    signal so far from the one before it is kept whatever came before, and what
+    is kept after it is what its pointers reach: rounds of doubling, in which
+    the pointers of a round lead twice as far as those of the round before. So
+    a chain of n signals takes log2(n) joins, and no task holds one.
+    """
+    own = signals.select("ticker", "pos").distinct()
+    lengths = own.withColumn("cooldown", F.explode(F.array(*map(F.lit, sorted(set(sessions))))))
+    keys = ["ticker", "cooldown"]
+    by = W.partitionBy(*keys).orderBy("pos")
+    # Heads: more than the cooldown after the signal before.
+    lengths = lengths.withColumn("head", F.coalesce(F.col("pos") - F.lag("pos").over(by) > F.col("cooldown"), F.lit(True)))
+    # Every signal asks for the first signal at pos + cooldown + 1 or later: read backwards, the last one seen.
+    asks = lengths.select(*keys, (F.col("pos") + F.col("cooldown") + 1).alias("at"), F.lit(0).alias("kind"), F.col("pos").alias("own"), F.lit(None).cast("boolean").alias("head"))
+    seen = lengths.select(*keys, F.col("pos").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast("int").alias("own"), "head")
+    backwards = W.partitionBy(*keys).orderBy(F.desc("at"), F.desc("kind")).rowsBetween(W.unboundedPreceding, 0)
+    found = F.last(F.when(F.col("kind") == 1, F.struct("at", "head")), ignorenulls=True).over(backwards)
+    steps = asks.unionByName(seen).withColumn("to", found).where("kind = 0").select(*keys, F.col("own").alias("pos"), F.when(~F.col("to.head"), F.col("to.at")).alias("next"))
+    # A pointer to a head leads to what is kept anyway.
+    steps = materialize(steps.where("next is not null"), "steps")
+    kept = materialize(lengths.where("head").select(*keys, "pos"), "kept")
+    while not steps.isEmpty():
+        reached = kept.join(steps, [*keys, "pos"]).select(*keys, F.col("next").alias("pos"))
+        more = materialize(kept.unionByName(reached), "kept")
+        second = steps.select(*keys, F.col("pos").alias("next"), F.col("next").alias("then"))
+        twice = materialize(steps.join(second, [*keys, "next"]).select(*keys, "pos", F.col("then").alias("next")), "steps")
+        discard(kept)
+        discard(steps)
+        kept, steps = more, twice
+    return kept.select("ticker", "pos", "cooldown")
+
+
 def detect(df: DataFrame, conditions, sessions: int = 10, min_events: int = 1) -> DataFrame:
     """Rows of ``df`` that are events; tickers with fewer than ``min_events`` have none."""
     kept = cooldown(df.where(event_mask(df, conditions)), sessions)

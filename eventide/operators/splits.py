@@ -87,3 +87,19 @@ def holdout_intact(log: list[dict]) -> bool:
     """False if parameters changed after the holdout was opened."""
     opened = [e["at"] for e in log if e.get("event") == "holdout_opened"]
     return not opened or not any(e.get("event") == "parameters_changed" and e["at"] > min(opened) for e in log)
+
+
+#: The keys of an experiment's log.
+OPENED, CREATED, CHANGES, LAST_CHANGE = "holdout_opened_at", "hypothesis_created_at", "parameter_changes", "last_param_change"
+
+
+def logs_intact(logs: DataFrame) -> DataFrame:
+    """Adds ``intact`` to experiments' logs: false where parameters changed after the holdout was opened.
+
+    Times are compared as text, as they are written. A log without an opening
+    or without the hypothesis's date cannot be broken; columns may be missing.
+    """
+    have = set(logs.columns)
+    opened, created, changes, last = (F.col(c) if c in have else F.lit(None) for c in (OPENED, CREATED, CHANGES, LAST_CHANGE))
+    broken = opened.isNotNull() & created.isNotNull() & (changes.cast("long") > 0) & (F.coalesce(last.cast("string"), F.lit("")) > opened.cast("string"))
+    return logs.withColumn("intact", ~F.coalesce(broken, F.lit(False)))

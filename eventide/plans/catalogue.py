@@ -14,7 +14,7 @@ from eventide.sources import market as src
 from eventide.sources.tables import shared_dir
 
 from . import sqltext as s
-from .register import ORACLES, QUERIES, WITHOUT, features, per_event, query, valid
+from .register import ORACLES, QUERIES, WITHOUT, base, features, per_event, query, valid
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -182,3 +182,14 @@ def _(spark, d):
 @query("macd_scan", f"{s.BARS},\n{s.POS},\nm AS (SELECT *, {s.ema('close', 12)} - {s.ema('close', 26, 400)} AS macd FROM pb),\nm2 AS (SELECT *, {s.ema('macd', 9)} AS macd_signal FROM m)", "SELECT ticker, session, macd, macd_signal, macd - macd_signal AS macd_hist FROM m2", 3)
 def _(spark, d):
     return scans.add_macd_scan(src.bars(spark, d)).select("ticker", "session", "macd", "macd_signal", "macd_hist")
+
+
+_COOLDOWNS = (1, 5, 20, 60)
+WITHOUT += ["cooldown_grid"]
+
+
+@query("cooldown_grid", ",\n".join([s.BASE] + [s.kept("return_3d < -0.03", k, f"k{k}") for k in _COOLDOWNS]), " UNION ALL ".join(f"SELECT ticker, pos, {k} AS cooldown FROM k{k}" for k in _COOLDOWNS))
+def _(spark, d):
+    """The events of one rule under several cooldowns."""
+    f = base(spark, d)
+    return events.cooldowns(f.where(events.event_mask(f, [events.Rule("return_3d", "<", -0.03)])).select("ticker", "pos"), _COOLDOWNS)

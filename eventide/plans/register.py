@@ -457,7 +457,12 @@ def _(spark, d):
     return robustness.concentration(canon(spark, d))
 
 
-@query("bootstrap_hash", f"{s.STUDY},\nx AS (SELECT horizon, net_return_pct AS x, ('0x' || substr(md5(ticker || '|' || signal_date::VARCHAR), 1, 7))::BIGINT + 1 AS r FROM valid),\ndr AS (SELECT horizon, k, x, r * ((k * 48271 + 11) % {robustness.PRIME}) % {robustness.PRIME} / {robustness.PRIME}.0::DOUBLE AS u FROM x, range(1, 10001) t(k)),\nmeans AS (SELECT horizon, k, sum(w * x) / sum(w) AS mean FROM (SELECT horizon, k, x, {' + '.join(f'(u > {p!r}::DOUBLE)::INT' for p in robustness.POISSON)} AS w FROM dr) GROUP BY ALL HAVING sum(w) > 0)", "SELECT horizon, quantile_cont(mean, 0.025::DOUBLE) AS ci_lower, quantile_cont(mean, 0.975::DOUBLE) AS ci_upper, stddev_samp(mean) AS std_error FROM means GROUP BY horizon")
+#: Resampled means by hashed Poisson weights.
+_MEANS = f"x AS (SELECT horizon, net_return_pct AS x, ('0x' || substr(md5(ticker || '|' || signal_date::VARCHAR), 1, 7))::BIGINT + 1 AS r FROM valid),\ndr AS (SELECT horizon, k, x, r * ((k * 48271 + 11) % {robustness.PRIME}) % {robustness.PRIME} / {robustness.PRIME}.0::DOUBLE AS u FROM x, range(1, 10001) t(k)),\nmeans AS (SELECT horizon, k, sum(w * x) / sum(w) AS mean FROM (SELECT horizon, k, x, {' + '.join(f'(u > {p!r}::DOUBLE)::INT' for p in robustness.POISSON)} AS w FROM dr) GROUP BY ALL HAVING sum(w) > 0)"
+_INTERVAL = "SELECT horizon, quantile_cont(mean, 0.025::DOUBLE) AS ci_lower, quantile_cont(mean, 0.975::DOUBLE) AS ci_upper, stddev_samp(mean) AS std_error FROM means GROUP BY horizon"
+
+
+@query("bootstrap_hash", f"{s.STUDY},\n{_MEANS}", _INTERVAL)
 def _(spark, d):
     return robustness.bootstrap_hashed(valid(spark, d))
 
@@ -470,10 +475,14 @@ def _(spark, d):
 _EVIDENCE = "gross AS (SELECT horizon, 100 * max(forward_return) / nullif(sum(forward_return), 0) AS best_trade_pct FROM canon GROUP BY horizon),\nev AS (SELECT horizon, count(*)::BIGINT AS n_total, avg(net_return_pct) AS mean, median(net_return_pct) AS median, median(net_return_pct) FILTER (temporal_split = 'validation') AS validation_median, count(*) FILTER (temporal_split = 'validation')::BIGINT AS validation_n, median(net_return_pct) FILTER (temporal_split = 'holdout') AS holdout_median, count(*) FILTER (temporal_split = 'holdout')::BIGINT AS holdout_n, any_value(gross.best_trade_pct) AS best_trade_pct, avg(transaction_cost_pct) AS cost_pct FROM valid JOIN gross USING (horizon) GROUP BY horizon)"
 
 
-@query("decision_table", f"{s.STUDY},\n{_EVIDENCE}", "SELECT horizon, n_total, mean, median, CASE WHEN n_total < 40 OR mean <= 0 OR coalesce(validation_median <= 0, false) OR coalesce(validation_n < 10, false) OR coalesce(holdout_median <= 0, false) OR coalesce(holdout_n < 10, false) THEN 'REJECTED' WHEN n_total >= 60 AND median > 0 AND best_trade_pct <= 20 AND mean >= 1.5 * cost_pct THEN 'CANDIDATE' ELSE 'RESEARCH' END AS verdict FROM ev")
+_GATES = f"{_EVIDENCE},\n{_MEANS},\nboot AS ({_INTERVAL}),\ncov AS (SELECT horizon, 100.0::DOUBLE * avg((status <> 'INSUFFICIENT')::INT::DOUBLE) AS coverage_pct FROM matched GROUP BY horizon)"
+
+
+@query("decision_table", f"{s.CONTROL},\n{_GATES}", """SELECT horizon, n_total, mean, median, coverage_pct, ci_lower, ci_upper, CASE WHEN n_total < 40 OR mean <= 0 OR coalesce(validation_median <= 0, false) OR coalesce(validation_n < 10, false) OR coalesce(holdout_median <= 0, false) OR coalesce(holdout_n < 10, false) THEN 'REJECTED'
+  WHEN coverage_pct < 50 THEN 'RESEARCH' WHEN n_total >= 60 AND median > 0 AND best_trade_pct <= 20 AND NOT (ci_lower < 0 AND ci_upper > 0) AND mean >= 1.5 * cost_pct THEN 'CANDIDATE' ELSE 'RESEARCH' END AS verdict FROM ev LEFT JOIN cov USING (horizon) LEFT JOIN boot USING (horizon)""")
 def _(spark, d):
     f = features(spark, d)
-    return decision.decide_all(evidence(materialize(canon(spark, d, f), "trades"), per_event(spark, d, f))).select("horizon", "n_total", "mean", "median", "verdict")
+    return decision.decide_all(evidence(materialize(canon(spark, d, f), "trades"), per_event(spark, d, f))).select("horizon", "n_total", "mean", "median", "coverage_pct", "ci_lower", "ci_upper", "verdict")
 
 
 def evidence(t: DataFrame, controls: DataFrame) -> DataFrame:
@@ -485,7 +494,7 @@ def evidence(t: DataFrame, controls: DataFrame) -> DataFrame:
         aggs += [F.median(F.when(part == p, x)).alias(f"{p}_median"), F.count_if(part == p).alias(f"{p}_n")]
     best = robustness.concentration(t).select("horizon", "best_trade_pct")
     cover = controls.groupBy("horizon").agg((100 * F.avg((F.col("status") != "INSUFFICIENT").cast("double"))).alias("coverage_pct"))
-    boot = robustness.bootstrap(own, ["horizon"]).select("horizon", "ci_lower", "ci_upper")
+    boot = robustness.bootstrap_hashed(own).select("horizon", "ci_lower", "ci_upper")
     return own.groupBy("horizon").agg(*aggs).join(best, "horizon", "left").join(cover, "horizon", "left").join(boot, "horizon", "left")
 
 

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import intervals
-from .market import BARS_SCHEMA
+from .market import BARS_SCHEMA, row_hash
 from .tables import delete, discard, materialize
 
 VERSION = 3
@@ -38,12 +38,6 @@ _FIELDS = [f.split() for f in BARS_SCHEMA.split(", ")]
 _LAYOUT = ["bucket", "year"]
 
 
-def row_hash(columns: list[str]) -> Column:
-    """60 bits of a row's SHA-256. Cells go in with their lengths, so no two rows read alike."""
-    cells = [F.coalesce(F.concat(F.length(x).cast("string"), F.lit(":"), x), F.lit("-")) for x in (F.col(c).cast("string") for c in sorted(columns))]
-    return F.conv(F.substring(F.sha2(F.concat(*cells), 256), 1, 15), 16, 10).cast("long")
-
-
 def month() -> Column:
     return F.date_format("session", "yyyy-MM")
 

@@ -19,8 +19,8 @@ _OWN = "eventide.work.dir"
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``.
 
-    Where it is unset, a local session gets a temporary folder and a cluster
-    gets a folder in the warehouse, which its executors share.
+    Where it is unset, a local session gets a temporary folder and a cluster a
+    folder in its warehouse, if that is a store and no machine's own disk.
     """
     if found := spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get(_OWN, None):
         return found
@@ -28,7 +28,10 @@ def shared_dir(spark: SparkSession) -> str:
     if master == "local" or master.startswith("local["):
         made = tempfile.mkdtemp(prefix="eventide-")
     else:
-        made = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/eventide_work"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if "://" not in warehouse or warehouse.startswith("file:"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        made = warehouse.rstrip("/") + "/eventide_work"
     spark.conf.set(_OWN, made)
     return made
 

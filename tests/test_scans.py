@@ -95,3 +95,33 @@ def test_grid_of_lengths(spark, bars):
             sma = F.when(F.count("close").over(scans.frame(-m + 1, 0)) == m, F.avg("close").over(scans.frame(-m + 1, 0)))
             x = x.withColumns({"a": (F.col("close") > sma).cast("double"), "c": F.col("close") / F.lag("close", r).over(scans.series()) - 1}).where("a = 1 and c < -0.01")
             assert got[f"{m} {r}"] == (x.count(), events.cooldown(x.select("ticker", "pos"), 10).count())
+
+
+def folded(pos, k):
+    out = []
+    for p in sorted(set(pos)):
+        if not out or p - out[-1] > k:
+            out.append(p)
+    return out
+
+
+def test_cooldowns_equal_the_fold(spark):
+    rnd = random.Random(8)
+    own = {"DENSE": range(300), "SOME": [i for i in range(900) if rnd.random() < 0.3], "FEW": [0, 21, 22, 60], "ONE": [7], "TWICE": [3, 3, 4]}
+    df = spark.createDataFrame([(t, p) for t, x in own.items() for p in x], "ticker string, pos int")
+    lengths = (0, 1, 5, 20, 1000)
+    out = events.cooldowns(df, lengths)
+    got = sorted((r["ticker"], r["cooldown"], r["pos"]) for r in out.collect())
+    assert got == sorted((t, k, p) for t, x in own.items() for k in lengths for p in folded(x, k))
+    one = sorted((r["ticker"], r["pos"]) for r in events.cooldown(df.distinct(), 5).collect())
+    assert one == sorted((t, p) for t, k, p in got if k == 5)
+    assert events.cooldowns(df.limit(0), lengths).count() == 0
+
+
+def test_cooldowns_hold_no_chain(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(events, "materialize", lambda df, name, was=events.materialize: (plans.append(df._jdf.queryExecution().optimizedPlan().toString()), was(df, name))[1])
+    df = spark.createDataFrame([("A", i) for i in range(64)], "ticker string, pos int")
+    assert events.cooldowns(df, (1,)).count() == 32
+    # 32 kept signals after one head: five rounds of doubling, and one to see that they are all.
+    assert len(plans) <= 2 + 2 * 7 and not any("collect_list" in p or "aggregate(" in p for p in plans)
