@@ -14,7 +14,8 @@ from eventide.sources import market as src
 from eventide.sources.tables import shared_dir
 
 from . import sqltext as s
-from .register import ORACLES, QUERIES, WITHOUT, base, features, per_event, query, valid
+from .experiment import Experiment, run
+from .register import ORACLES, QUERIES, WITHOUT, base, features, market, per_event, query, valid
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -193,3 +194,28 @@ def _(spark, d):
     """The events of one rule under several cooldowns."""
     f = base(spark, d)
     return events.cooldowns(f.where(events.event_mask(f, [events.Rule("return_3d", "<", -0.03)])).select("ticker", "pos"), _COOLDOWNS)
+
+
+# --- a study with a declared series -------------------------------------------------------
+
+_RATED = """rated AS (SELECT *, CASE WHEN starts_with(ticker, '1') THEN last_value(ccl IGNORE NULLS) OVER (PARTITION BY ticker ORDER BY session ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) ELSE 1.0::DOUBLE END AS rate FROM bars0 LEFT JOIN fx USING (session)),
+bars AS (SELECT ticker, session, open / rate AS open, high / rate AS high, low / rate AS low, close / rate AS close, volume FROM rated WHERE rate IS NOT NULL),
+bench AS (SELECT session, open / rate AS open, high / rate AS high, low / rate AS low, close / rate AS close, volume FROM (SELECT bench0.*, last_value(ccl IGNORE NULLS) OVER (ORDER BY session ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) AS rate FROM bench0 LEFT JOIN fx USING (session)) WHERE rate IS NOT NULL),
+tna AS (SELECT l_shipdate::DATE AS session, sum(round(l_discount * 100)::BIGINT) / count(*) AS caucion_tna FROM lineitem WHERE day(l_shipdate) % 5 <> 0 GROUP BY 1)"""
+_CARRY = ",\n".join([s.BARS.replace("bars AS", "bars0 AS", 1), s.FX, s.BENCH.replace("bench AS", "bench0 AS", 1), _RATED, s.POS, s.FEATURES, s.REGIMES, s.kept("(SELECT caucion_tna FROM tna WHERE tna.session = feat.session) > 5.2 AND return_20d > 0 AND NOT starts_with(ticker, '5')", 10), s.trades(), s.BOUNDS.replace("FROM bars)", "FROM (SELECT session FROM bars UNION SELECT session FROM bench))"), s.CANON])
+CARRY = {
+    "experiment": {"id": "carry"}, "event": {"conditions": [{"feature": "caucion_tna", "operator": ">", "value": 5.2}, {"feature": "return_20d", "operator": ">", "value": 0.0}], "cooldown_sessions": 10, "forward_horizons": list(s.HORIZONS)},
+    "validation": {"discovery_pct": 60, "validation_pct": 20, "holdout_pct": 20},
+}
+
+
+@query("experiment_carry", _CARRY, "SELECT ticker, signal_date, horizon, entry_date, exit_date, trend_regime, forward_return, net_return_pct, temporal_split FROM canon", 4)
+def _(spark, d):
+    """A condition on a rate that is no ticker's, with gaps; the benchmark in base currency as well; doubled bars at ingest."""
+    bars = src.bars(spark, d).withColumn("seq", F.lit(1))
+    late = bars.where(F.dayofmonth("session") % 3 == 0).withColumns({"close": F.col("close") * 3, "seq": F.lit(2)})
+    li = spark.read.parquet(f"{d}/lineitem.parquet").withColumn("session", F.to_date("l_shipdate"))
+    tna = li.where(F.dayofmonth("session") % 5 != 0).groupBy("session").agg((F.sum(F.round(F.col("l_discount") * 100).cast("long")) / F.count("*")).alias("caucion_tna"))
+    universe = bars.select("ticker", F.when(F.col("ticker").startswith("5"), "reference").otherwise("target").alias("role")).distinct()
+    study = run(spark, Experiment.from_config(CARRY), late.unionByName(bars), src.benchmark(spark, d), market(), fx=src.fx_rates(spark, d), local=F.col("ticker").startswith("1"), bench_local=True, targets=universe, series=tna, first_by="seq")
+    return study.canonical.select("ticker", "signal_date", "horizon", "entry_date", "exit_date", "trend_regime", "forward_return", "net_return_pct", "temporal_split")

@@ -11,9 +11,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from eventide.functions.features import add_features, add_positions
+from eventide.functions.features import add_features, add_positions, with_series
 from eventide.operators import baselines, costs, decision, events, metrics, quality, regimes, robustness, splits, trades
 from eventide.operators import fx as fx_ops
+from eventide.sources.market import dedupe_first
 from eventide.sources.tables import materialize
 
 from .semantics import Semantics
@@ -107,24 +108,33 @@ def base_prices(bars: DataFrame, fx: DataFrame, local: Column, s: Semantics) ->
 def run(
     spark: SparkSession, e: Experiment, bars: DataFrame, bench: DataFrame | None, market: Column, cost_table: DataFrame | None = None,
     fx: DataFrame | None = None, local: Column | None = None, bench_local: bool = False, targets: DataFrame | None = None, gate: tuple[str, str] | None = None,
+    series: DataFrame | None = None, first_by: str | None = None,
 ) -> Study:
     """The study from bars to enriched trades.
 
     ``gate``: first and last day; raises on critical data issues of any ticker but
     indexes. ``fx``: rates (session, ccl) for ``local`` tickers and, with ``bench_local``,
     for the benchmark. ``targets``: a universe (ticker, role) whose targets events
-    are searched in; other tickers have features only. Features are written
-    once, as events, controls and trades read them.
+    are searched in; other tickers have features only. ``series``: session and
+    columns that are alike for all tickers (rates, spreads), which conditions may
+    name; a session without a row has nulls. ``first_by``: of several bars for a
+    session the first by this column stays; the gate still counts them all.
+    Features are written once, as events, controls and trades read them.
     """
     s = e.semantics
     if gate:
         quality.require_clean(quality.quality_issues(bars.where(~F.col("ticker").startswith("^")), *gate))
+    if first_by:
+        bars = dedupe_first(bars, first_by).drop(first_by)
     if fx is not None:
         local = F.lit(True) if local is None else local
         bars = base_prices(bars, fx, local, s)
         if bench is not None and bench_local:
             bench = base_prices(bench, fx, F.lit(True), s)
-    feats = materialize(trades.with_outcomes(prepare(bars, bench), e.horizons, entry_mode=s.entry_mode), "features")
+    prepared = prepare(bars, bench)
+    if series is not None:
+        prepared = with_series(prepared, series, [c for c in series.columns if c != "session"])
+    feats = materialize(trades.with_outcomes(prepared, e.horizons, entry_mode=s.entry_mode), "features")
     own = events.targets_only(feats, targets) if targets is not None else feats
     found = events.detect(own, e.conditions, e.cooldown_sessions)
     dates = bars.select("session") if bench is None else bars.select("session").unionByName(bench.select("session"))
