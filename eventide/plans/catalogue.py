@@ -4,11 +4,12 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from eventide.functions import features as ft
 from eventide.functions import scans
-from eventide.operators import baselines, events, metrics, ranks, robustness
+from eventide.operators import baselines, events, metrics, ranks, robustness, rolls
 from eventide.sources import cache, intervals, landed
 from eventide.sources import market as src
 from eventide.sources.tables import shared_dir
@@ -219,3 +220,29 @@ def _(spark, d):
     universe = bars.select("ticker", F.when(F.col("ticker").startswith("5"), "reference").otherwise("target").alias("role")).distinct()
     study = run(spark, Experiment.from_config(CARRY), late.unionByName(bars), src.benchmark(spark, d), market(), fx=src.fx_rates(spark, d), local=F.col("ticker").startswith("1"), bench_local=True, targets=universe, series=tna, first_by="seq")
     return study.canonical.select("ticker", "signal_date", "horizon", "entry_date", "exit_date", "trend_regime", "forward_return", "net_return_pct", "temporal_split")
+
+
+# --- contracts ------------------------------------------------------------------------------
+
+#: Every order is a trade of its root's contract of this month or one of the next two.
+_CONTRACTS = f"""legs AS (SELECT *, (o_orderdate::DATE - (day(o_orderdate::DATE) - 1)::INTEGER) + to_months((o_orderkey % 3)::INTEGER) AS m FROM orders),
+cbars AS (SELECT o_orderpriority AS root, o_orderpriority || '/' || {list(rolls.MONTHS)}[month(m)] || strftime(m, '%y') AS symbol, last_day(m)::DATE AS l, o_orderdate::DATE AS session, {s.OHLC} FROM legs WHERE m >= DATE '2000-01-01' GROUP BY ALL),
+con AS (SELECT DISTINCT root, symbol, l - CASE dayofweek(l) WHEN 0 THEN 2 WHEN 6 THEN 1 ELSE 0 END AS expiry, CASE WHEN starts_with(root, '1') THEN 100.0::DOUBLE ELSE 10.0::DOUBLE END AS multiplier FROM cbars),
+cal AS (SELECT *, (expiry - 5)::DATE AS e, lead(symbol) OVER (PARTITION BY root ORDER BY expiry) AS nxt, lag((expiry - 5)::DATE) OVER (PARTITION BY root ORDER BY expiry) + 1 AS st FROM con),
+rat AS (SELECT cal.symbol, arg_max(b.close / a.close, a.session) AS ratio FROM cal JOIN cbars a ON a.symbol = cal.symbol AND a.session BETWEEN e - 30 AND e JOIN cbars b ON b.symbol = nxt AND b.session = a.session GROUP BY 1),
+fac AS (SELECT cal.*, product(coalesce(ratio, 1.0::DOUBLE)) OVER w AS factor, max((ratio IS NULL AND nxt IS NOT NULL)::INT) OVER w = 0 AS joined FROM cal LEFT JOIN rat USING (symbol) WINDOW w AS (PARTITION BY root ORDER BY expiry DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+st AS (SELECT cbars.root, session, cbars.symbol, open, high, low, close, volume, close * multiplier AS notional, ln(factor) AS log_factor, joined, close * factor AS c FROM cbars JOIN fac USING (symbol) WHERE (st IS NULL OR session >= st) AND session <= e)"""
+
+
+@query("contract_roll", _CONTRACTS, "SELECT root, session, symbol, open, high, low, close, volume, notional, joined, log_factor, ln(c / lag(c) OVER (PARTITION BY root ORDER BY session)) AS log_return FROM st", exact="root joined")
+def _(spark, d):
+    """The stitched series of every root, with the logarithms of its factors and adjusted returns."""
+    o = spark.read.parquet(f"{d}/orders.parquet")
+    m = F.add_months(F.trunc(F.to_date("o_orderdate"), "month"), (F.col("o_orderkey") % 3).cast("int"))
+    code = F.element_at(F.array(*map(F.lit, rolls.MONTHS)), F.month(m))
+    symbol = F.concat("o_orderpriority", F.lit("/"), code, F.date_format(m, "yy"))
+    bars = src._ohlc(o.where(m >= F.lit("2000-01-01").cast("date")).groupBy(symbol.alias("symbol"), F.to_date("o_orderdate").alias("session")))
+    contracts = bars.select("symbol", F.when(F.col("symbol").startswith("1"), 100.0).otherwise(10.0).alias("multiplier"))
+    out = rolls.stitched(bars, rolls.roll_calendar(contracts))
+    back = F.lag("close_adj").over(W.partitionBy("root").orderBy("session"))
+    return out.select("root", "session", "symbol", "open", "high", "low", "close", "volume", "notional", "joined", F.log("factor").alias("log_factor"), F.log(F.col("close_adj") / back).alias("log_return"))
