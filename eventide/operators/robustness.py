@@ -106,8 +106,8 @@ def trade_years() -> Column:
 def concentration(trades: DataFrame, col: str | None = None, part: str = "ticker") -> DataFrame:
     """Shares of the best trade, three trades and part in the total, with a status for totals of 0 or less.
 
-    Gross returns by default. The best trades are kept as a bounded array while
-    rows are summed by part, so trades are read once and never ranked together.
+    Gross returns by default. Trades are ranked within their part, and only the
+    three best of each part go on, so no horizon's trades are ranked together.
     """
     col = col or ("forward_return" if "forward_return" in trades.columns else "net_return_pct")
     rank = F.row_number().over(W.partitionBy("horizon", part).orderBy(F.desc("x"), "signal_date"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from eventide.functions import features as ft
 from eventide.functions import scans
-from eventide.operators import baselines, events, metrics, ranks, robustness, rolls
+from eventide.operators import baselines, events, metrics, ranks, robustness, rolls, routes
 from eventide.sources import cache, intervals, landed
 from eventide.sources import market as src
 from eventide.sources.tables import shared_dir
@@ -246,3 +246,31 @@ def _(spark, d):
     out = rolls.stitched(bars, rolls.roll_calendar(contracts))
     back = F.lag("close_adj").over(W.partitionBy("root").orderBy("session"))
     return out.select("root", "session", "symbol", "open", "high", "low", "close", "volume", "notional", "joined", F.log("factor").alias("log_factor"), F.log(F.col("close_adj") / back).alias("log_return"))
+
+
+# --- currencies -----------------------------------------------------------------------------
+
+#: Quoted: USD in ARS (with gaps), USD in EUR by two listings on some days, EUR in ARS on few; carried two sessions.
+_ROUTES = f"""{s.BARS},
+{s.FX},
+sess AS (SELECT DISTINCT session FROM bars),
+quotes AS (
+  SELECT session, 'USD' AS base, 'ARS' AS quote, ccl AS rate FROM fx WHERE ccl > 0
+  UNION ALL SELECT a.session, 'USD', 'EUR', b.close / (a.close * 4) FROM bars a JOIN bars b USING (session) WHERE a.ticker = '2-HIGH' AND b.ticker = '3-MEDIUM' AND day(session) % 6 = 0 AND b.close > 0 AND a.close > 0
+  UNION ALL SELECT session, 'EUR', 'ARS', 2 * ccl FROM fx WHERE ccl > 0 AND day(session) % 10 = 1),
+every AS (SELECT sess.session, base, quote, last_value(rate IGNORE NULLS) OVER (PARTITION BY base, quote ORDER BY sess.session ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS rate
+  FROM sess CROSS JOIN (SELECT DISTINCT base, quote FROM quotes) LEFT JOIN quotes USING (session, base, quote)),
+edges AS (SELECT session, base AS a, quote AS b, rate FROM every WHERE rate IS NOT NULL UNION ALL SELECT session, quote, base, 1 / rate FROM every WHERE rate IS NOT NULL),
+walk AS (
+  SELECT session, o AS origin, o AS currency, 1.0::DOUBLE AS rate, 0 AS n_hops, o AS route FROM sess, (SELECT unnest(['ARS', 'EUR', 'USD']) AS o)
+  UNION ALL SELECT walk.session, origin, b, walk.rate * edges.rate, n_hops + 1, route || '>' || b FROM walk JOIN edges ON edges.session = walk.session AND a = currency WHERE n_hops < 3 AND NOT contains(route, b))"""
+
+
+@query("currency_routes", _ROUTES, "SELECT session, origin, currency, arg_min(rate, {'n': n_hops, 'r': route}) AS rate, min(n_hops)::INTEGER AS n_hops, arg_min(route, {'n': n_hops, 'r': route}) AS route FROM walk GROUP BY session, origin, currency", 8, exact="origin currency route n_hops")
+def _(spark, d):
+    bars, fx = src.bars(spark, d), src.fx_rates(spark, d).where("ccl > 0")
+    pair = lambda df, a, b, x: df.select("session", F.lit(a).alias("base"), F.lit(b).alias("quote"), x.alias("rate"))
+    adr = routes.listing_quotes(bars.where("ticker = '2-HIGH'"), bars.where("ticker = '3-MEDIUM'"), "USD", "EUR", 4.0)
+    quotes = pair(fx, "USD", "ARS", F.col("ccl")).unionByName(adr.where(F.dayofmonth("session") % 6 == 0))
+    quotes = quotes.unionByName(pair(fx.where(F.dayofmonth("session") % 10 == 1), "EUR", "ARS", 2 * F.col("ccl")))
+    return routes.routes(quotes, bars, ["ARS", "EUR", "USD"], carry=2, hops=3)

@@ -11,7 +11,7 @@ from eventide.operators import events, ledger
 
 
 def signals(features: DataFrame, configs: dict[str, list], as_of: Column, sessions: int = 20, days: int = 7) -> DataFrame:
-    """Recent events of each named configuration, in one pass over the features."""
+    """Recent events of each named configuration: a branch each over the same features, which are read once a branch."""
     found = [events.recent(events.detect(features.select("ticker", "session", "pos", "close", *_used(features, c)), c, sessions), as_of, days).select("ticker", F.col("session").alias("signal_date"), F.lit(name).alias("signal_type"), F.col("close").alias("price")) for name, c in configs.items()]
     return reduce(DataFrame.unionByName, found)
 
