@@ -36,9 +36,9 @@ def test_query(spark, sf):
 
 def test_steps_of_every_size(spark, monkeypatch):
     """Blocks, groups and passes much smaller than the table."""
-    monkeypatch.setattr(op, "BITS", 3)
-    monkeypatch.setattr(op, "QUERIES", 4)
-    monkeypatch.setattr(op, "GROUP_BYTES", 2000)
+    monkeypatch.setattr(op, "BITS", 5)
+    monkeypatch.setattr(op, "QUERIES", 8)
+    monkeypatch.setattr(op, "GROUP_BYTES", 5000)
     rows = vectors(random.Random(1), 300)
     assert found(spark, rows, 7, "double") == best(rows, 7)
 
