@@ -305,9 +305,14 @@ def _(spark, d):
     return canon(spark, d).select("ticker", "signal_date", "horizon", "transaction_cost_pct", "net_return_pct")
 
 
-@query("cost_model", "c(market, side) AS (VALUES ('argentina', 0.0098::DOUBLE), ('futures', 0.0023::DOUBLE), ('usa', 0.0021::DOUBLE))", "SELECT market, side AS per_side, 2 * side AS roundtrip FROM c")
-def _(spark, d):
-    return costs.cost_table(spark).select("market", "per_side", "roundtrip")
+@query("cost_model", f"""{s.BARS},
+c(market, side) AS (VALUES ('argentina', 0.0098::DOUBLE), ('futures', 0.0023::DOUBLE), ('usa', 0.0021::DOUBLE)),
+m AS (SELECT *, CASE WHEN starts_with(ticker, '1') THEN 'argentina' WHEN starts_with(ticker, '2') THEN 'futures' ELSE 'usa' END AS market FROM bars)""", "SELECT market, side AS per_side, 2 * side AS roundtrip, count(*)::BIGINT AS n, sum(close * volume) * 2 * side AS cost FROM m JOIN c USING (market) GROUP BY market, side", 3)
+def _(spark, d):
+    """What each market's bars would cost to turn over once."""
+    own = F.when(F.col("ticker").startswith("1"), "argentina").when(F.col("ticker").startswith("2"), "futures").otherwise("usa")
+    turned = src.bars(spark, d).groupBy(own.alias("market")).agg(F.count("*").alias("n"), F.sum(F.col("close") * F.col("volume")).alias("turned"))
+    return turned.join(costs.cost_table(spark), "market").select("market", "per_side", "roundtrip", "n", (F.col("turned") * F.col("roundtrip")).alias("cost"))
 
 
 @query("canonical_trades", f"{s.CONTROL}", """SELECT canon.ticker, market, signal_date, entry_date, exit_date, canon.horizon, signal_price, entry_price, exit_price, forward_return, transaction_cost_pct, net_return_pct, mfe, mae, canon.trend_regime, canon.vol_regime, temporal_split,
