@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,13 +37,13 @@ def first_quote(orders: DataFrame, ticks: DataFrame, side: str, at: str, toleran
     return orders.join(fill, (F.col("symbol") == F.col("__s")) & (F.col(at) == F.col("__at")), "left").drop("__s", "__at")
 
 
-def long_trades(signals: DataFrame, ticks: DataFrame, horizons: tuple[int, ...], tolerance_s: int = 172_800, cost_pct: float = 0.46, short: bool = False) -> DataFrame:
-    """Entry at the ask, exit at the bid ``h`` calendar days after the entry (mirrored if short)."""
+def long_trades(signals: DataFrame, ticks: DataFrame, horizons: tuple[int, ...], tolerance_s: int = 172_800, cost_pct: float = 0.46, short: bool = False, fill: Callable[..., DataFrame] = first_quote) -> DataFrame:
+    """Entry at the ask, exit at the bid ``h`` calendar days after the entry (mirrored if short); ``fill`` finds the quotes."""
     a, b = ("bid", "ask") if short else ("ask", "bid")
     s = signals.select("symbol", "signal_ts", F.explode(F.array(*map(F.lit, horizons))).alias("horizon"))
-    e = first_quote(s, ticks, a, "signal_ts", tolerance_s, "entry_price", "entry_ts").where("entry_price is not null")
+    e = fill(s, ticks, a, "signal_ts", tolerance_s, "entry_price", "entry_ts").where("entry_price is not null")
     e = e.withColumn("__exit", F.col("entry_ts") + F.make_dt_interval(days=F.col("horizon")))
-    x = first_quote(e, ticks, b, "__exit", tolerance_s, "exit_price", "exit_ts").where("exit_price is not null").drop("__exit")
+    x = fill(e, ticks, b, "__exit", tolerance_s, "exit_price", "exit_ts").where("exit_price is not null").drop("__exit")
     gross = (F.col("exit_price") / F.col("entry_price") - 1) * 100 * (-1 if short else 1)
     return x.withColumns({"gross_return_pct": gross, "spread_cost_pct": F.abs(F.col("entry_price") - F.col("exit_price")) / F.col("entry_price") * 100, "net_return_pct": gross - cost_pct})
 

@@ -726,3 +726,12 @@ def _(spark, d):
     from eventide.streaming.streams import replay_daily_bars
 
     return replay_daily_bars(spark, f"{d}/events.parquet")
+
+
+@query("stream_long_trades", _LONG, "SELECT * FROM lr")
+def _(spark, d):
+    """The trades of ``long_trades``, with every fill found by a join of two streams."""
+    from eventide.streaming.fills import replay_long_trades
+    from eventide.streaming.streams import event_stream
+
+    return replay_long_trades(_orders(spark, d).withColumnRenamed("want", "signal_ts"), src.as_ticks(event_stream(spark, f"{d}/events.parquet")), (1, 3, 5))

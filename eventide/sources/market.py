@@ -48,7 +48,11 @@ def fx_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return as_ticks(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def as_ticks(e: DataFrame) -> DataFrame:
+    """Events, read or streamed, as ticks with quotes around their value."""
     k = F.col("event_id") % 7
     last = F.when(k != 3, F.col("value"))
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp_ntz").alias("ts"), F.when(k != 5, F.col("value") * 0.999).alias("bid"), F.when(k != 2, F.col("value") * 1.001).alias("ask"), last.alias("last"), F.col("event_id"))

@@ -8,16 +8,25 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from eventide.sources.tables import shared_dir
 
 
-def tick_stream(spark: SparkSession, path: str) -> DataFrame:
-    """The recorded ticks as a stream; watermarks need a timestamp with a zone."""
+def event_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
+    """A Parquet file, or the files of a folder in their order of time, as a stream."""
     schema = spark.read.parquet(path).schema
+    read = spark.readStream.schema(schema)
+    if files_per_batch:
+        read = read.option("maxFilesPerTrigger", files_per_batch)
     folder, _, name = path.rstrip("/").rpartition("/")
-    e = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
+    return read.option("pathGlobFilter", name).parquet(folder) if name.endswith(".parquet") else read.parquet(path)
+
+
+def tick_stream(spark: SparkSession, path: str) -> DataFrame:
+    """The recorded ticks as a stream; watermarks need a timestamp with a zone."""
+    e = event_stream(spark, path)
     return e.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("last"), "event_id")
 
 
@@ -53,10 +62,11 @@ def drain(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -
     return stream.sparkSession.read.schema(stream.schema).parquet(path)
 
 
-def each_batch(stream: DataFrame, fold: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
-    """Hands every micro-batch to ``fold``, such as a ledger's merge of positions."""
+def each_batch(stream: DataFrame, fold: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
+    """Hands every micro-batch to ``fold``, such as a ledger's merge of positions; returns the ended query."""
     q = stream.writeStream.foreachBatch(fold).option("checkpointLocation", checkpoint).outputMode(mode).trigger(availableNow=True).start()
     q.awaitTermination()
+    return q
 
 
 def replay_daily_bars(spark: SparkSession, path: str) -> DataFrame:
