@@ -26,10 +26,11 @@ their words stand, so a long item of a script without spaces is searched like
 others; items without words are in no text. Items may be repeated; each gives its rows.
 An item without an id gives rows with a null id; null texts are empty, an empty
 or null item text is in no text. Repeated rows each give a row, other columns
-are ignored; without items or texts there are no rows. Ids may have any type.
-Items are searched in blocks of ``block_chars`` characters, each written before
-the next is read, so that driver and tasks hold one block at a time however
-large the benchmark is.
+are ignored; without items or texts there are no rows. Ids of texts may have any type, ids of
+items any that text can hold (numbers, strings, dates). Items are searched in
+blocks of ``block_chars`` characters, and a block's hits or digests are written
+before the next is read, so that driver and tasks hold one block at a time
+however large the benchmark is.
 """
 
 from __future__ import annotations
@@ -42,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .texts import map_texts
+from .texts import as_bytes, map_texts
 from .work import materialize
 
 _TABLE = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
@@ -509,15 +510,26 @@ def _blocks(benchmark: DataFrame, item_id: str, item_text: str, block_chars: int
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", similarity: float = SIMILARITY, recall: float = TARGET_RECALL, block_chars: int = 4 << 20) -> DataFrame:
-    """The rows of ``docs`` that hold no benchmark item, with their own columns."""
-    out = docs
-    names = [f"__c{i}" for i in range(len(docs.columns))]
+    """The rows of ``docs`` that hold no benchmark item, with their own columns.
+
+    A benchmark of one block is a filter. Of a larger one, every block writes
+    the digests of the texts that it hits, and ``docs`` meets all of them once;
+    the rows themselves are never written. Equal texts have equal verdicts, so
+    a digest stands for its copies, and rows need no id.
+    """
+    digest = F.sha2(as_bytes(text_col), 256)
+    dirty = None
     for items, last in _blocks(benchmark, item_id, item_text, block_chars):
-        keep = {n: F.col(f"`{c}`") for n, c in zip(names, out.columns)}
-        clean = _hits(out, keep, text_col, items, similarity, recall).where(F.size("hits") == 0)
-        out = clean.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
-        out = out if last else materialize(out, "clean")
-    return out
+        if last and dirty is None:
+            names = [f"__c{i}" for i in range(len(docs.columns))]
+            keep = {n: F.col(f"`{c}`") for n, c in zip(names, docs.columns)}
+            clean = _hits(docs, keep, text_col, items, similarity, recall).where(F.size("hits") == 0)
+            return clean.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns)])
+        hits = _hits(docs, {"__dirty": digest}, text_col, items, similarity, recall)
+        found = materialize(hits.where(F.size("hits") > 0).select("__dirty").distinct(), "dirty")
+        dirty = found if dirty is None else dirty.unionByName(found)
+    dirty = dirty.distinct()
+    return docs.join(dirty, digest == dirty["__dirty"], "left_anti")
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -99,3 +99,23 @@ def test_long_items_without_spaces(spark):
     bench = spark.createDataFrame(list(enumerate(runs)), "item_id long, text string")
     got = {(r["doc_id"], r["item_id"]) for r in op4.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
     assert got == {(i, i) for i in range(len(runs))}
+
+
+def test_many_blocks_write_digests_and_not_the_rows(spark, monkeypatch):
+    """Blocks of one item: copies, nulls and clashing names are as with one block, and only digests are written."""
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefghij", k=6)) for _ in range(400)]
+    items = [" ".join(rnd.choices(words, k=20)) for _ in range(6)]
+    clean = " ".join(rnd.choices(words, k=80))
+    rows = [(i % 5 if i % 3 else None, f"{clean[:200]} {items[i % 4]} {clean[200:]}" if i % 2 else clean, "x") for i in range(40)] + [(None, None, None), (1, "", "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __dirty string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    written = []
+    plain = op4.materialize
+    monkeypatch.setattr(op4, "materialize", lambda d, name: written.append((d.columns, d.count())) or plain(d, name))
+    many = op4.decontaminate(df, bench, block_chars=1)
+    assert len(written) == 6 and all(c == ["__dirty"] and n <= 1 for c, n in written)
+    one = op4.decontaminate(df, bench)
+    assert len(written) == 6
+    key = lambda d: sorted(map(str, (tuple(r) for r in d.collect())))
+    assert key(many) == key(one) == sorted(map(str, (r for r in rows if r[1] in (None, "", clean))))
