@@ -10,6 +10,7 @@ from datetime import date, datetime, timezone
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 BARS_SCHEMA = "ticker string, session date, open double, high double, low double, close double, adj_close double, volume double"
 CACHE_VERSION = 2
@@ -79,7 +80,10 @@ def normalise_daily(df: DataFrame, layout: str = "stock_prices") -> DataFrame:
     names = {"stock_prices": {"Ticker": "ticker", "Date": "session", "Open": "open", "High": "high", "Low": "low", "Close": "close", "Volume": "volume"}, "prices": {"symbol": "ticker", "date": "session", "open": "open", "high": "high", "low": "low", "close": "close", "adj_close": "adj_close", "volume": "volume"}}[layout]
     own = {c.lower(): c for c in df.columns}
     found = {n: own[c.lower()] for c, n in names.items() if c.lower() in own}
-    out = [F.col(found["ticker"]).cast("string").alias("ticker"), F.to_date(F.col(found["session"])).alias("session")]
+    # A database's VARCHAR is a string already, and a cast of it would keep conditions from the scan.
+    ticker = F.col(found["ticker"])
+    ticker = ticker if isinstance(df.schema[found["ticker"]].dataType, StringType) else ticker.cast("string")
+    out = [ticker.alias("ticker"), F.to_date(F.col(found["session"])).alias("session")]
     out += [number(found[n]).alias(n) for n in ("open", "high", "low", "close", "volume") if n in found]
     out.append(number(found.get("adj_close", found["close"])).alias("adj_close"))
     return df.select(*out)
@@ -151,9 +155,17 @@ def between(df: DataFrame, start: str, end: str, col: str = "session") -> DataFr
     return df.where(F.col(col).between(F.lit(start).cast("date"), F.lit(end).cast("date")))
 
 
-def read_table(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
-    """A database table by JDBC; filters and columns of what follows are pushed down to it."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+def read_table(spark: SparkSession, url: str, table: str, day: str | None = None, start: str | None = None, end: str | None = None, parts: int = 1, **options: str) -> DataFrame:
+    """A database table by JDBC; filters and columns of what follows are pushed down to it.
+
+    With a date column ``day``, the table is read in ``parts`` ranges of days over
+    ``start`` to ``end``, each by its own connection; rows outside the two (and
+    without a day) are in the ranges at the ends, so none is lost.
+    """
+    read = spark.read.format("jdbc").options(url=url, dbtable=table, **options)
+    if day is not None and parts > 1:
+        read = read.options(partitionColumn=day, lowerBound=start, upperBound=end, numPartitions=str(parts))
+    return read.load()
 
 
 def daily_bars(table: DataFrame, tickers: list[str], start: str, end: str, layout: str = "stock_prices") -> DataFrame:
