@@ -11,7 +11,7 @@ from .test_operators import ODD, brute_quality, odd, words_of
 
 def sketch_bin(x):
     for k in range(41, 0, -1):
-        if x >= 32 << k:
+        if x >= op7_quality.FINE << k:
             return x - x % (1 << k)
     return x
 
@@ -37,12 +37,15 @@ def brute_kept(rows):
     kept = []
     for i, lang, source, base, own in ratios:
         ok = not base
-        for name, (_, sides, level, spread) in op7_quality.RATIOS.items():
+        for name, (_, sides, spread, most, way) in op7_quality.RATIOS.items():
             wide = drawn([r[4][name] for r in ratios if r[1] == lang], quantiles([r[4][name] for r in ratios]))
-            q = dict(zip(op7_quality.LEVELS, drawn([r[4][name] for r in ratios if r[1:3] == (lang, source)], wide)))
-            high = q[level] + max((q[level] - q[50]) * spread, op7_quality.RESOLUTION)
-            low = q[100 - level] - max((q[50] - q[100 - level]) * spread, op7_quality.RESOLUTION) if sides == "both" else own[name]
-            ok &= low <= own[name] <= high
+            lower, middle, upper = drawn([r[4][name] for r in ratios if r[1:3] == (lang, source)], wide)
+            fence = upper + max((upper - middle) * spread, op7_quality.RESOLUTION)
+            if most:
+                fence = min(fence, most * op7_quality.USUAL // 10)
+                fence += (most - fence) // way
+            least = lower - max((middle - lower) * spread, op7_quality.RESOLUTION) if sides == "both" else own[name]
+            ok &= least <= own[name] <= fence
         if ok:
             kept.append(i)
     return kept
