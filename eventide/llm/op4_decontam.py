@@ -4,18 +4,22 @@ Texts and items are normalised to lower-case words of letters and digits with
 single spaces. The CGK random walk copies a string, and repeats each character
 or not by a random bit of (step, character), so strings at a small edit
 distance get embeddings at a small Hamming distance: after an edit two walks
-fall into step again. A repetition samples positions of the walk and hashes
-them to a key.
+fall into step again. Of a character's bits for two steps in a row one is set,
+so that no walk stands still for long: such keys sample few characters, and
+texts of one language share them. A repetition samples positions of the walk
+and hashes them to a key.
 
-Windows of ``STEPS`` steps begin at every character of the texts and of the
+Windows of at most ``STEPS`` steps begin at every character of the texts and of the
 items, so no word or gram has to be whole, and scripts without spaces are
 searched like others. An item-sized stretch of a text is a candidate if enough
 of its windows have the key of an item's window on neighbouring diagonals.
 How many is measured: ``survival`` edits strings of an item's length by the full
-budget at random places, by three quarters of it evenly spaced, and at word
-starts, and counts the cells of the string in which keys are left. Repetitions
-rise, and then samples fall, until the share ``recall`` of such copies keeps
-``LEAST`` cells; so many as that share keeps must be found.
+budget at random places, by three quarters of it and by all of it evenly spaced,
+and at word starts, and counts the cells of the string in which keys are left.
+An item takes part in the first repetitions, whose keys have fewer and fewer
+samples, until the share ``recall`` of such copies keeps ``LEAST`` cells; so many
+as that share keeps must be found. A repetition is one walk over the text and
+one lookup for all items that take part.
 
 Verification is exact: the smallest edit distance of the item to any part of
 the text around the candidate, by a bit-parallel dynamic programme, must be at
@@ -48,12 +52,14 @@ from .work import materialize
 
 _TABLE = np.array([c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256)], dtype=np.uint8)
 SIMILARITY, TARGET_RECALL, MIN_WORDS, LONG = 0.8, 0.99, 5, 40
-#: Steps of a window's walk, the most positions that a key samples, characters of a cell, and the least cells that a copy must keep.
-STEPS, SAMPLES, CELL, LEAST = 24, 10, 4, 4
-#: (samples, repetitions) to choose from, the most selective first; a key of fewer samples is a prefix of the whole key.
-PLANS = ((10, 2), (10, 3), (10, 4), (9, 4), (8, 4), (7, 4), (6, 4), (5, 4), (5, 12), (4, 24))
+#: Most steps of a window's walk, steps for each position that a key samples, characters of a cell, and the least cells that a copy must keep.
+STEPS, STRIDE, CELL, LEAST = 20, 2.8, 4, 4
+#: Samples of each repetition's keys. An item takes part in the first ones, so long items meet selective keys only.
+SAMPLES = (7, 6, 5, 5, 5, 5, 5, 5) + 24 * (4,)
+#: Kinds of edits that a copy must survive.
+KINDS = ("random", "even", "full", "words")
 _PAD = 1 << 12
-_SLICE = 1 << 17
+_SLICE, _BLOCK = 1 << 15, 1 << 17
 
 
 def normalise(text: bytes) -> bytes:
@@ -62,64 +68,76 @@ def normalise(text: bytes) -> bytes:
 
 def _flatten(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Normalised texts in one buffer, each behind a zero, and where each begins."""
-    raw = np.frombuffer(b"\0" + b"\0".join(texts) + b"\0", dtype=np.uint8)
+    raw = bytearray(b"\0" + b"\0".join(texts) + b"\0")
     cuts = np.concatenate([[0], np.cumsum([len(t) + 1 for t in texts])])
-    clean = _TABLE[raw]
+    clean = np.frombuffer(raw.translate(_TABLE.tobytes()), dtype=np.uint8)
     clean[cuts] = 0
     gap = clean <= 32
     keep = ~gap
     keep[1:] |= ~gap[:-1]
     keep[cuts] = True
-    moved = np.cumsum(keep) - 1
-    return np.concatenate([clean[keep], np.zeros(_PAD, dtype=np.uint8)]), moved[cuts]
+    kept = np.add.reduceat(keep, cuts, dtype=np.int64)
+    return np.concatenate([clean[keep], np.zeros(_PAD, dtype=np.uint8)]), np.cumsum(kept) - kept
 
 
 class CgkWalk:
     """One repetition: a random walk and the positions that its keys sample."""
 
-    def __init__(self, seed: int) -> None:
+    def __init__(self, seed: int, samples: int) -> None:
         rng = np.random.default_rng(seed)
         symbols = np.arange(256)
         # Six bits tell symbols apart (letters, digits and the space for certain); bit 6 + j of a symbol says whether its walk goes on at step j.
         code = np.where(symbols >= 128, 37 + symbols % 26, np.where(symbols >= 97, symbols - 97, np.where(symbols >= 48, symbols - 48 + 26, np.where(symbols == 32, 36, 63)))) & 63
-        self.table = code | rng.integers(0, 1 << STEPS, 256) << 6
-        # One sample in each of SAMPLES equal parts of the walk.
-        edges = np.linspace(0, STEPS, SAMPLES + 1).astype(int)
+        # Of each two steps a symbol goes on in one, so no walk stands still for long and keys sample different characters.
+        turns = rng.integers(0, 2, (256, STEPS // 2))
+        bits = np.stack([turns, 1 - turns], axis=2).reshape(256, -1)
+        self.table = (code | (bits << np.arange(6, 6 + STEPS)).sum(axis=1)).astype(np.uint32)
+        # One sample in each of so many equal parts of the walk.
+        edges = np.linspace(0, min(STEPS, round(STRIDE * samples)), samples + 1).astype(int)
         self.sampled = {int(rng.integers(a, b)) for a, b in zip(edges, edges[1:])}
 
     def keys(self, buffer: np.ndarray) -> np.ndarray:
-        """Key of the window from every character but the last ``STEPS``."""
-        n = max(0, len(buffer) - STEPS)
-        own = self.table.take(buffer)
-        key, at, w, b = np.zeros(n, dtype=np.int64), np.arange(n), np.empty(n, dtype=np.int64), np.empty(n, dtype=np.int64)
-        for j in range(max(self.sampled) + 1):
-            own.take(at, out=w, mode="clip")
+        """Key of the window from every character but the last ``STEPS``: a hash of its samples.
+
+        From the last step back: the key of the rest of the walk is known at every
+        place, so a step takes it from its own place or from the next one.
+        """
+        n, last = max(0, len(buffer) - STEPS), max(self.sampled)
+        own = self.table.take(buffer[: n + last])
+        code, steps = own & np.uint32(63), own.view(np.int32)
+        key, moved, going = np.zeros(n + last, dtype=np.uint32), np.empty(n + last, dtype=np.uint32), np.empty(n + last, dtype=np.int32)
+        for j in range(last, -1, -1):
+            m = n + j
+            here, move, go = key[:m], moved[:m], going[:m]
+            if j < last:
+                # All bits set where the walk goes on.
+                np.left_shift(steps[:m], 25 - j, out=go)
+                np.right_shift(go, 31, out=go)
+                np.bitwise_xor(here, key[1 : m + 1], out=move)
+                np.bitwise_and(move, go.view(np.uint32), out=move)
+                np.bitwise_xor(here, move, out=here)
             if j in self.sampled:
-                np.bitwise_and(w, 63, out=b)
-                np.left_shift(key, 6, out=key)
-                np.bitwise_or(key, b, out=key)
-            np.right_shift(w, 6 + j, out=w)
-            np.bitwise_and(w, 1, out=w)
-            np.add(at, w, out=at)
-        return key
+                np.multiply(here, np.uint32(0x2C1B3C6D), out=here)
+                np.add(here, code[:m], out=here)
+        return key[:n]
 
 
 @lru_cache(maxsize=64)
-def _walk(seed: int) -> CgkWalk:
-    return CgkWalk(seed)
+def _walk(seed: int, repetition: int) -> CgkWalk:
+    return CgkWalk(seed + repetition, SAMPLES[repetition])
 
 
 def _edited(texts: np.ndarray, edits: int, how: str, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Copies of the rows, edited within ``edits`` edits each, end to end behind zeros, and each symbol's place in ``texts``.
 
     ``random``: all edits at random places; ``even``: three quarters of them, evenly
-    spaced; ``words``: another symbol at each word's start, for words of 1 to 7 symbols.
+    spaced; ``full``: all of them, evenly spaced; ``words``: another symbol at each word's start, for words of 1 to 7 symbols.
     """
     trials, size = texts.shape
     if how == "random":
         at = np.argsort(rng.random((trials, size)), axis=1)[:, :edits]
-    elif how == "even":
-        few = 3 * edits // 4
+    elif how in ("even", "full"):
+        few = edits if how == "full" else 3 * edits // 4
         at = np.broadcast_to(((np.arange(few) + 0.5) * size / max(few, 1)).astype(int), (trials, few))
     else:
         at = np.cumsum(rng.integers(2, 9, (trials, edits)), axis=1) % size
@@ -140,10 +158,10 @@ def _edited(texts: np.ndarray, edits: int, how: str, rng: np.random.Generator) -
 
 
 @lru_cache(maxsize=4096)
-def survival(size: int, edits: int, recall: float, seed: int, repetitions: int, trials: int = 200) -> dict[tuple[int, int], int]:
-    """Cells that the share ``recall`` of copies of ``size`` characters keeps at least, by those (samples, repetitions) of ``PLANS`` of at most ``repetitions``.
+def survival(size: int, edits: int, recall: float, seed: int, repetitions: int, trials: int = 200) -> list[int]:
+    """Cells that the share ``recall`` of copies of ``size`` characters keeps at least, after 1, 2, up to ``repetitions`` repetitions.
 
-    The least of three kinds of edits counts. A cell is ``CELL`` characters of the
+    The least of ``KINDS`` counts. A cell is ``CELL`` characters of the
     item; it is kept if a window that begins in it has its key in the copy, within
     two neighbouring strips of diagonals.
     """
@@ -152,27 +170,23 @@ def survival(size: int, edits: int, recall: float, seed: int, repetitions: int,
     pad = np.zeros(STEPS, dtype=np.uint8)
     flat = np.concatenate([np.concatenate([np.zeros((trials, 1), dtype=np.uint8), texts], axis=1).ravel(), pad])
     made, width, phase = [], strip_width(edits), rng.random(trials)
-    for how in ("random", "even", "words"):
+    for how in KINDS:
         copy, place = _edited(texts, edits, how, rng)
         trial, offset = np.divmod(place, size + 1)
         strip = (np.arange(len(copy)) - np.flatnonzero(copy == 0)[trial] - offset + edits) / width + phase[trial]
         made.append((np.concatenate([copy, pad]), place, trial, strip.astype(np.int64), np.maximum(0, offset - 1) // CELL))
     strips = 2 + int(2 * edits / width + 1)
-    kept = {s: np.zeros((len(made), trials, strips, (size - 1) // CELL + 1), dtype=bool) for s, _ in PLANS}
-    out = {}
+    kept = np.zeros((len(made), trials, strips, (size - 1) // CELL + 1), dtype=bool)
+    out = []
     for r in range(repetitions):
-        walk = _walk(seed + r)
+        walk = _walk(seed, r)
         own = walk.keys(flat)
-        for k, (copy, place, trial, strip, cell) in enumerate(made):
+        for known, (copy, place, trial, strip, cell) in zip(kept, made):
             # Of each window of a copy, the same window of its source: on the diagonal of its first symbol.
-            apart = np.where(copy[: len(place)] > 0, walk.keys(copy) ^ own[place], -1)
-            for s, known in kept.items():
-                hit = apart >> 6 * (SAMPLES - s) == 0
-                known[k, trial[hit], strip[hit], cell[hit]] = True
-        for s, n in PLANS:
-            if n == r + 1:
-                pairs = (kept[s][:, :, :-1] | kept[s][:, :, 1:]).sum(axis=3).max(axis=2)
-                out[s, n] = int(min(np.quantile(x, 1 - recall, method="lower") for x in pairs))
+            hit = (copy[: len(place)] > 0) & (walk.keys(copy) == own[place])
+            known[trial[hit], strip[hit], cell[hit]] = True
+        pairs = (kept[:, :, :-1] | kept[:, :, 1:]).sum(axis=3).max(axis=2)
+        out.append(int(min(np.quantile(x, 1 - recall, method="lower") for x in pairs)))
     return out
 
 
@@ -181,14 +195,14 @@ def strip_width(edits: int) -> float:
     return max(4.0, edits / 2)
 
 
-def plan_for(size: int, edits: int, recall: float, seed: int) -> tuple[int, int, int]:
-    """(samples, repetitions, cells): the first of ``PLANS`` that promises ``LEAST`` cells, and how many it promises."""
-    for repetitions in (max(n for _, n in PLANS[:5]), PLANS[-1][1]):
-        cells = survival(size, edits, recall, seed, repetitions)
-        for found in PLANS:
-            if cells.get(found, 0) >= LEAST:
-                return *found, cells[found]
-    return *found, max(1, cells[found])
+def plan_for(size: int, edits: int, recall: float, seed: int) -> tuple[int, int]:
+    """(repetitions, cells): the fewest that promise ``LEAST`` cells, and how many they promise."""
+    for most in (4, len(SAMPLES)):
+        cells = survival(size, edits, recall, seed, most)
+        for n, found in enumerate(cells, 1):
+            if found >= LEAST:
+                return n, found
+    return most, max(1, cells[-1])
 
 
 class CgkIndex:
@@ -211,33 +225,32 @@ class CgkIndex:
         # Rules are for lengths in small steps down; half of what may be lost is lost here.
         grid = [max(4, math.floor(1.1 ** math.floor(math.log(n) / math.log(1.1) + 1e-9))) for n in size.tolist()]
         plans = [plan_for(n, math.ceil((1 - similarity) * n - 1e-9), 1 - (1 - recall) / 2, seed) for n in grid]
-        self.needed = np.array([cells for _, _, cells in plans])
+        self.needed = np.array([cells for _, cells in plans])
         self.width = np.array([strip_width(k) for k in self.most.tolist()])
         self.scale = 1 / self.width
         self.shift = np.int32(size.max())
         self.salt = (np.arange(len(size)) * 0x9E3779B1 & 0x3FFFFFFF).astype(np.int32)
-        for r in range(max(n for _, n, _ in plans)):
-            for s in sorted({x for x, n, _ in plans if n > r}):
-                own = np.array([i for i, (x, n, _) in enumerate(plans) if x == s and n > r])
-                self.tables.append((r, s, *self._table(own, r, s)))
+        for r in range(max(n for n, _ in plans)):
+            self.tables.append(self._table(np.array([i for i, (n, _) in enumerate(plans) if n > r]), r))
 
-    def _table(self, own: np.ndarray, r: int, samples: int) -> tuple:
-        """Sorted keys of the windows of the items ``own``, where each key's run begins, its size, the windows' items and places, and a filter."""
+    def _table(self, own: np.ndarray, r: int) -> tuple:
+        """Keys of the windows of the items ``own`` by hash, the windows' items and places, where each hash's run begins, and a filter of longer hashes."""
         buffer = np.frombuffer(b"\0".join(self.items[i][1] for i in own) + bytes(STEPS + 1), dtype=np.uint8)
         n = self.size[own] + 1
         item, offset = np.repeat(own, n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        keys = _walk(self.seed + r).keys(buffer) >> 6 * (SAMPLES - samples)
-        order = np.argsort(keys, kind="stable")
-        order = order[offset[order] < self.size[item[order]]]
-        distinct, first, counts = np.unique(keys[order], return_index=True, return_counts=True)
-        bits = max(16, (16 * len(distinct)).bit_length())
+        inside = offset < self.size[item]
+        keys, item, offset = _walk(self.seed, r).keys(buffer)[inside], item[inside], offset[inside]
+        bits = min(30, max(16, (8 * len(keys)).bit_length()))
+        slot = self._slot(keys, bits)
+        order = np.argsort(slot, kind="stable")
         known = np.zeros(1 << bits, dtype=bool)
-        known[self._slot(distinct, bits)] = True
-        return distinct, first, counts, item[order].astype(np.int32), offset[order].astype(np.int32), bits, known
+        known[slot] = True
+        first = np.searchsorted(slot[order] >> 3, np.arange((1 << bits - 3) + 1)).astype(np.int32)
+        return keys[order], item[order].astype(np.int32), offset[order].astype(np.int32), first, bits, known
 
     @staticmethod
     def _slot(keys: np.ndarray, bits: int) -> np.ndarray:
-        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+        return (keys * np.uint32(0x9E3779B1) >> np.uint32(32 - bits)).astype(np.int64)
 
     def _candidates(self, buffer: np.ndarray) -> np.ndarray:
         """(item's place, a place in the text, item) of candidates, as columns.
@@ -248,19 +261,19 @@ class CgkIndex:
         # Slice by slice, so that what is walked and looked up stays in the processor's cache.
         for a in range(0, len(buffer) - STEPS, _SLICE):
             own = buffer[a : a + _SLICE + STEPS]
-            walked = -1
-            for r, samples, keys, first, runs, items, offsets, bits, known in self.tables:
-                if r != walked:
-                    whole, walked = _walk(self.seed + r).keys(own), r
-                mine = whole >> 6 * (SAMPLES - samples)
-                hit = np.flatnonzero(known.take(self._slot(mine, bits)))
+            for r, (keys, items, offsets, first, bits, known) in enumerate(self.tables):
+                mine = _walk(self.seed, r).keys(own)
+                slot = self._slot(mine, bits)
+                hit = np.flatnonzero(known.take(slot))
                 hit = hit[own[hit] > 0]
-                mine = mine[hit]
-                place = np.minimum(np.searchsorted(keys, mine), len(keys) - 1)
-                same = keys[place] == mine
-                hit, low, n = hit[same], first[place[same]], runs[place[same]]
+                slot = slot[hit] >> 3
+                low = first.take(slot)
+                n = first.take(slot + 1) - low
                 entry = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
-                found.append(np.stack([np.repeat((hit + a).astype(np.int32), n), offsets.take(entry), items.take(entry)]))
+                at = np.repeat(hit, n)
+                same = np.flatnonzero(keys.take(entry) == mine.take(at))
+                entry = entry[same]
+                found.append(np.stack([(at[same] + a).astype(np.int32), offsets.take(entry), items.take(entry)]))
         at, offset, item = np.concatenate(found, axis=1)
         strip = ((at - offset + self.shift) * self.scale.take(item)).astype(np.int32)
         # Strips are counted in bins first, neighbours in neighbouring bins: strips that share a bin only add to a count.
@@ -314,14 +327,21 @@ class CgkIndex:
                 found[d] += self._whole(buffer[cuts[d] + 1 : cuts[d + 1]].tobytes())
         if not self.items:
             return found
-        at, own, item = self._candidates(buffer[: int(cuts[-1]) + 1 + STEPS])
+        parts, a = [], 0
+        # Some texts at a time, so that what is counted stays in the processor's cache as well.
+        while a < len(texts):
+            b = min(len(texts), max(a + 1, int(np.searchsorted(cuts, cuts[a] + _BLOCK))))
+            at, own, item = self._candidates(buffer[cuts[a] : cuts[b] + 1 + STEPS])
+            parts.append(np.stack([at + cuts[a], own + cuts[a], item]))
+            a = b
+        at, own, item = np.concatenate(parts, axis=1) if parts else np.empty((3, 0), dtype=np.int64)
         if not len(at):
             return [_ordered(x) for x in found]
         doc = np.searchsorted(cuts, own, side="right") - 1
         most = self.most[item]
         begin = np.maximum(cuts[doc] + 1, at - most)
         end = np.minimum(cuts[doc + 1], at + self.size[item] + 2 * most + np.ceil(self.width[item]).astype(np.int64) + 2)
-        begin, end, doc, item = _merged(begin, end, doc, item)
+        begin, end, doc, item = self._pieces(*_merged(begin, end, doc, item))
         distance, stop = self._distances(buffer, begin, end, item)
         first: dict[tuple[int, int], tuple[int, int]] = {}
         for k in np.flatnonzero(distance <= self.most[item]).tolist():
@@ -332,6 +352,14 @@ class CgkIndex:
             found[d].append((self.items[i][0], *best))
         return [_ordered(x) for x in found]
 
+    def _pieces(self, begin: np.ndarray, end: np.ndarray, doc: np.ndarray, item: np.ndarray) -> tuple:
+        """Long spans as pieces that overlap by the longest part of a text that an item can be near, so each such part is whole in one."""
+        reach = self.size[item] + self.most[item]
+        n = np.maximum(1, -((reach - end + begin) // (2 * reach)))
+        span = np.repeat(np.arange(len(n)), n)
+        begin = begin[span] + 2 * reach[span] * (np.arange(len(span)) - np.repeat(np.cumsum(n) - n, n))
+        return begin, np.minimum(end[span], begin + 3 * reach[span]), doc[span], item[span]
+
     def _distances(self, buffer: np.ndarray, begin: np.ndarray, end: np.ndarray, item: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``fitting_distance`` of each span's item; up to ``LANES`` spans at once, but one by one for very long items."""
         distance, stop = np.zeros(len(item), dtype=np.int64), np.zeros(len(item), dtype=np.int64)
@@ -339,7 +367,7 @@ class CgkIndex:
         for k in np.flatnonzero(long).tolist():
             distance[k], stop[k] = fitting_distance(self.items[item[k]][1], buffer[begin[k] : end[k]].tobytes(), int(self.most[item[k]]))
         own = np.flatnonzero(~long)
-        own = own[np.argsort(self.size[item[own]], kind="stable")]
+        own = own[np.lexsort((end[own] - begin[own], (self.size[item[own]] - 1) // 64))]
         for a in range(0, len(own), LANES):
             lanes = own[a : a + LANES]
             distance[lanes], stop[lanes] = fitting_distances([t for _, t in self.items], item[lanes], buffer, begin[lanes], end[lanes])
@@ -389,21 +417,26 @@ def fitting_distances(patterns: list[bytes], which: np.ndarray, buffer: np.ndarr
     n, columns = len(which), int((end - begin).max())
     one = np.uint64(1)
     top = ((size - 1) % 64).astype(np.uint64)
-    plus, minus, eq, xv, xh, ph, t = (np.zeros(n, dtype=np.uint64) for _ in range(7))
+    scratch = [np.zeros(n, dtype=np.uint64) for _ in range(7)]
     up, down = np.full((words, n), np.uint64(0xFFFFFFFFFFFFFFFF)), np.zeros((words, n), dtype=np.uint64)
     # Lanes that have word w begin at first[w]; those that end there are before first[w + 1].
     first = np.searchsorted(last, np.arange(words + 1)).tolist()
-    views = [tuple(x[first[w] :] for x in (up[w], down[w], plus, minus, eq, xv, xh, ph, t)) for w in range(words)]
-    base, flat = lane * 256, row_of.ravel()
+    base, flat, length = lane * 256, row_of.ravel(), end - begin
     score, best, stop = size.copy(), size.copy(), np.zeros(n, dtype=np.int64)
     for j in range(columns):
-        at = begin + j
+        if j % 32 == 0:
+            # The lanes before the first one that goes on are done.
+            a = int(np.argmax(length > j))
+            at = [max(f, a) for f in first]
+            views = [tuple(x[at[w] :] for x in (up[w], down[w], *scratch)) for w in range(words)]
+            begins, ends, bases = begin[a:], end[a:], base[a:]
+        place = begins + j
         # Behind its span a lane reads a symbol of no pattern, which never lowers its score.
-        symbol = buffer.take(at, mode="clip").astype(np.int64)
-        symbol *= at < end
-        rows = flat.take(symbol + base)
+        symbol = buffer.take(place, mode="clip").astype(np.int64)
+        symbol *= place < ends
+        rows = flat.take(symbol + bases)
         for w, (pv, mv, p, m, eq, xv, xh, ph, t) in enumerate(views):
-            mask[w].take(rows[first[w] :], out=eq, mode="clip")
+            mask[w].take(rows[at[w] - a :], out=eq, mode="clip")
             np.bitwise_or(eq, mv, out=xv)
             if w:
                 np.bitwise_or(eq, m, out=eq)
@@ -415,11 +448,11 @@ def fitting_distances(patterns: list[bytes], which: np.ndarray, buffer: np.ndarr
             np.invert(ph, out=ph)
             np.bitwise_or(ph, mv, out=ph)
             np.bitwise_and(pv, xh, out=xh)
-            done = first[w + 1] - first[w]
+            done = at[w + 1] - at[w]
             if done:
-                ends = slice(first[w], first[w + 1])
-                score[ends] += ((ph[:done] >> top[ends]) & one).view(np.int64)
-                score[ends] -= ((xh[:done] >> top[ends]) & one).view(np.int64)
+                own = slice(at[w], at[w + 1])
+                score[own] += ((ph[:done] >> top[own]) & one).view(np.int64)
+                score[own] -= ((xh[:done] >> top[own]) & one).view(np.int64)
             np.left_shift(ph, one, out=t)
             if w:
                 np.bitwise_or(t, p, out=t)
@@ -433,7 +466,7 @@ def fitting_distances(patterns: list[bytes], which: np.ndarray, buffer: np.ndarr
             np.bitwise_or(xv, t, out=xv)
             np.invert(xv, out=xv)
             np.bitwise_or(ph, xv, out=pv)
-        better = np.flatnonzero(score < best)
+        better = np.flatnonzero(score[a:] < best[a:]) + a
         best[better] = score[better]
         stop[better] = j + 1
     return best, stop

@@ -119,3 +119,57 @@ def test_many_blocks_write_digests_and_not_the_rows(spark, monkeypatch):
     assert len(written) == 6
     key = lambda d: sorted(map(str, (tuple(r) for r in d.collect())))
     assert key(many) == key(one) == sorted(map(str, (r for r in rows if r[1] in (None, "", clean))))
+
+
+@pytest.mark.parametrize("size", [120, None])
+def test_copies_evenly_edited_by_the_full_budget(size):
+    """Every fifth character edited, by brute force, against what is found."""
+    items = [op4.normalise(t.encode()) for t in pq.read_table("/root/testdata/sf0.1/benchmark.parquet").column("text").to_pylist()]
+    items = [t if size is None else b" ".join(t[:size].split()[:-1]) for t in items]
+    rnd = random.Random(3)
+    copies = [(i, copy_of(rnd, t, "even", 0.2)) for i, t in enumerate(items)]
+    copies = [(i, c) for i, c in copies if op4.fitting_distance(items[i], c)[0] <= budget(items[i])]
+    got = op4.CgkIndex(list(enumerate(items))).search([c for _, c in copies])
+    assert sum(i in [h[0] for h in hits] for (i, _), hits in zip(copies, got)) >= 0.99 * len(copies)
+
+
+def test_one_lookup_a_repetition_and_few_repetitions():
+    """What a text costs: a lookup at every character for each table of the index."""
+    items = pq.read_table("/root/testdata/sf0.1/benchmark.parquet").column("text").to_pylist()
+    assert len(op4.CgkIndex([(i, t.encode()) for i, t in enumerate(items)]).tables) <= 4
+
+
+def test_keys_are_of_the_walk_step_by_step():
+    rnd = random.Random(2)
+    text = np.frombuffer(bytes(rnd.choices(b"abc de1\xc3\xa9", k=300)) + bytes(op4.STEPS), dtype=np.uint8)
+    for repetition in (0, 2, 9):
+        walk = op4._walk(7, repetition)
+        for start, key in enumerate(walk.keys(text).tolist()):
+            at, seen = start, []
+            for j in range(max(walk.sampled) + 1):
+                own = int(walk.table[text[at]])
+                if j in walk.sampled:
+                    seen.append(own & 63)
+                at += own >> 6 + j & 1
+            want = 0
+            for code in reversed(seen):
+                want = (want * 0x2C1B3C6D + code) % (1 << 32)
+            assert key == want and len(seen) == op4.SAMPLES[repetition]
+
+
+def test_long_spans_are_cut_without_loss():
+    """Copies stand so close that their spans merge; each text's best one is found, and where it first stands."""
+    rnd = random.Random(8)
+    item = op4.normalise(" ".join("".join(rnd.choices("abcdefgh", k=6)) for _ in range(14)).encode())
+    texts = []
+    for k in range(24):
+        copies = [copy_of(rnd, item, "random", 0.15) for _ in range(24)]
+        copies[k] = item[:-1] + b"z"
+        texts.append(b" ".join(copies))
+    index = op4.CgkIndex([(0, item)])
+    for text, hits in zip(texts, index.search(texts)):
+        distance, stop = op4.fitting_distance(item, text)
+        assert hits == [(0, distance, max(0, stop - len(item)))]
+    begin, end, doc, own = index._pieces(np.array([0, 7]), np.array([10_000, 50]), np.array([0, 1]), np.array([0, 0]))
+    reach = len(item) + budget(item)
+    assert (end - begin).max() <= 3 * reach and end[doc == 0].max() == 10_000 and (begin[1:-1] + reach == end[:-2]).all() and (begin[-1], end[-1]) == (7, 50)
